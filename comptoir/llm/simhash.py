@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import comb, log2
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -23,7 +23,7 @@ from comptoir.llm.graph import connected_components
 from comptoir.llm.shared import checkpointed, table
 
 #: Shingles hashed at once, variants compared at once, records in a group before it is spread again.
-BLOCK, VARIANTS, GROUP = 1 << 15, 1 << 20, 1 << 15
+BLOCK, VARIANTS, GROUP = 1 << 15, 1 << 20, 1 << 17
 
 
 def shingle_hashes(text: str, words: int, seed: int) -> Iterator[np.ndarray]:
@@ -154,7 +154,7 @@ def ball_links(sketches: DataFrame, lanes: int, tables: list[tuple[int, int, int
     for more in keys[1:]:
         rows = rows.unionByName(more)
     bits = tables[0][2]
-    step = min(bits, max(8, round(log2(n / (group / 4)))))
+    step = next((k for k in range(8, bits) if n * ball(half, k) / 2**k <= group / 2), bits)
     rows = rows.withColumns({"left": F.lit(half), "path": F.lit(0).cast("long"), "depth": F.lit(0)})
     rows, depth, calm = _spread(rows, step, half, bits), step, []
     while depth < bits:
