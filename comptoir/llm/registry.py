@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from comptoir.llm import simhash
+from comptoir.llm import bpe, packing, simhash, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash.op1_simhash,
+    "op5_packing": packing.op5_packing,
+    "op6_bpe": bpe.op6_bpe,
+    "op9_token_files": token_files.op9_token_files,
 }
 
 ORACLES: dict[str, str] = {}
