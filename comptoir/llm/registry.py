@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from comptoir.llm import bpe, packing, simhash, token_files
+from comptoir.llm import bpe, chat, packing, simhash, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash.op1_simhash,
     "op5_packing": packing.op5_packing,
     "op6_bpe": bpe.op6_bpe,
+    "op7_chat": chat.op7_chat,
     "op9_token_files": token_files.op9_token_files,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_chat": chat.OP7_SQL,
+}
