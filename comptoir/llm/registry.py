@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from comptoir.llm import bpe, chat, packing, pii, simhash, token_files
+from comptoir.llm import bpe, chat, imatch, packing, pii, simhash, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash.op1_simhash,
     "op3_pii": pii.op3_pii,
+    "op4_imatch": imatch.op4_imatch,
     "op5_packing": packing.op5_packing,
     "op6_bpe": bpe.op6_bpe,
     "op7_chat": chat.op7_chat,
