@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from comptoir.llm.shared import table
-from comptoir.llm.tokens import BYTE_BPE, Memo, space_chunks
+from comptoir.llm.tokens import BYTE_BPE, Memo, byte_letters, space_chunks
 
 _W = r"\p{White_Space}"
 #: The byte-level pattern of the vocabulary, with white space spelled out.
@@ -32,13 +32,6 @@ BLOCK = 1 << 16
 NONE = 1 << 60
 
 
-def byte_letters() -> dict[str, int]:
-    """The letter that byte-level vocabularies write for each byte: itself if printable, else the next from U+0100 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
 class Transducer:
     """encode(text) -> (number of ids, their decimal text, their bytes of 32 bits); decode(ids) -> parts of the text."""
 

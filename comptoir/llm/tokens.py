@@ -9,24 +9,40 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-#: Chunks in a generation of the memo (there are two); longer chunks are encoded but not kept; chunks encoded in one call.
-KEEP, LONG, BATCH = 400_000, 256, 4096
+#: Chunks in a generation of the memo (there are two); longer chunks are encoded but not kept; strings encoded in one call; letters of text in a block.
+KEEP, LONG, BATCH, TEXT = 400_000, 256, 4096, 8_000_000
 BYTE_BPE, WORD_BPE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 _CLOSE, _SPACE = re.compile(r"\s\s"), re.compile(r"(?<=\S) (?=\S)")
-_WHITE = str.maketrans(dict.fromkeys("\t\n\r", " "))
+_LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
+#: Chunks of these letters alone are cut as the two vocabularies' patterns cut them; all others go to the library whole.
+_PLAIN = re.compile(rf"[\n -&(-;=-~{_LATIN}]*")
+_SPACED = re.compile(rf" ?[{_LATIN}]+| ?[0-9]+| ?[^\s{_LATIN}0-9]+|\s+(?!\S)|\s+")
+_BARE = re.compile(rf"[{_LATIN}]+|[0-9]|[^\s{_LATIN}0-9]+")
+FIRST = "\x00"
+
+
+def byte_letters() -> dict[str, int]:
+    """The byte that byte-level vocabularies mean by a letter: itself if printable, else the next from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
 class Memo:
-    """encode(list of chunks) -> list of values, kept for the last KEEP to 2 * KEEP chunks."""
+    """encode(list of chunks) -> list of values other than None, kept for the last KEEP to 2 * KEEP chunks."""
 
     def __init__(self, encode: Callable[[list[str]], list], keep: int = KEEP) -> None:
         self.encode, self.keep, self.new, self.old = encode, keep, {}, {}
@@ -36,16 +52,17 @@ class Memo:
         out = list(map(new.get, chunks))
         if None not in out:
             return out
-        lacking = {c for c, v in zip(chunks, out, strict=True) if v is None}
+        open_ = [i for i, v in enumerate(out) if v is None]
         missing = []
-        for c in lacking:
+        for c in {chunks[i] for i in open_}:
             if (got := old.get(c)) is not None:
                 new[c] = got
             else:
                 missing.append(c)
         if missing:
             new.update(zip(missing, self.encode(missing), strict=True))
-        out = list(map(new.__getitem__, chunks))
+        for i in open_:
+            out[i] = new[chunks[i]]
         for c in missing:
             if len(c) > LONG:
                 del new[c]
@@ -64,7 +81,7 @@ def space_chunks(text: str) -> tuple[str, list[str]]:
 
 
 class Encoder:
-    """encode(text) -> bytes of its ids in `dtype`. spaced: the vocabulary writes a word with the space before it."""
+    """encode_many(texts) -> the ids of each as bytes of `dtype`. spaced: the vocabulary writes a word with the space before it."""
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -77,27 +94,85 @@ class Encoder:
         self.spaced = '"ByteLevel"' in self.library.decoder.__getstate__().decode() if self.library.decoder else False
         added = [(i, t.content) for i, t in self.library.get_added_tokens_decoder().items() if t.special and not (t.normalized or t.single_word or t.lstrip or t.rstrip)]
         self.mark = added[-1] if added else None
-        self.first, self.rest = Memo(self._ids), Memo(lambda c: self._ids([f" {x}" for x in c]))
-
-    def _ids(self, chunks: list[str]) -> list[bytes]:
-        """A special token, which the library cuts out before all else, parts many chunks in one call."""
-        lone = chunks if self.mark is None else [c for c in chunks if "<" in c]
+        self.token, self.odd, self.chunk = Memo(self._model), Memo(self._library), Memo(self._chunks)
+        self.letters = {b: c for c, b in byte_letters().items()}
+        self.pattern = _SPACED if self.spaced else _BARE
+
+    def _model(self, parts: list[str]) -> list[bytes]:
+        """Pre-tokens, written in the vocabulary's letters for bytes, by the library's model alone."""
+        letters, tokenize, kind = self.letters, self.library.model.tokenize, self.dtype.char
+        words = [p.replace(" ", letters[32]).replace("\n", letters[10]) if p.isascii() else "".join([letters[b] for b in p.encode()]) for p in parts]
+        return [array(kind, [t.id for t in tokenize(w)]).tobytes() for w in words]
+
+    def _library(self, parts: list[str]) -> list[bytes]:
+        """A special token, which the library cuts out before all else, parts many strings in one call."""
+        lone = parts if self.mark is None else [c for c in parts if "<" in c]
         out = dict(zip(lone, (np.array(e.ids, self.dtype).tobytes() for e in self.library.encode_batch_fast(lone, add_special_tokens=False)), strict=True))
-        many = [c for c in chunks if c not in out]
+        many = [c for c in parts if c not in out]
         for i in range(0, len(many), BATCH):
             ids = np.array(self.library.encode_batch_fast([self.mark[1].join(many[i : i + BATCH])], add_special_tokens=False)[0].ids, self.dtype)
             raw, size, cut = ids.tobytes(), self.dtype.itemsize, np.flatnonzero(ids == self.mark[0]) * self.dtype.itemsize
             for c, a, b in zip(many[i : i + BATCH], [0, *(cut + size).tolist()], [*cut.tolist(), len(raw)], strict=True):
                 out[c] = raw[a:b]
-        return [out[c] for c in chunks]
+        return [out[c] for c in parts]
+
+    def _chunks(self, chunks: list[str]) -> list[bytes | bool]:
+        """Ids of chunks between spaces, False for one that touches white space; FIRST marks one without a space before it."""
+        flat: list[str] = []
+        odd: list[str] = []
+        sizes: list[int] = []
+        for c in chunks:
+            if self.spaced:
+                begins = c[:1] == FIRST
+                c = c[1:] if begins else c
+                if not c or c[0].isspace() or c[-1].isspace() or FIRST in c:
+                    sizes.append(-1)
+                    continue
+                c = c if begins else " " + c
+            if _PLAIN.fullmatch(c):
+                parts = self.pattern.findall(c if self.spaced else c.lower())
+                flat += parts
+                sizes.append(len(parts))
+            else:
+                odd.append(c)
+                sizes.append(-2)
+        ids, whole = iter(self.token(flat)), iter(self.odd(odd))
+        return [b"".join(islice(ids, n)) if n >= 0 else next(whole) if n == -2 else False for n in sizes]
+
+    def encode_many(self, texts: list[str | None]) -> list[bytes]:
+        """In blocks of about TEXT letters: a block's distinct chunks are looked up once, and ids gathered by chunk."""
+        out: list[bytes] = []
+        begin, held = 0, 0
+        for i, t in enumerate(texts):
+            held += len(t or "")
+            if held >= TEXT or i + 1 == len(texts):
+                out += self._block([t or "" for t in texts[begin : i + 1]])
+                begin, held = i + 1, 0
+        return out
+
+    def _block(self, texts: list[str]) -> list[bytes]:
+        strings = [FIRST + t for t in texts] if self.spaced else [t.replace("\n", " ").replace("\t", " ").replace("\r", " ") for t in texts]
+        lists = pc.split_pattern(pa.array(strings, pa.large_string()), " ")
+        words = lists.values.dictionary_encode()
+        code, values = words.indices.to_numpy(), self.chunk(words.dictionary.to_pylist())
+        odd = np.array([v is False for v in values])
+        values = [v or b"" for v in values]
+        size = np.fromiter(map(len, values), np.int64, len(values)) // self.dtype.itemsize
+        start, n = np.cumsum(size) - size, size[code]
+        total = np.concatenate(([0], np.cumsum(n)))
+        ids = np.frombuffer(b"".join(values), self.dtype)[np.repeat(start[code] - total[:-1], n) + np.arange(total[-1])].tobytes()
+        bounds = lists.offsets.to_numpy()
+        ends = (total[bounds] * self.dtype.itemsize).tolist()
+        out = [ids[a:b] for a, b in zip(ends, ends[1:])]
+        if odd.any():
+            marks = np.concatenate(([0], np.cumsum(odd[code])))[bounds]
+            for i in np.flatnonzero(np.diff(marks)):
+                out[i] = self._slow(texts[i])
+        return out
 
-    def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if not self.spaced:
-            return b"".join(self.first((text.lower() if text.isascii() else text).translate(_WHITE).split(" ")))
-        first, rest = space_chunks(text)
-        return b"".join(self.first([first]) + self.rest(rest))
+    def _slow(self, text: str) -> bytes:
+        first, rest = space_chunks(text) if text else ("", [])
+        return b"".join(self.odd([first, *(f" {c}" for c in rest)]))
 
 
 @lru_cache(maxsize=4)
@@ -116,7 +191,7 @@ def tokenised(docs: DataFrame, path: str, end_id: int, doc_id: str = "doc_id", t
         enc, pid, at = encoder(path), TaskContext.get().partitionId(), 0
         end, size = np.array([end_id], enc.dtype).tobytes(), enc.dtype.itemsize
         for pdf in batches:
-            ids = [enc.encode(t) + end for t in pdf["text"]]
+            ids = [x + end for x in enc.encode_many(pdf["text"].tolist())]
             n = np.fromiter((len(x) // size for x in ids), np.int64, len(ids))
             yield pd.DataFrame({"pid": pid, "at": at + np.cumsum(n) - n, "doc_id": pdf["doc_id"].astype("Int64"), "n": n, "ids": ids})
             at += int(n.sum())
