@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from comptoir.llm import bpe, chat, imatch, lattice, packing, pii, simhash, token_files
+from comptoir.llm import bpe, chat, imatch, lattice, packing, pii, quality, simhash, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash.op1_simhash,
+    "op2_quality": quality.op2_quality,
     "op3_pii": pii.op3_pii,
     "op4_imatch": imatch.op4_imatch,
     "op5_packing": packing.op5_packing,
