@@ -13,6 +13,7 @@ from __future__ import annotations
 import codecs
 import hashlib
 import json
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -22,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from comptoir.llm.shared import table
-from comptoir.llm.tokens import BYTE_BPE, Memo, byte_letters, space_chunks
+from comptoir.llm.tokens import BYTE_BPE, ChunkEncoder, byte_letters
 
 _W = r"\p{White_Space}"
 #: The byte-level pattern of the vocabulary, with white space spelled out.
@@ -32,12 +33,13 @@ BLOCK = 1 << 16
 NONE = 1 << 60
 
 
-class Transducer:
-    """encode(text) -> (number of ids, their decimal text, their bytes of 32 bits); decode(ids) -> parts of the text."""
+class Transducer(ChunkEncoder):
+    """encode_many(texts) -> the ids of each as bytes; decode(blocks of ids) -> parts of the text."""
 
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
             whole = json.load(f)
+        super().__init__("<u4", spaced=True)
         letters = byte_letters()
         raw = lambda s: bytes(letters[c] for c in s)
         vocab = whole["model"]["vocab"]
@@ -56,8 +58,7 @@ class Transducer:
         self.tails = {b[i:] for b in self.ids for i in range(len(b))}
         self.pattern = regex.compile(PATTERN)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.pre = Memo(lambda words: [self._merged(w) for w in words])
-        self.first, self.rest = Memo(lambda c: self._chunks(c)), Memo(lambda c: self._chunks([f" {x}" for x in c]))
+        self.decimal = [f"{i},".encode() for i in range(len(self.bytes))]
         self.fits = lru_cache(1 << 18)(self._fits)
 
     def _merge(self, word: bytes) -> list[int]:
@@ -109,31 +110,26 @@ class Transducer:
             end -= len(self.bytes[last[end - 1]])
         return out[::-1]
 
-    def _merged(self, word: str) -> tuple[int, ...]:
-        raw = word.encode()
-        return tuple(self._merge(raw) if len(raw) <= self.lookahead else self.stream(raw))
+    def model(self, parts: list[str]) -> list[bytes]:
+        out = []
+        for p in parts:
+            raw = p.encode()
+            out.append(array("I", self._merge(raw) if len(raw) <= self.lookahead else self.stream(raw)).tobytes())
+        return out
 
-    def _chunks(self, chunks: list[str]) -> list[tuple[int, str, bytes]]:
+    def whole(self, strings: list[str]) -> list[bytes]:
+        """Any strings: special tokens are cut out before the pattern."""
         out = []
-        for c in chunks:
-            ids: list[int] = []
-            for part in self.cut.split(c) if self.cut else [c]:
+        for s in strings:
+            got = []
+            for part in self.cut.split(s) if self.cut else [s]:
                 if part in self.special:
-                    ids.append(self.special[part])
+                    got.append(array("I", [self.special[part]]).tobytes())
                 else:
-                    for got in self.pre(self.pattern.findall(part)):
-                        ids += got
-            out.append((len(ids), ",".join(map(str, ids)), np.array(ids, "<u4").tobytes()))
+                    got += self.token(self.pattern.findall(part))
+            out.append(b"".join(got))
         return out
 
-    def encode(self, text: str | None) -> Iterator[tuple[int, str, bytes]]:
-        """The parts of the text in order: the count of ids, their decimal text and their bytes."""
-        if text:
-            first, rest = space_chunks(text)
-            yield self.first([first])[0]
-            for i in range(0, len(rest), BLOCK):
-                yield from self.rest(rest[i : i + BLOCK])
-
     def decode(self, blocks: Iterator[np.ndarray]) -> Iterator[str]:
         """The text of blocks of ids; bytes of an unfinished letter wait for the next block, malformed ones become U+FFFD."""
         state, get = codecs.getincrementaldecoder("utf-8")("replace"), self.bytes.__getitem__
@@ -154,7 +150,7 @@ def encoded(docs: DataFrame, path: str = BYTE_BPE, doc_id: str = "doc_id", text:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         made = transducer(path)
         for pdf in batches:
-            ids = [b"".join(x[2] for x in made.encode(t)) for t in pdf["text"]]
+            ids = made.encode_many(pdf["text"].tolist())
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n_tokens": [len(x) // 4 for x in ids], "ids": ids})
 
     return docs.selectExpr(f"`{doc_id}` AS doc_id", f"`{text}` AS text").mapInPandas(run, "doc_id long, n_tokens long, ids binary")
@@ -175,19 +171,19 @@ def decoded(tokens: DataFrame, path: str = BYTE_BPE) -> DataFrame:
 def digests(docs: DataFrame, path: str = BYTE_BPE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (doc_id, n_tokens, ids_sha256, decoded_sha256): encoded and decoded again as it streams, so that no document's ids leave the worker."""
 
-    def one(made: Transducer, t: str | None) -> tuple[int, str, str]:
-        parts = list(made.encode(t))
-        ids = hashlib.sha256(",".join([x[1] for x in parts]).encode()).hexdigest()
-        raw = np.frombuffer(b"".join([x[2] for x in parts]), "<u4")
-        back = hashlib.sha256()
-        for piece in made.decode(raw[i : i + BLOCK] for i in range(0, len(raw), BLOCK)):
+    def one(made: Transducer, raw: bytes) -> tuple[int, str, str]:
+        ids, count, back = np.frombuffer(raw, "<u4"), hashlib.sha256(), hashlib.sha256()
+        for i in range(0, len(ids), BLOCK):
+            decimal = b"".join(map(made.decimal.__getitem__, ids[i : i + BLOCK].tolist()))
+            count.update(decimal[:-1] if i + BLOCK >= len(ids) else decimal)
+        for piece in made.decode(ids[i : i + BLOCK] for i in range(0, len(ids), BLOCK)):
             back.update(piece.encode())
-        return len(raw), ids, back.hexdigest()
+        return len(ids), count.hexdigest(), back.hexdigest()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         made = transducer(path)
         for pdf in batches:
-            rows = pd.DataFrame([one(made, t) for t in pdf["text"]], columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+            rows = pd.DataFrame([one(made, x) for x in made.encode_many(pdf["text"].tolist())], columns=["n_tokens", "ids_sha256", "decoded_sha256"])
             yield rows.assign(doc_id=pdf["doc_id"].astype("Int64").to_numpy())[["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]].astype({"doc_id": "Int64"})
 
     return docs.selectExpr(f"`{doc_id}` AS doc_id", f"`{text}` AS text").mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

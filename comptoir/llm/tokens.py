@@ -12,7 +12,7 @@ import re
 from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import islice
+from itertools import compress
 
 import numpy as np
 import pandas as pd
@@ -22,15 +22,15 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-#: Chunks in a generation of the memo (there are two); longer chunks are encoded but not kept; strings encoded in one call; letters of text in a block.
-KEEP, LONG, BATCH, TEXT = 400_000, 256, 4096, 8_000_000
+#: Chunks in a generation of the memo (there are two); longer chunks are encoded but not kept; letters of text in a block.
+KEEP, LONG, TEXT = 400_000, 256, 8_000_000
 BYTE_BPE, WORD_BPE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 _CLOSE, _SPACE = re.compile(r"\s\s"), re.compile(r"(?<=\S) (?=\S)")
 _LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: Chunks of these letters alone are cut as the two vocabularies' patterns cut them; all others go to the library whole.
-_PLAIN = re.compile(rf"[\n -&(-;=-~{_LATIN}]*")
+_CHUNK = re.compile(rf"(?!\n)[\n!-&(-;=-~{_LATIN}]+(?<!\n)")
 _SPACED = re.compile(rf" ?[{_LATIN}]+| ?[0-9]+| ?[^\s{_LATIN}0-9]+|\s+(?!\S)|\s+")
-_BARE = re.compile(rf"[{_LATIN}]+|[0-9]|[^\s{_LATIN}0-9]+")
+_BARE = re.compile(rf" |[{_LATIN}]+|[0-9]|[^\s{_LATIN}0-9]+")
 FIRST = "\x00"
 
 
@@ -80,67 +80,42 @@ def space_chunks(text: str) -> tuple[str, list[str]]:
     return first, rest
 
 
-class Encoder:
-    """encode_many(texts) -> the ids of each as bytes of `dtype`. spaced: the vocabulary writes a word with the space before it."""
+class ChunkEncoder:
+    """encode_many(texts) -> the ids of each as bytes of `dtype`. spaced: the vocabulary writes a word with the space before it.
 
-    def __init__(self, path: str) -> None:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
-        self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
-        self.spaced = '"ByteLevel"' in self.library.decoder.__getstate__().decode() if self.library.decoder else False
-        added = [(i, t.content) for i, t in self.library.get_added_tokens_decoder().items() if t.special and not (t.normalized or t.single_word or t.lstrip or t.rstrip)]
-        self.mark = added[-1] if added else None
-        self.token, self.odd, self.chunk = Memo(self._model), Memo(self._library), Memo(self._chunks)
-        self.letters = {b: c for c, b in byte_letters().items()}
-        self.pattern = _SPACED if self.spaced else _BARE
-
-    def _model(self, parts: list[str]) -> list[bytes]:
-        """Pre-tokens, written in the vocabulary's letters for bytes, by the library's model alone."""
-        letters, tokenize, kind = self.letters, self.library.model.tokenize, self.dtype.char
-        words = [p.replace(" ", letters[32]).replace("\n", letters[10]) if p.isascii() else "".join([letters[b] for b in p.encode()]) for p in parts]
-        return [array(kind, [t.id for t in tokenize(w)]).tobytes() for w in words]
+    In blocks of about TEXT letters, the distinct chunks between spaces are cut once as the pattern cuts
+    them, a memo gives the ids of each pre-token, and a text's ids are gathered by chunk. A chunk of unusual letters
+    is encoded whole; a text where spaces touch white space is cut with more care.
+    """
 
-    def _library(self, parts: list[str]) -> list[bytes]:
-        """A special token, which the library cuts out before all else, parts many strings in one call."""
-        lone = parts if self.mark is None else [c for c in parts if "<" in c]
-        out = dict(zip(lone, (np.array(e.ids, self.dtype).tobytes() for e in self.library.encode_batch_fast(lone, add_special_tokens=False)), strict=True))
-        many = [c for c in parts if c not in out]
-        for i in range(0, len(many), BATCH):
-            ids = np.array(self.library.encode_batch_fast([self.mark[1].join(many[i : i + BATCH])], add_special_tokens=False)[0].ids, self.dtype)
-            raw, size, cut = ids.tobytes(), self.dtype.itemsize, np.flatnonzero(ids == self.mark[0]) * self.dtype.itemsize
-            for c, a, b in zip(many[i : i + BATCH], [0, *(cut + size).tolist()], [*cut.tolist(), len(raw)], strict=True):
-                out[c] = raw[a:b]
-        return [out[c] for c in parts]
-
-    def _chunks(self, chunks: list[str]) -> list[bytes | bool]:
-        """Ids of chunks between spaces, False for one that touches white space; FIRST marks one without a space before it."""
-        flat: list[str] = []
-        odd: list[str] = []
-        sizes: list[int] = []
-        for c in chunks:
-            if self.spaced:
-                begins = c[:1] == FIRST
-                c = c[1:] if begins else c
-                if not c or c[0].isspace() or c[-1].isspace() or FIRST in c:
-                    sizes.append(-1)
-                    continue
-                c = c if begins else " " + c
-            if _PLAIN.fullmatch(c):
-                parts = self.pattern.findall(c if self.spaced else c.lower())
-                flat += parts
-                sizes.append(len(parts))
-            else:
-                odd.append(c)
-                sizes.append(-2)
-        ids, whole = iter(self.token(flat)), iter(self.odd(odd))
-        return [b"".join(islice(ids, n)) if n >= 0 else next(whole) if n == -2 else False for n in sizes]
+    def __init__(self, dtype: str, spaced: bool) -> None:
+        self.dtype, self.spaced = np.dtype(dtype), spaced
+        self.token, self.odd = Memo(self._tokens), Memo(self.whole)
+
+    def model(self, parts: list[str]) -> list[bytes]:
+        """Ids of pre-tokens."""
+        raise NotImplementedError
+
+    def whole(self, strings: list[str]) -> list[bytes]:
+        """Ids of any strings."""
+        raise NotImplementedError
+
+    def _tokens(self, parts: list[str]) -> list[bytes]:
+        if self.spaced or " " not in parts:
+            return self.model(parts)
+        got = dict(zip(words := [p for p in parts if p != " "], self.model(words), strict=True))
+        return [got.get(p, b"") for p in parts]
+
+    def _odd(self, chunks: list[str]) -> list[bytes | None]:
+        """Ids of unusual chunks, None for one that touches white space; FIRST marks one without a space before it."""
+        if not self.spaced:
+            return self.odd(chunks)
+        bare = [c[1:] if c[:1] == FIRST else c for c in chunks]
+        bad = [not b or b[0].isspace() or b[-1].isspace() or FIRST in b for b in bare]
+        ids = iter(self.odd([b if c[:1] == FIRST else " " + b for c, b, x in zip(chunks, bare, bad, strict=True) if not x]))
+        return [None if x else next(ids) for x in bad]
 
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
-        """In blocks of about TEXT letters: a block's distinct chunks are looked up once, and ids gathered by chunk."""
         out: list[bytes] = []
         begin, held = 0, 0
         for i, t in enumerate(texts):
@@ -154,18 +129,34 @@ class Encoder:
         strings = [FIRST + t for t in texts] if self.spaced else [t.replace("\n", " ").replace("\t", " ").replace("\r", " ") for t in texts]
         lists = pc.split_pattern(pa.array(strings, pa.large_string()), " ")
         words = lists.values.dictionary_encode()
-        code, values = words.indices.to_numpy(), self.chunk(words.dictionary.to_pylist())
-        odd = np.array([v is False for v in values])
-        values = [v or b"" for v in values]
-        size = np.fromiter(map(len, values), np.int64, len(values)) // self.dtype.itemsize
-        start, n = np.cumsum(size) - size, size[code]
+        held = words.dictionary
+        chunks = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), held.cast(pa.string())), " ")[0].as_py().split(" ")
+        fits = [m is not None for m in map(_CHUNK.fullmatch, chunks)]
+        plain, odd = list(compress(chunks, fits)), [c for c, f in zip(chunks, fits, strict=True) if not f]
+        size, raw = np.zeros(len(chunks), np.int64), []
+        place = np.argsort(~np.array(fits, bool), kind="stable")  # plain chunks, then odd ones
+        if plain:
+            parts = (_SPACED if self.spaced else _BARE).findall(" " + " ".join(plain) if self.spaced else " ".join(plain).lower())
+            begins = [i for i, p in enumerate(parts) if p[0] == " "]
+            raw = self.token(parts)
+            size[place[: len(plain)]] = np.add.reduceat(np.fromiter(map(len, raw), np.int64, len(raw)), begins if self.spaced else [0, *begins])
+        others = self._odd(odd)
+        size[place[len(plain) :]] = [len(x or b"") for x in others]
+        size //= self.dtype.itemsize
+        start = np.empty(len(chunks), np.int64)
+        start[place] = np.cumsum(size[place]) - size[place]
+        code = words.indices.to_numpy()
+        n = size[code]
         total = np.concatenate(([0], np.cumsum(n)))
-        ids = np.frombuffer(b"".join(values), self.dtype)[np.repeat(start[code] - total[:-1], n) + np.arange(total[-1])].tobytes()
+        pool = np.frombuffer(b"".join([*raw, *(x or b"" for x in others)]), self.dtype)
+        ids = pool[np.repeat(start[code] - total[:-1], n) + np.arange(total[-1])].tobytes()
         bounds = lists.offsets.to_numpy()
         ends = (total[bounds] * self.dtype.itemsize).tolist()
         out = [ids[a:b] for a, b in zip(ends, ends[1:])]
-        if odd.any():
-            marks = np.concatenate(([0], np.cumsum(odd[code])))[bounds]
+        if None in others:
+            bad = np.zeros(len(chunks), np.int64)
+            bad[place[len(plain) :]] = [x is None for x in others]
+            marks = np.concatenate(([0], np.cumsum(bad[code])))[bounds]
             for i in np.flatnonzero(np.diff(marks)):
                 out[i] = self._slow(texts[i])
         return out
@@ -175,6 +166,30 @@ class Encoder:
         return b"".join(self.odd([first, *(f" {c}" for c in rest)]))
 
 
+class Encoder(ChunkEncoder):
+    """By the tokenizers library."""
+
+    def __init__(self, path: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
+        spaced = '"ByteLevel"' in self.library.decoder.__getstate__().decode() if self.library.decoder else False
+        super().__init__("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4", spaced)
+        self.letters = {b: c for c, b in byte_letters().items()}
+
+    def model(self, parts: list[str]) -> list[bytes]:
+        """The library's model alone, on pre-tokens written in the vocabulary's letters for bytes."""
+        letters, tokenize, kind = self.letters, self.library.model.tokenize, self.dtype.char
+        words = [p.replace(" ", letters[32]).replace("\n", letters[10]) if p.isascii() else "".join([letters[b] for b in p.encode()]) for p in parts]
+        return [array(kind, [t.id for t in tokenize(w)]).tobytes() for w in words]
+
+    def whole(self, strings: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.dtype).tobytes() for e in self.library.encode_batch_fast(strings, add_special_tokens=False)]
+
+
 @lru_cache(maxsize=4)
 def encoder(path: str) -> Encoder:
     """One for each Python worker and file."""
