@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from comptoir.llm import bpe, chat, imatch, lattice, packing, pii, quality, simhash, token_files
+from comptoir.llm import bpe, chat, imatch, lattice, packing, pii, quality, simhash, token_files, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash.op1_simhash,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_packing": packing.op5_packing,
     "op6_bpe": bpe.op6_bpe,
     "op7_chat": chat.op7_chat,
+    "op8_urls": urls.op8_urls,
     "op9_token_files": token_files.op9_token_files,
     "op10_lattice": lattice.op10_lattice,
 }
