@@ -1,10 +1,6 @@
 """All registered queries of the decision-support engine with their DuckDB SQL."""
 
-from __future__ import annotations
+from comptoir.plans.queries import ORACLES, QUERIES
+from comptoir.plans.queries import entry as ENTRY
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-
-
-def ENTRY(spark, sf_dir):
-    raise NotImplementedError
+__all__ = ["ENTRY", "ORACLES", "QUERIES"]
