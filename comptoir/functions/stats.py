@@ -1,7 +1,7 @@
 """Order statistics, running sums and scores that hold at any size.
 
 A window without partitions sends all rows to one task. Here rows are dealt by value into bins whose
-bounds are approximate quantiles; windows stay within a bin, and the bins' totals (a few hundred rows) give the rest.
+bounds are approximate quantiles; windows stay within a bin, and the bins' totals (a row for each bin) give the rest.
 """
 
 from __future__ import annotations
@@ -12,22 +12,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BINS, ACCURACY = 256, 10_000
+ACCURACY = 10_000
 _BEFORE = (W.unboundedPreceding, -1)
 
 
-def binned(df: DataFrame, by: str, bins: int = BINS) -> DataFrame:
-    """df with _bin, ascending with the number `by` (null: 0); only `bins` bounds reach the driver."""
+def binned(df: DataFrame, by: str, bins: int | None = None) -> DataFrame:
+    """df with _bin, ascending with the number `by` (null: 0); only `bins` bounds reach the driver, as many as there are shuffle partitions if None."""
+    bins = bins or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     bounds = df.agg(F.percentile_approx(F.col(by).cast("double"), [i / bins for i in range(1, bins)], ACCURACY)).first()[0] or []
     limits = F.array(*map(F.lit, sorted(set(bounds)))) if bounds else F.array().cast("array<double>")
     return df.withColumn("_bin", F.coalesce(F.size(F.filter(limits, lambda b: b < F.col(by).cast("double"))), F.lit(0)))
 
 
-def running(df: DataFrame, by: str, sums: dict[str, Column], ties: tuple = (), bins: int = BINS) -> DataFrame:
+def running(df: DataFrame, by: str, sums: dict[str, Column], ties: tuple = (), bins: int | None = None) -> DataFrame:
     """df with a running total, itself included, of each of sums in ascending order of (by, *ties)."""
     rows = binned(df.withColumns({f"_v_{k}": v for k, v in sums.items()}), by, bins)
     totals = rows.groupBy("_bin").agg(*[F.sum(f"_v_{k}").alias(f"_t_{k}") for k in sums])
-    ahead = W.orderBy("_bin").rowsBetween(*_BEFORE)  # over `bins` rows at most
+    ahead = W.orderBy("_bin").rowsBetween(*_BEFORE)  # a row for each bin
     base = totals.select("_bin", *[F.sum(f"_t_{k}").over(ahead).alias(f"_b_{k}") for k in sums])
     within = W.partitionBy("_bin").orderBy(by, *ties).rowsBetween(W.unboundedPreceding, 0)
     rows = rows.join(F.broadcast(base), "_bin")
@@ -35,7 +36,7 @@ def running(df: DataFrame, by: str, sums: dict[str, Column], ties: tuple = (), b
     return rows.drop("_bin", *[f"{p}_{k}" for p in ("_v", "_b") for k in sums])
 
 
-def quantiles(df: DataFrame, column: str, shares: list[float], bins: int = BINS) -> list[float | None]:
+def quantiles(df: DataFrame, column: str, shares: list[float], bins: int | None = None) -> list[float | None]:
     """Exact quantiles with linear interpolation, nulls left out; a list of nulls for an empty column.
 
     Distinct values with their counts are ranked; one row for each asked rank reaches the driver.

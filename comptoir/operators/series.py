@@ -16,11 +16,15 @@ from comptoir.functions.stats import winsorised
 from comptoir.operators.cashflow import spine
 from comptoir.operators.indicators import sold
 
-ORDER = W.orderBy("jour")
 #: Public holidays of the calendar, month and day.
 FIXED_HOLIDAYS = [(1, 1), (2, 11), (5, 1), (5, 20), (8, 15), (12, 25)]
 
 
+def by_day():
+    """The window over all days in order; made when used, as it needs a session."""
+    return W.orderBy("jour")
+
+
 def easter(year: int) -> date:
     """Sunday of the Gregorian computus."""
     a, (b, c) = year % 19, divmod(year, 100)
@@ -64,14 +68,14 @@ def calendar(days: DataFrame, extra: list[date] = ()) -> DataFrame:
 
 def lags(series: DataFrame, y: str = "y") -> DataFrame:
     """series with lag_1, lag_7 and the mean of up to seven days before."""
-    return series.withColumns({"lag_1": F.lag(y, 1).over(ORDER), "lag_7": F.lag(y, 7).over(ORDER), "moyenne_mobile_7": F.avg(y).over(ORDER.rowsBetween(-7, -1))})
+    return series.withColumns({"lag_1": F.lag(y, 1).over(by_day()), "lag_7": F.lag(y, 7).over(by_day()), "moyenne_mobile_7": F.avg(y).over(by_day().rowsBetween(-7, -1))})
 
 
 def split(series: DataFrame) -> DataFrame:
     """series with rang (from 1) and partie: the last fifth (3 days at least, and 3 left) is "test"."""
     n = F.count("*").over(W.partitionBy())
     test = F.when(n <= S.TEST_MIN, 0).otherwise(F.least(F.greatest(F.lit(S.TEST_MIN), F.floor(n * S.TEST_SHARE)), n - S.TEST_MIN))
-    rows = series.withColumn("rang", F.row_number().over(ORDER))
+    rows = series.withColumn("rang", F.row_number().over(by_day()))
     return rows.withColumn("partie", F.when(F.col("rang") > n - test, "test").otherwise("train"))
 
 
@@ -96,7 +100,7 @@ def errors(rows: DataFrame, actual: str, predicted: str) -> list[Column]:
 
 def naive_errors(series: DataFrame, y: str = "y") -> DataFrame:
     """RMSE, MAE and MASE on the test days, of the mean of the training days, of the value a week before, and of the last training week repeated."""
-    rows = split(series).withColumns({"lag_1": F.lag(y, 1).over(ORDER), "semaine": F.lag(y, 7).over(ORDER)})
+    rows = split(series).withColumns({"lag_1": F.lag(y, 1).over(by_day()), "semaine": F.lag(y, 7).over(by_day())})
     train = F.col("partie") == "train"
     one = rows.agg(F.avg(F.when(train, F.col(y))).alias("moyenne"), F.avg(F.when(train, F.abs(F.col(y) - F.col("lag_1")))).alias("echelle"), F.max(F.when(train, F.col("rang"))).alias("n_train"))
     test = rows.where(~train).crossJoin(F.broadcast(one))  # one row
@@ -108,10 +112,15 @@ def naive_errors(series: DataFrame, y: str = "y") -> DataFrame:
     return got.select("modele", F.round("rmse", 4).alias("rmse"), F.round("mae", 4).alias("mae"), F.round(F.try_divide("mae", "echelle"), 6).alias("mase"))
 
 
+def _cents(c: str) -> Column:
+    """A sum that does not depend on the order of its rows, in cents."""
+    return F.round(F.sum(F.col(c).cast("decimal(20,6)")), 2).cast("double")
+
+
 def weekly(points: DataFrame) -> DataFrame:
     """Rows (semaine, du, au, ventes_prevues) of seven days each."""
     rows = points.groupBy(F.floor((F.col("i") - 1) / 7).cast("int").alias("semaine"))
-    return rows.agg(F.min("jour").alias("du"), F.max("jour").alias("au"), F.round(F.sum("valeur"), 2).alias("ventes_prevues"))
+    return rows.agg(F.min("jour").alias("du"), F.max("jour").alias("au"), _cents("valeur").alias("ventes_prevues"))
 
 
 def level_break(series: DataFrame, y: str = "ca") -> DataFrame:
@@ -128,12 +137,12 @@ def indicators(points: DataFrame, reference: DataFrame, quality: DataFrame) -> D
     h = points.agg(F.max("i").alias("h"))
     k = F.greatest(F.lit(1), F.least(F.lit(7), F.floor(F.col("h") / 3)))
     rows = points.crossJoin(F.broadcast(h)).withColumn("k", k)  # one row
-    got = rows.agg(F.sum("valeur").alias("total"), F.avg("valeur").alias("moyenne"), F.avg(F.when(F.col("i") <= F.col("k"), F.col("valeur"))).alias("debut"), F.avg(F.when(F.col("i") > F.col("h") - F.col("k"), F.col("valeur"))).alias("fin"))
+    got = rows.agg(_cents("valeur").alias("total"), F.avg("valeur").alias("moyenne"), F.avg(F.when(F.col("i") <= F.col("k"), F.col("valeur"))).alias("debut"), F.avg(F.when(F.col("i") > F.col("h") - F.col("k"), F.col("valeur"))).alias("fin"))
     got = got.crossJoin(reference.select("recent")).crossJoin(quality.select("rmse", F.col("moyenne").alias("base")))  # one row each
     trend = F.when(F.col("debut") > 0, (F.col("fin") - F.col("debut")) / F.col("debut")).otherwise(0.0)
     error = F.when(F.col("base") > 0, F.col("rmse") / F.col("base"))
     return got.select(
-        F.round("total", 2).alias("total_prevu"), F.round("moyenne", 2).alias("moyenne_jour"), F.round(F.when(F.col("recent") > 0, F.col("moyenne") / F.col("recent") - 1), 6).alias("ecart_niveau"), F.round(trend, 6).alias("tendance"),
+        F.col("total").alias("total_prevu"), F.round("moyenne", 2).alias("moyenne_jour"), F.round(F.when(F.col("recent") > 0, F.col("moyenne") / F.col("recent") - 1), 6).alias("ecart_niveau"), F.round(trend, 6).alias("tendance"),
         F.when(trend > S.TREND, "hausse").when(trend < -S.TREND, "baisse").otherwise("stable").alias("sens"), F.round(error, 6).alias("erreur_relative"),
         F.when(error < 0.25, "bonne").when(error < 0.5, "moyenne").when(error.isNotNull(), "faible").alias("fiabilite"),
     )

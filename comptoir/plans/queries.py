@@ -493,7 +493,7 @@ def sales_break_detection(m):
 _TREND = "((SELECT avg(valeur) FROM wk WHERE i > 23) / (SELECT avg(valeur) FROM wk WHERE i <= 7) - 1)"
 
 
-@query(f"""SELECT round(sum(valeur), 2) AS total_prevu, round(avg(valeur), 2) AS moyenne_jour, round(avg(valeur) / (SELECT round(recent, 4) FROM level) - 1, 6) AS ecart_niveau, round({_TREND}, 6) AS tendance,
+@query(f"""SELECT CAST(round(sum(CAST(valeur AS DECIMAL(20,6))), 2) AS DOUBLE) AS total_prevu, round(avg(valeur), 2) AS moyenne_jour, round(avg(valeur) / (SELECT round(recent, 4) FROM level) - 1, 6) AS ecart_niveau, round({_TREND}, 6) AS tendance,
   CASE WHEN {_TREND} > 0.05 THEN 'hausse' WHEN {_TREND} < -0.05 THEN 'baisse' ELSE 'stable' END AS sens, round((SELECT rmse / moyenne FROM errs), 6) AS erreur_relative, (SELECT CASE WHEN rmse / moyenne < 0.25 THEN 'bonne' WHEN rmse / moyenne < 0.5 THEN 'moyenne' ELSE 'faible' END FROM errs) AS fiabilite FROM wk""", REV, SPLIT, WEEK, LEVEL, ERRORS)
 def forecast_indicators(m):
     points = series.repeated_week(_revenue(m), 30)
@@ -505,7 +505,7 @@ def forecast_scenarios(m):
     return series.scenarios(series.repeated_week(_revenue(m), 30), _errors(m))
 
 
-@query("SELECT CAST((i - 1) // 7 AS INTEGER) AS semaine, min(jour) AS du, max(jour) AS au, round(sum(valeur), 2) AS ventes_prevues FROM wk GROUP BY 1", REV, WEEK)
+@query("SELECT CAST((i - 1) // 7 AS INTEGER) AS semaine, min(jour) AS du, max(jour) AS au, CAST(round(sum(CAST(valeur AS DECIMAL(20,6))), 2) AS DOUBLE) AS ventes_prevues FROM wk GROUP BY 1", REV, WEEK)
 def forecast_weekly_totals(m):
     return series.weekly(series.repeated_week(_revenue(m), 30))
 
