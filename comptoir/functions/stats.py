@@ -13,7 +13,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 ACCURACY = 10_000
-_BEFORE = (W.unboundedPreceding, -1)
 
 
 def binned(df: DataFrame, by: str, bins: int | None = None) -> DataFrame:
@@ -27,13 +26,16 @@ def binned(df: DataFrame, by: str, bins: int | None = None) -> DataFrame:
 def running(df: DataFrame, by: str, sums: dict[str, Column], ties: tuple = (), bins: int | None = None) -> DataFrame:
     """df with a running total, itself included, of each of sums in ascending order of (by, *ties)."""
     rows = binned(df.withColumns({f"_v_{k}": v for k, v in sums.items()}), by, bins)
-    totals = rows.groupBy("_bin").agg(*[F.sum(f"_v_{k}").alias(f"_t_{k}") for k in sums])
-    ahead = W.orderBy("_bin").rowsBetween(*_BEFORE)  # a row for each bin
-    base = totals.select("_bin", *[F.sum(f"_t_{k}").over(ahead).alias(f"_b_{k}") for k in sums])
+    kinds = {k: rows.agg(F.sum(f"_v_{k}").alias("t")).schema["t"].dataType for k in sums}
+    totals = rows.groupBy("_bin").agg(*[F.sum(f"_v_{k}").alias(k) for k in sums]).orderBy("_bin").collect()  # a row for each bin
     within = W.partitionBy("_bin").orderBy(by, *ties).rowsBetween(W.unboundedPreceding, 0)
-    rows = rows.join(F.broadcast(base), "_bin")
-    rows = rows.withColumns({k: F.sum(f"_v_{k}").over(within) + F.when(F.col(f"_b_{k}").isNull(), 0).otherwise(F.col(f"_b_{k}")) for k in sums})
-    return rows.drop("_bin", *[f"{p}_{k}" for p in ("_v", "_b") for k in sums])
+    for k, kind in kinds.items():
+        before, held = {}, 0
+        for r in totals:
+            before[r["_bin"]], held = held, held + (r[k] or 0)
+        ahead = F.coalesce(*[F.when(F.col("_bin") == b, F.lit(v).cast(kind)) for b, v in before.items() if v], F.lit(0).cast(kind))
+        rows = rows.withColumn(k, F.sum(f"_v_{k}").over(within) + ahead)
+    return rows.drop("_bin", *[f"_v_{k}" for k in sums])
 
 
 def quantiles(df: DataFrame, column: str, shares: list[float], bins: int | None = None) -> list[float | None]:
@@ -48,7 +50,7 @@ def quantiles(df: DataFrame, column: str, shares: list[float], bins: int | None
     ranked = running(counts, "v", {"up": F.col("n")}, bins=bins)
     places = [s * (total - 1) for s in shares]
     wanted = sorted({int(p) for p in places} | {min(int(p) + 1, total - 1) for p in places})
-    hit = reduce(lambda a, b: a | b, [(F.col("up") > k) & (F.col("up") - F.col("n") <= k) for k in wanted])
+    hit = reduce(lambda a, b: a | b, [(F.col("up") > F.lit(k)) & (F.col("up") - F.col("n") <= F.lit(k)) for k in wanted])
     got = [(r["up"] - r["n"], r["up"], r["v"]) for r in ranked.where(hit).collect()]
     at = {k: next(v for a, b, v in got if a <= k < b) for k in wanted}
     return [at[int(p)] + (at[min(int(p) + 1, total - 1)] - at[int(p)]) * (p - int(p)) for p in places]
