@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from comptoir.llm.graph import connected_components
-from comptoir.llm.shared import checkpointed, table
+from comptoir.llm.shared import checkpointed, table, written
 
 #: Shingles hashed at once, variants compared at once, records in a group before it is spread again.
 BLOCK, VARIANTS, GROUP = 1 << 15, 1 << 20, 1 << 17
@@ -203,31 +203,117 @@ def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     return prints.join(whole, "fp").select("doc_id", "fp", "component_id")
 
 
-#: Near-duplicate stage: shingles of five words, a 256-bit sketch, fingerprints of 40 bits from it.
-STAGE_WORDS, STAGE_LANES, STAGE_BITS, STAGE_TABLES = 5, 4, 40, [(lane, first, 40) for lane in range(4) for first in (0, 24)]
-
-
-def differing_bits(similarity: float, bits: int) -> int:
-    """Bits of a sketch that may differ at this Jaccard similarity: cosine 2J/(1+J) of the shingle sets, and its angle's share of a half turn."""
-    return int(bits * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-
-
-def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = 0.8, radius: int = 4, group: int = GROUP) -> DataFrame:
+#: Near-duplicate stage: shingles of five words; bands of minima that two documents must share one of to be compared; bytes of shingle sets in a task; documents of a family that all its tasks see.
+STAGE_WORDS, BANDS, ROWS, TASK_BYTES, PIVOTS = 5, 32, 6, 1 << 26, 64
+_TURNS = np.random.default_rng(7).integers(0, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingle_set(text: str | None, words: int = STAGE_WORDS, seed: int = 42) -> np.ndarray:
+    """The distinct shingle hashes of a text, ascending; none for null and blank texts."""
+    blocks = list(shingle_hashes(text or "", words, seed))
+    return np.unique(np.concatenate(blocks)) if blocks else np.zeros(0, np.uint64)
+
+
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """BANDS keys of ROWS minima each: two sets of Jaccard similarity J share a key with probability 1 - (1 - J^ROWS)^BANDS, 0.9999 at 0.8."""
+    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(hashes), 2048):
+        low = np.minimum(low, (hashes[i : i + 2048, None] * _TURNS[0] + _TURNS[1]).min(axis=0))
+    low, key = low.reshape(BANDS, ROWS), np.arange(1, BANDS + 1, dtype=np.uint64)
+    for i in range(ROWS):
+        key = (key ^ low[:, i]) * np.uint64(0xBF58476D1CE4E5B9)
+        key ^= key >> np.uint64(29)
+    return key.view(np.int64)
+
+
+def alike(pdf: pd.DataFrame, similarity: float) -> pd.DataFrame:
+    """Links (a, b) that join the rows (node, label, keys, text) with a key in common and this exact Jaccard similarity or more; pairs that links or equal labels join already are not compared."""
+    pdf = pdf.sort_values("node", ignore_index=True)
+    nodes, keys = pdf["node"].to_numpy(), np.stack(pdf["keys"].to_numpy())
+    sets = [shingle_set(t) for t in pdf["text"]]
+    sizes, labels = np.array([len(x) for x in sets]), np.unique(pdf["label"].to_numpy(), return_inverse=True)[1]
+    a, b = [], []
+    for i in range(len(nodes) - 1):
+        js = np.flatnonzero(labels[i + 1 :] != labels[i]) + i + 1
+        js = js[np.minimum(sizes[js], sizes[i]) >= similarity * np.maximum(sizes[js], sizes[i]) - 1e-9]
+        js = js[(keys[js] == keys[i]).any(axis=1)]
+        joined = set()
+        for j in js.tolist():
+            if labels[j] not in joined:
+                both = np.intersect1d(sets[i], sets[j], assume_unique=True).size
+                if both >= similarity * (sizes[i] + sizes[j] - both) - 1e-9:
+                    a.append(nodes[i])
+                    b.append(nodes[j])
+                    joined.add(labels[j])
+        if joined:
+            labels[np.isin(labels, list(joined))] = labels[i]
+    return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+
+
+def _compared(rows: DataFrame, tasks: list[str], similarity: float) -> DataFrame:
+    run = lambda pdf: alike(pdf, similarity)
+    return rows.groupBy(*tasks).applyInPandas(run, "a long, b long")
+
+
+def near_links(sets: DataFrame, texts: DataFrame, similarity: float = 0.8, task: int = TASK_BYTES) -> DataFrame:
+    """Links (a, b) whose components are those of all pairs of sets (node, row, size, keys), whose texts are at (row, keys, text) of texts, with a key in common and this Jaccard similarity or more.
+
+    Families are what shared keys connect. A family of more than `task` bytes is dealt into parts that meet
+    some of its documents each; then all of it but its largest component meets the whole family, in pairs of
+    parts, so that every pair not joined by then is compared.
+    """
+    keyed = sets.select("node", F.explode("keys").alias("key"))
+    lowest = keyed.groupBy("key").agg(F.min("node").alias("low"), F.count("*").alias("n")).where("n > 1").select("key", "low")
+    families = connected_components(keyed.join(lowest, "key").select(F.col("low").alias("a"), F.col("node").alias("b"))).withColumnRenamed("component", "family")
+    member = checkpointed(sets.select("node", "row", (2 * F.col("size") + 8 * BANDS).alias("bytes")).join(families, "node"))
+    large = F.ceil(F.sum("bytes") / F.lit(task)).cast("int")
+    sizes = member.groupBy("family").agg(large.alias("parts"), F.count("*").alias("n"))
+    dealt = member.join(sizes, "family")
+    own = F.pmod(F.xxhash64("node"), "parts").cast("int")
+    pivot = (F.col("parts") > 1) & (F.pmod(F.xxhash64("node", F.lit(1)), "n") < PIVOTS)
+    dealt = dealt.select("node", "row", "family", F.explode(F.when(pivot, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(own))).alias("part"))
+    links = checkpointed(_compared(dealt.withColumn("label", F.col("node")).join(texts, "row"), ["family", "part"], similarity))
+    hot = checkpointed(sizes.where("parts > 1").select("family"))
+    if hot.isEmpty():
+        return links
+    known = connected_components(links)
+    member = member.join(hot, "family").join(known, "node", "left").withColumn("label", F.coalesce("component", "node"))
+    weight = member.groupBy("family", "label").agg(F.sum("bytes").alias("bytes"))
+    main = weight.groupBy("family").agg(F.max_by("label", F.struct("bytes", "label")).alias("main"), F.max("bytes").alias("most"), F.sum("bytes").alias("all"))
+    main = main.select("family", "main", F.ceil(F.col("most") / F.lit(task)).cast("int").alias("p"), F.ceil((F.col("all") - F.col("most")) / F.lit(task)).cast("int").alias("q")).where("q > 0")
+    member = member.join(main, "family")
+    spot = F.when(F.col("label") == F.col("main"), F.pmod(F.xxhash64("node"), "p")).otherwise(F.col("p") + F.pmod(F.xxhash64("node"), "q")).cast("int")
+    member = member.withColumn("spot", spot)
+    # parts from p on hold the rest; they meet all parts, those before p never meet each other
+    met = F.sequence(F.when(F.col("spot") < F.col("p"), F.col("p")).otherwise(F.lit(0)), F.col("p") + F.col("q") - 1)
+    pairs = F.transform(met, lambda j: F.struct(F.least("spot", j).alias("i"), F.greatest("spot", j).alias("j")))
+    member = member.select("node", "row", "family", "label", F.explode(pairs).alias("pair")).select("node", "row", "family", "label", "pair.i", "pair.j")
+    return links.unionByName(_compared(member.join(texts, "row"), ["family", "i", "j"], similarity))
+
+
+def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = 0.8, task: int = TASK_BYTES) -> DataFrame:
     """Rows (doc_id, first) for every row of docs: first is the smallest doc_id of its group of near copies.
 
-    Documents are near copies at an estimated Jaccard similarity of five-word shingles of `similarity` or
-    more, estimated by the differing bits of a 256-bit SimHash sketch; candidates share a variant in one of eight
-    40-bit fingerprints. Blank texts are copies of one another.
+    Documents are near copies at an exact Jaccard similarity of their sets of five-word shingles of `similarity`
+    or more, among those that share a band of minima (0.9999 of the pairs at 0.8, more above). Blank texts are
+    copies of one another.
     """
-    names = [f"s{i}" for i in range(STAGE_LANES)]
-    prints = checkpointed(with_sketch(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", STAGE_WORDS, 42, STAGE_LANES))
-    first = checkpointed(prints.groupBy(*names).agg(F.min("doc_id").alias("first"), F.xxhash64(*names).alias("node")))
-    links = ball_links(first.select("node", *names), STAGE_LANES, STAGE_TABLES, radius, differing_bits(similarity, 64 * STAGE_LANES), group)
-    members = connected_components(links)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            sets = [shingle_set(t) for t in pdf["text"]]
+            nodes = np.array([xxhash.xxh64_intdigest(x.astype("<u8").tobytes()) for x in sets], np.uint64).view(np.int64)
+            yield pdf.assign(node=nodes, keys=[bands(x) for x in sets])
+
+    ids = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("row"))
+    prints = written(ids.mapInPandas(run, f"doc_id {ids.schema['doc_id'].dataType.simpleString()}, text string, row long, node long, keys array<long>"), "shingles")
+    first = checkpointed(prints.groupBy("node").agg(F.min("doc_id").alias("first"), F.min_by(F.struct("row", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")), "row").alias("at")))
+    sets = prints.join(first.select(F.col("at.row").alias("row"), F.col("at.size").alias("size")), "row").select("node", "row", "size", "keys")
+    members = connected_components(near_links(sets, prints.select("row", "keys", "text"), similarity, task))
     lowest = members.join(first.select("node", "first"), "node").groupBy("component").agg(F.min("first").alias("lowest"))
     lowest = members.join(lowest, "component").select("node", "lowest")
-    whole = first.join(lowest, "node", "left").select(*names, F.coalesce("lowest", "first").alias("first"))
-    return prints.join(whole, names).select("doc_id", "first")
+    whole = first.join(lowest, "node", "left").select("node", F.coalesce("lowest", "first").alias("first"))
+    return prints.select("doc_id", "node").join(whole, "node").select("doc_id", "first")
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:

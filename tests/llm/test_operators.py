@@ -51,6 +51,38 @@ def test_near_duplicates_group_copies(spark):
     assert {r["doc_id"]: r["first"] for r in simhash.near_duplicate_groups(docs).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
 
 
+def near_texts():
+    """Sets of 100 shingles and more: each document is its number of leading words of one line, then words of its own."""
+    draw, texts = np.random.default_rng(3), {}
+    for g in range(60):
+        line = [f"g{g}x{i}" for i in range(204)]
+        texts[10 * g] = " ".join(line)
+        for k, keep in enumerate((186, 182, 178, 150, 80), 1):  # at 0.83, 0.80 and below
+            texts[10 * g + k] = " ".join(line[:keep] + [f"o{draw.integers(1 << 40)}" for _ in range(204 - keep)])
+    texts[1000] = " ".join(["the same line again"] * 300 + [f"a{i}" for i in range(100)])
+    texts[1001] = " ".join(["the same line again"] * 300 + [f"b{i}" for i in range(100)])
+    return texts
+
+
+def brute_groups(texts, similarity=0.8):
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, t in texts.items() for w in [t.split()]}
+    group = {i: i for i in texts}
+    for i in sorted(sets):
+        for j in sorted(sets):
+            if i < j and group[i] != group[j] and len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]):
+                low, high = sorted((group[i], group[j]))
+                group = {d: low if g == high else g for d, g in group.items()}
+    return group
+
+
+def test_near_duplicates_equal_exact_jaccard(spark):
+    texts = near_texts()
+    docs = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")
+    want = brute_groups(texts)
+    assert len({*want.values()}) < len(want)
+    assert {r["doc_id"]: r["first"] for r in simhash.near_duplicate_groups(docs).collect()} == want
+
+
 def test_tokens_equal_the_library(spark, odd, none):
     lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     want = sorted((str(i), len(e := lib.encode(t or "", add_special_tokens=False).ids), hashlib.sha256(",".join(map(str, e)).encode()).hexdigest(), hashlib.sha256(lib.decode(e, skip_special_tokens=False).encode()).hexdigest()) for i, t in ODD)
