@@ -190,3 +190,16 @@ def test_lattice_recall(spark):
     want = {i: sum(1 for j in unit if j != i and rows[i]["label"] == rows[j]["label"] and unit[i] @ unit[j] >= 0.93) for i in unit}
     assert all(got[i] <= want.get(i, 0) for i in got)
     assert sum(got.values()) >= 0.9 * sum(want.values())
+
+
+def test_near_duplicates_in_crowded_families(spark):
+    # of 130 documents that share a third member's words with either neighbour, and of a large family of near copies dealt into many small tasks
+    draw, line = np.random.default_rng(5), [f"c{i}" for i in range(200)]
+    texts = {i: " ".join(line[: 60 + i]) for i in range(0, 140, 2)}
+    for i in range(200, 330):
+        keep = sorted(draw.choice(200, 2, replace=False).tolist())
+        texts[i] = " ".join(w if k not in keep else f"o{i}" for k, w in enumerate(line))
+    texts |= {400 + i: " ".join(line[:165] + [f"p{i}q{k}" for k in range(35)]) for i in range(20)}
+    docs = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")
+    for options in ({}, {"task": 1 << 15}):
+        assert {r["doc_id"]: r["first"] for r in simhash.near_duplicate_groups(docs, **options).collect()} == brute_groups(texts)
