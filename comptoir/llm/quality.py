@@ -21,6 +21,8 @@ from comptoir.llm.shared import table
 #: Bits of the three families' hashes; rated documents in the sample at most, documents from which it is split in shards, shards at most.
 TRIPLES, SHAPES, WORDS, SAMPLE, SHARE, SHARDS = 14, 12, 14, 24_000, 3000, 8
 GRADES, PASSES, RATE, DECAY, BLOCK = 3, 12, 0.5, 1e-5, 1 << 18
+#: One in this many of the sample is held out to calibrate; share of the held-out documents of the highest grade that stay kept.
+HELD, CLEAN = 5, 0.95
 #: Where each family ends; the last has the length's power of two, and sixteenths of distinct words and of the commonest word.
 ENDS = np.cumsum([1 << TRIPLES, 1 << SHAPES, 1 << WORDS, 96])
 SIZE = int(ENDS[-1])
@@ -78,10 +80,11 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Model:
-    """weights and ordered thresholds; None without rated documents."""
+    """weights and ordered thresholds; None without rated documents. least_top: the probability of the highest grade that a kept document needs."""
 
     weights: np.ndarray
     thresholds: np.ndarray
+    least_top: float = 0.0
 
     def tails(self, scores: np.ndarray) -> np.ndarray:
         """P(grade > k) for each k, by row."""
@@ -140,13 +143,27 @@ def fit(docs: DataFrame, ratings: DataFrame, doc_id: str = "doc_id", text: str =
         got = fit_shard(pdf["text"].tolist(), pdf["grade"].to_numpy(np.int64))
         return pd.DataFrame({"n": [len(pdf)], "weights": [got.weights.tobytes()], "thresholds": [got.thresholds.tolist()]})
 
+    held = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(HELD)) == 0 if total >= 10 * HELD else F.lit(False)
     shard = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(shards)).alias("shard")
-    parts = known.select("*", shard).groupBy("shard").applyInPandas(run, "n long, weights binary, thresholds array<double>").collect()  # SHARDS rows at most
+    parts = known.where(~held).select("*", shard).groupBy("shard").applyInPandas(run, "n long, weights binary, thresholds array<double>").collect()  # SHARDS rows at most
     if not parts:
         return None
     n = np.array([p["n"] for p in parts], float) / sum(p["n"] for p in parts)
     weights = sum(f * np.frombuffer(p["weights"], np.float32) for f, p in zip(n, parts, strict=True))
-    return Model(weights.astype(np.float32), sum(f * np.array(p["thresholds"]) for f, p in zip(n, parts, strict=True)))
+    model = Model(weights.astype(np.float32), sum(f * np.array(p["thresholds"]) for f, p in zip(n, parts, strict=True)))
+    told = graded_by(known.where(held), model).select("grade", "tail_probability", "top_probability").collect()  # a HELDth of `sample` rows of three numbers
+    model.least_top = calibrated(*np.array([tuple(r) for r in told], float).reshape(-1, 3).T)
+    return model
+
+
+def calibrated(grade: np.ndarray, tail: np.ndarray, top: np.ndarray, least: float = 0.5, clean: float = CLEAN) -> float:
+    """The least probability of the highest grade at which, of the held-out documents that pass by their tail, most of the highest grade and fewest of lower grades are kept; at least `clean` of the former. 0 if either are missing."""
+    good, other = np.sort(top[(tail >= least) & (grade == GRADES - 1)]), top[(tail >= least) & (grade < GRADES - 1)]
+    if not len(good) or not len(other):
+        return 0.0
+    cuts = good[: 1 + int((1 - clean) * len(good))]
+    gain = [np.mean(other < c) - np.mean(good < c) for c in cuts]
+    return float(cuts[int(np.argmax(gain))])
 
 
 def graded_by(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
@@ -167,12 +184,17 @@ def graded_by(docs: DataFrame, model: Model | None, text: str = "text") -> DataF
     return docs.mapInPandas(run, f"{fields}, expected_grade double, tail_probability double, top_probability double")
 
 
-def kept(least: float = 0.5) -> Column:
-    """Whether a graded row is kept: its tail probability is at least this, or there is no model."""
-    return F.coalesce(F.col("tail_probability") >= least, F.lit(True))
+def kept(least: float = 0.5, least_top: float = 0.0) -> Column:
+    """Whether a graded row is kept: its tail probability and that of the highest grade are at least these, or there is no model."""
+    return F.coalesce((F.col("tail_probability") >= least) & (F.col("top_probability") >= least_top), F.lit(True))
+
+
+def kept_by(model: Model | None) -> Column:
+    """kept at the model's own threshold of the highest grade, so that good but toxic documents go."""
+    return kept(least_top=model.least_top if model else 0.0)
 
 
 def op2_quality(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit(docs, graded(table(spark, sf_dir, "labels")))
-    return graded_by(docs, model).select("doc_id", "expected_grade", "tail_probability", "top_probability", kept().alias("kept"))
+    return graded_by(docs, model).select("doc_id", "expected_grade", "tail_probability", "top_probability", kept_by(model).alias("kept"))

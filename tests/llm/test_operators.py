@@ -203,3 +203,14 @@ def test_near_duplicates_in_crowded_families(spark):
     docs = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")
     for options in ({}, {"task": 1 << 15}):
         assert {r["doc_id"]: r["first"] for r in simhash.near_duplicate_groups(docs, **options).collect()} == brute_groups(texts)
+
+
+def test_quality_rejects_toxic_rows(spark):
+    d = "/root/testdata/sf0.1"
+    docs, rated = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"), quality.graded(spark.read.parquet(f"{d}/labels.parquet"))
+    train = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(4)) > 0
+    model = quality.fit(docs, rated.where(train))
+    got = quality.graded_by(docs.join(rated.where(~train), "doc_id"), model).select("grade", quality.kept_by(model).alias("kept")).collect()
+    toxic, clean = (np.mean([r["kept"] for r in got if r["grade"] == g]) for g in (1, 2))
+    print(toxic, clean)
+    assert toxic < 0.5 and clean > 0.9, (toxic, clean)
