@@ -9,14 +9,14 @@ need be: at most 2,081 fingerprints of 64 bits lie within two bits of one, so no
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
-from math import comb
+from math import acos, ceil, comb, log, pi, sqrt
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from comptoir.llm.graph import connected_components
@@ -24,6 +24,8 @@ from comptoir.llm.shared import checkpointed, table, written
 
 #: Shingles hashed at once, variants compared at once, records in a group before it is spread again.
 BLOCK, VARIANTS, GROUP = 1 << 15, 1 << 20, 1 << 17
+#: Members up to which all pairs of a run are compared at once.
+SHORT = 32
 
 
 def shingle_hashes(text: str, words: int, seed: int) -> Iterator[np.ndarray]:
@@ -42,35 +44,36 @@ def shingle_hashes(text: str, words: int, seed: int) -> Iterator[np.ndarray]:
         yield np.array([digest(line[a:b], seed) for a, b in zip(starts[i : i + BLOCK], ends[i : i + BLOCK], strict=True)], dtype=np.uint64)
 
 
-def sketch(text: str | None, words: int = 4, seed: int = 42, lanes: int = 1) -> np.ndarray:
-    """lanes x 64 sign bits over the shingles (repeats count); null and blank texts give zeros. Lanes after the first mix the same hash anew."""
+def _signs(h: np.ndarray, lane: int) -> np.ndarray:
+    """64 sums of bits over hashes; lanes after the first mix the same hash anew."""
+    x = h
+    if lane:  # the finaliser of SplitMix64 on h + lane * its increment
+        x = h + np.uint64((0x9E3779B97F4A7C15 * lane) & 0xFFFFFFFFFFFFFFFF)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return np.unpackbits(x.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
+
+
+def sketch(blocks: Iterable[np.ndarray], lanes: int = 1) -> np.ndarray:
+    """lanes x 64 majority bits over blocks of hashes; zeros without any."""
     n, votes = 0, np.zeros((lanes, 64), np.int64)
-    for h in shingle_hashes(text or "", words, seed):
+    for h in blocks:
         n += len(h)
         for lane in range(lanes):
-            if lane:  # the finaliser of SplitMix64 on h + lane * its increment
-                x = h + np.uint64((0x9E3779B97F4A7C15 * lane) & 0xFFFFFFFFFFFFFFFF)
-                x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-                x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            else:
-                x = h
-            bits = np.unpackbits(x.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            votes[lane] += bits.sum(axis=0, dtype=np.uint32)
+            votes[lane] += _signs(h, lane)
     return np.packbits(votes * 2 > n, axis=1, bitorder="little").view("<u8").ravel()
 
 
-def with_sketch(docs: DataFrame, text: str = "text", words: int = 4, seed: int = 42, lanes: int = 1) -> DataFrame:
-    """docs without the text, with s0, s1, ... (long): the lanes of its sketch."""
+def with_sketch(docs: DataFrame, text: str = "text", words: int = 4, seed: int = 42) -> DataFrame:
+    """docs without the text, with s0 (long): the sketch over its shingles, repeats included. Null and blank texts give zero."""
     kept = [c for c in docs.columns if c != text]
-    names = [f"s{i}" for i in range(lanes)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            got = [sketch(t, words, seed, lanes).view(np.int64) for t in pdf.pop(text)]
-            got = np.array(got, dtype=np.int64).reshape(-1, lanes)
-            yield pdf.assign(**{c: got[:, i] for i, c in enumerate(names)})
+            got = [sketch(shingle_hashes(t or "", words, seed)).view(np.int64)[0] for t in pdf.pop(text)]
+            yield pdf.assign(s0=np.array(got, dtype=np.int64))
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text] + [f"{c} long" for c in names])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text] + ["s0 long"])
     return docs.select(*kept, text).mapInPandas(run, schema)
 
 
@@ -95,7 +98,7 @@ def flips(left: int, width: int) -> list[np.ndarray]:
 
 
 def collide(key: np.ndarray, left: np.ndarray, width: int, use, own: np.ndarray | None = None) -> None:
-    """Calls use(owner, owner) with the neighbours in each run of equal variants.
+    """Calls use(runs, owners) with the entries that share their variant with others; those of a run stand together.
 
     key: the fingerprints, whose bits above width are settled; left: the flips that each may still make.
     """
@@ -121,49 +124,88 @@ def collide(key: np.ndarray, left: np.ndarray, width: int, use, own: np.ndarray
     order = np.argsort(made)
     made, owners = made[order], owners[order]
     same = made[1:] == made[:-1]
-    use(owners[:-1][same], owners[1:][same])
+    shared = np.concatenate((same, [False])) | np.concatenate(([False], same))
+    runs = np.cumsum(np.concatenate(([True], ~same)))
+    use(runs[shared], owners[shared])
+
+
+def join_runs(runs: np.ndarray, owners: np.ndarray, labels: np.ndarray, near) -> None:
+    """Joins the labels of all pairs of a run for which near(a, b) holds; pairs that are joined already are not compared."""
+
+    def joined(a: np.ndarray, b: np.ndarray) -> None:
+        apart = labels[a] != labels[b]
+        a, b = a[apart], b[apart]
+        if len(a):
+            fit = near(a, b)
+            merge(labels, a[fit], b[fit])
+
+    begin = np.concatenate(([0], np.flatnonzero(np.diff(runs)) + 1)) if len(runs) else np.zeros(0, np.int64)
+    size = np.diff(begin, append=len(runs))
+    small = np.repeat(size <= SHORT, size)
+    for d in range(1, SHORT):
+        at = np.flatnonzero((runs[d:] == runs[:-d]) & small[d:])
+        if not len(at):
+            break
+        joined(owners[at], owners[at + d])
+    for i in np.flatnonzero(size > SHORT):
+        own = np.unique(owners[begin[i] : begin[i] + size[i]])
+        for a in own[:SHORT]:
+            joined(np.full(len(own), a), own)
+        names, counts = np.unique(labels[own], return_counts=True)
+        for a in own[labels[own] != names[np.argmax(counts)]]:  # two ends that stay apart are not both in the largest set
+            joined(np.full(len(own), a), own)
 
 
 def _spread(rows: DataFrame, step: int, half: int, bits: int) -> DataFrame:
     """Each record once for every value that its next bits can take with the flips left."""
     masks = [(int(m), w) for w, ms in enumerate(flips(min(half, step), step)) for m in ms]
     each = F.explode(F.array(*[F.struct(F.lit(m).cast("long").alias("m"), F.lit(w).alias("w")) for m, w in masks])).alias("f")
-    shift = F.lit(bits) - F.col("depth") - step
+    shift = F.lit(bits) - F.col("depth").cast("int") - step
     chunk = F.call_function("shiftrightunsigned", F.col("key"), shift.cast("int")).bitwiseAND(F.lit((1 << step) - 1))
     return (
         rows.select("*", each)
         .where("f.w <= left")
-        .withColumns({"path": F.shiftleft("path", step).bitwiseOR(chunk.bitwiseXOR(F.col("f.m"))), "left": F.col("left") - F.col("f.w"), "depth": F.col("depth") + step})
+        .withColumns({"path": F.shiftleft("path", step).bitwiseOR(chunk.bitwiseXOR(F.col("f.m"))), "left": (F.col("left") - F.col("f.w")).cast("byte"), "depth": (F.col("depth") + step).cast("byte")})
         .drop("f")
     )
 
 
-def ball_links(sketches: DataFrame, lanes: int, tables: list[tuple[int, int, int]], radius: int, most: int, group: int = GROUP) -> DataFrame:
+def _key(first: int, bits: int) -> Column:
+    """`bits` bits of the sketch from bit `first` on."""
+    lane, off = divmod(first, 64)
+    got = F.call_function("shiftrightunsigned", F.col(f"s{lane}"), F.lit(off))
+    if off + bits > 64:
+        got = got.bitwiseOR(F.shiftleft(f"s{lane + 1}", 64 - off))
+    return got.bitwiseAND(F.lit((1 << bits) - 1 if bits < 64 else -1))
+
+
+def ball_links(sketches: DataFrame, checked: int, tables: int, bits: int, radius: int, most: int, group: int = GROUP, least: int = 8) -> DataFrame:
     """Links (a, b) of rows of sketches (node long, s0..), at most a tree for each group of records.
 
-    tables: (lane, first bit, bits) of each fingerprint taken from the sketch; pairs that share a variant
-    within radius // 2 flips in a table are verified: at most `most` differing bits over all lanes.
+    Each table takes the next `bits` bits of the sketch. Nodes that share a variant within radius // 2
+    flips in a table are linked if they differ in at most `most` bits of the first `checked` lanes, all
+    members of a variant being compared or joined already. More than `group` nodes with the very same variant are
+    linked to the smallest of them unchecked, without meeting in a task: only many copies of one text come to that.
     """
-    half, names = radius // 2, [f"s{i}" for i in range(lanes)]
+    half, names = radius // 2, [f"s{i}" for i in range(checked)]
     n = max(2, sketches.count())
-    keys = [
-        sketches.select("node", *names, F.lit(t).alias("t"), F.call_function("shiftrightunsigned", F.col(names[lane]), F.lit(first)).bitwiseAND(F.lit((1 << bits) - 1 if bits < 64 else -1)).alias("key"))
-        for t, (lane, first, bits) in enumerate(tables)
-    ]
-    rows = keys[0]
-    for more in keys[1:]:
-        rows = rows.unionByName(more)
-    bits = tables[0][2]
-    step = next((k for k in range(8, bits) if n * ball(half, k) / 2**k <= group / 2), bits)
-    rows = rows.withColumns({"left": F.lit(half), "path": F.lit(0).cast("long"), "depth": F.lit(0)})
-    rows, depth, calm = _spread(rows, step, half, bits), step, []
-    while depth < bits:
-        hot = checkpointed(rows.groupBy("t", "path").count().where(F.col("count") > group).select("t", "path"))
+    each = F.array(*[F.struct(F.lit(t).cast("byte").alias("t"), _key(t * bits, bits).alias("key")) for t in range(tables)])
+    rows = sketches.select("node", *names, F.explode(each).alias("of")).select("node", *names, "of.t", "of.key")
+    step = next((k for k in range(least, bits) if n * ball(half, k) / 2**k <= group / 2), bits)
+    rows = rows.withColumns({"left": F.lit(half).cast("byte"), "path": F.lit(0).cast("long"), "depth": F.lit(0).cast("byte")})
+    rows, depth, calm, stars = _spread(rows, step, half, bits), step, [], None
+    while True:
+        hot = checkpointed(rows.groupBy("t", "path").agg(F.count("*").alias("n"), F.min("node").alias("low")).where(F.col("n") > group))
         if hot.isEmpty():
             break
         calm.append(rows.join(hot, ["t", "path"], "left_anti"))
+        rows = rows.join(hot.select("t", "path", "low"), ["t", "path"])
+        if depth == bits:
+            stars = rows.select(F.col("low").alias("a"), F.col("node").alias("b")).where("a != b")
+            rows = rows.where("false").drop("low")
+            break
         step = min(8, bits - depth)
-        rows, depth = _spread(rows.join(hot, ["t", "path"], "left_semi"), step, half, bits), depth + step
+        rows, depth = _spread(rows.drop("low"), step, half, bits), depth + step
     for more in calm:
         rows = rows.unionByName(more)
 
@@ -172,17 +214,15 @@ def ball_links(sketches: DataFrame, lanes: int, tables: list[tuple[int, int, int
         nodes, whole = pdf["node"].to_numpy(), pdf[names].to_numpy(np.int64).view(np.uint64)
         labels = np.arange(len(pdf))
 
-        def use(a: np.ndarray, b: np.ndarray) -> None:
-            apart = labels[a] != labels[b]
-            a, b = a[apart], b[apart]
-            fit = np.bitwise_count(whole[a] ^ whole[b]).sum(axis=1, dtype=np.int64) <= most
-            merge(labels, a[fit], b[fit])
+        def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            return np.bitwise_count(whole[a] ^ whole[b]).sum(axis=1, dtype=np.int64) <= most
 
-        collide(pdf["key"].to_numpy(np.int64).view(np.uint64), pdf["left"].to_numpy(np.int64), bits - int(pdf["depth"].iloc[0]), use)
+        collide(pdf["key"].to_numpy(np.int64).view(np.uint64), pdf["left"].to_numpy(np.int64), bits - int(pdf["depth"].iloc[0]), lambda runs, owners: join_runs(runs, owners, labels, near))
         linked = np.flatnonzero(labels != np.arange(len(pdf)))
         return pd.DataFrame({"a": nodes[labels[linked]], "b": nodes[linked]})
 
-    return rows.groupBy("t", "depth", "path").applyInPandas(links, "a long, b long")
+    out = rows.groupBy("t", "depth", "path").applyInPandas(links, "a long, b long")
+    return out if stars is None else out.unionByName(stars)
 
 
 def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 4, seed: int = 42, radius: int = 4, group: int = GROUP) -> DataFrame:
@@ -195,7 +235,7 @@ def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     """
     prints = checkpointed(with_sketch(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", words, seed).withColumnRenamed("s0", "fp"))
     first = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    links = ball_links(first.select(F.col("fp").alias("node"), F.col("fp").alias("s0")), 1, [(0, 0, 64)], radius, radius, group)
+    links = ball_links(first.select(F.col("fp").alias("node"), F.col("fp").alias("s0")), 1, 1, 64, radius, radius, group)
     members = connected_components(links).withColumnRenamed("node", "fp")
     lowest = members.join(first, "fp").groupBy("component").agg(F.min("first").alias("lowest"))
     lowest = members.join(lowest, "component").select("fp", "lowest")
@@ -203,9 +243,10 @@ def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     return prints.join(whole, "fp").select("doc_id", "fp", "component_id")
 
 
-#: Near-duplicate stage: shingles of five words; bands of minima that two documents must share one of to be compared; bytes of shingle sets in a task; documents of a family that all its tasks see.
-STAGE_WORDS, BANDS, ROWS, TASK_BYTES, PIVOTS = 5, 32, 6, 1 << 26, 64
-_TURNS = np.random.default_rng(7).integers(0, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Near-duplicate stage: shingles of five words; radius of its tables; recall at the similarity asked for; chance neighbours of a document in a table at most; lanes carried with each record; bytes of shingle sets in a task; documents of a family that all its tasks see.
+STAGE_WORDS, STAGE_RADIUS, RECALL, CHANCE, CHECKED, TASK_BYTES, PIVOTS = 5, 2, 0.99, 64, 2, 1 << 26, 64
+#: Records in a group of the stage, which holds smaller ones.
+STAGE_GROUP = 1 << 20
 
 
 def shingle_set(text: str | None, words: int = STAGE_WORDS, seed: int = 42) -> np.ndarray:
@@ -214,29 +255,37 @@ def shingle_set(text: str | None, words: int = STAGE_WORDS, seed: int = 42) -> n
     return np.unique(np.concatenate(blocks)) if blocks else np.zeros(0, np.uint64)
 
 
-def bands(hashes: np.ndarray) -> np.ndarray:
-    """BANDS keys of ROWS minima each: two sets of Jaccard similarity J share a key with probability 1 - (1 - J^ROWS)^BANDS, 0.9999 at 0.8."""
-    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(hashes), 2048):
-        low = np.minimum(low, (hashes[i : i + 2048, None] * _TURNS[0] + _TURNS[1]).min(axis=0))
-    low, key = low.reshape(BANDS, ROWS), np.arange(1, BANDS + 1, dtype=np.uint64)
-    for i in range(ROWS):
-        key = (key ^ low[:, i]) * np.uint64(0xBF58476D1CE4E5B9)
-        key ^= key >> np.uint64(29)
-    return key.view(np.int64)
+def differing(similarity: float) -> float:
+    """The share of sketch bits in which sets of this Jaccard similarity differ; a hundredth more, for short texts and sets of unlike size."""
+    return acos(2 * similarity / (1 + similarity)) / pi + 0.01
+
+
+def at_most(bits: int, similarity: float) -> int:
+    """Differing bits out of `bits` that sets of this similarity stay within, but for a few in a million."""
+    p = differing(similarity)
+    return ceil(bits * p + 4.5 * sqrt(bits * p * (1 - p)))
+
+
+def table_plan(n: int, similarity: float, radius: int = STAGE_RADIUS, recall: float = RECALL, chance: float = CHANCE) -> tuple[int, int]:
+    """(tables, bits of each) for n sketches: bits so that unlike ones rarely meet, tables so that a pair at `similarity` meets in one with probability `recall`, at every n."""
+    p = differing(similarity)
+    bits = next((b for b in range(12, 64) if n * ball(radius, b) / 2**b <= chance), 64)
+    meets = sum(comb(bits, i) * p**i * (1 - p) ** (bits - i) for i in range(radius + 1))
+    return max(1, ceil(log(1 - recall) / log(1 - meets))), bits
 
 
 def alike(pdf: pd.DataFrame, similarity: float) -> pd.DataFrame:
-    """Links (a, b) that join the rows (node, label, keys, text) with a key in common and this exact Jaccard similarity or more; pairs that links or equal labels join already are not compared."""
+    """Links (a, b) that join the rows (node, label, text, s0..) of this exact Jaccard similarity or more; pairs that links or equal labels join already, or whose sketches lie too far apart, are not compared."""
     pdf = pdf.sort_values("node", ignore_index=True)
-    nodes, keys = pdf["node"].to_numpy(), np.stack(pdf["keys"].to_numpy())
+    nodes, lanes = pdf["node"].to_numpy(), pdf[[c for c in pdf.columns if c[0] == "s" and c[1:].isdigit()]].to_numpy(np.int64).view(np.uint64)
+    most = at_most(64 * lanes.shape[1], similarity)
     sets = [shingle_set(t) for t in pdf["text"]]
     sizes, labels = np.array([len(x) for x in sets]), np.unique(pdf["label"].to_numpy(), return_inverse=True)[1]
     a, b = [], []
     for i in range(len(nodes) - 1):
         js = np.flatnonzero(labels[i + 1 :] != labels[i]) + i + 1
         js = js[np.minimum(sizes[js], sizes[i]) >= similarity * np.maximum(sizes[js], sizes[i]) - 1e-9]
-        js = js[(keys[js] == keys[i]).any(axis=1)]
+        js = js[np.bitwise_count(lanes[js] ^ lanes[i]).sum(axis=1, dtype=np.int64) <= most]
         joined = set()
         for j in js.tolist():
             if labels[j] not in joined:
@@ -255,17 +304,14 @@ def _compared(rows: DataFrame, tasks: list[str], similarity: float) -> DataFrame
     return rows.groupBy(*tasks).applyInPandas(run, "a long, b long")
 
 
-def near_links(sets: DataFrame, texts: DataFrame, similarity: float = 0.8, task: int = TASK_BYTES) -> DataFrame:
-    """Links (a, b) whose components are those of all pairs of sets (node, row, size, keys), whose texts are at (row, keys, text) of texts, with a key in common and this Jaccard similarity or more.
+def near_links(sets: DataFrame, texts: DataFrame, families: DataFrame, similarity: float = 0.8, task: int = TASK_BYTES) -> DataFrame:
+    """Links (a, b) whose components are those of all pairs of one family at this exact Jaccard similarity or more.
 
-    Families are what shared keys connect. A family of more than `task` bytes is dealt into parts that meet
-    some of its documents each; then all of it but its largest component meets the whole family, in pairs of
-    parts, so that every pair not joined by then is compared.
+    sets: (node, row, size); texts: (row, text, s0..); families: (node, family). A family of more than
+    `task` bytes is dealt into parts that meet some of its documents each; then all of it but its largest
+    component meets the whole family, in pairs of parts, so that every pair not joined by then is compared.
     """
-    keyed = sets.select("node", F.explode("keys").alias("key"))
-    lowest = keyed.groupBy("key").agg(F.min("node").alias("low"), F.count("*").alias("n")).where("n > 1").select("key", "low")
-    families = connected_components(keyed.join(lowest, "key").select(F.col("low").alias("a"), F.col("node").alias("b"))).withColumnRenamed("component", "family")
-    member = checkpointed(sets.select("node", "row", (2 * F.col("size") + 8 * BANDS).alias("bytes")).join(families, "node"))
+    member = checkpointed(sets.select("node", "row", (2 * F.col("size") + 64).alias("bytes")).join(families, "node"))
     large = F.ceil(F.sum("bytes") / F.lit(task)).cast("int")
     sizes = member.groupBy("family").agg(large.alias("parts"), F.count("*").alias("n"))
     dealt = member.join(sizes, "family")
@@ -291,25 +337,33 @@ def near_links(sets: DataFrame, texts: DataFrame, similarity: float = 0.8, task:
     return links.unionByName(_compared(member.join(texts, "row"), ["family", "i", "j"], similarity))
 
 
-def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = 0.8, task: int = TASK_BYTES) -> DataFrame:
+def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = 0.8, task: int = TASK_BYTES, recall: float = RECALL, group: int = STAGE_GROUP) -> DataFrame:
     """Rows (doc_id, first) for every row of docs: first is the smallest doc_id of its group of near copies.
 
-    Documents are near copies at an exact Jaccard similarity of their sets of five-word shingles of `similarity`
-    or more, among those that share a band of minima (0.9999 of the pairs at 0.8, more above). Blank texts are
-    copies of one another.
+    Ball hashing of the sketches of the sets of five-word shingles gives families of candidates, and the exact
+    Jaccard similarity of those sets decides within a family: `similarity` or more makes near copies. A pair at just that
+    similarity meets with probability `recall`, more above. Blank texts are copies of one another; repeated
+    rows and null ids stay as rows, and a null id names no group unless all its ids are null. Other columns are dropped.
     """
+    tables, bits = table_plan(max(2, docs.count()), similarity)
+    lanes = max(2, -(-tables * bits // 64))
+    names = [f"s{i}" for i in range(lanes)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             sets = [shingle_set(t) for t in pdf["text"]]
             nodes = np.array([xxhash.xxh64_intdigest(x.astype("<u8").tobytes()) for x in sets], np.uint64).view(np.int64)
-            yield pdf.assign(node=nodes, keys=[bands(x) for x in sets])
+            got = np.array([sketch([x], lanes).view(np.int64) for x in sets], np.int64).reshape(-1, lanes)
+            yield pdf.assign(node=nodes, **{c: got[:, i] for i, c in enumerate(names)})
 
     ids = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("row"))
-    prints = written(ids.mapInPandas(run, f"doc_id {ids.schema['doc_id'].dataType.simpleString()}, text string, row long, node long, keys array<long>"), "shingles")
-    first = checkpointed(prints.groupBy("node").agg(F.min("doc_id").alias("first"), F.min_by(F.struct("row", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")), "row").alias("at")))
-    sets = prints.join(first.select(F.col("at.row").alias("row"), F.col("at.size").alias("size")), "row").select("node", "row", "size", "keys")
-    members = connected_components(near_links(sets, prints.select("row", "keys", "text"), similarity, task))
+    prints = written(ids.mapInPandas(run, f"doc_id {ids.schema['doc_id'].dataType.simpleString()}, text string, row long, node long, {', '.join(f'{c} long' for c in names)}"), "shingles")
+    at = F.struct("row", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"), *names)
+    first = checkpointed(prints.groupBy("node").agg(F.min("doc_id").alias("first"), F.min_by(at, "row").alias("at")))
+    checked = min(lanes, CHECKED)
+    near = ball_links(first.select("node", *[f"at.{c}" for c in names]), checked, tables, bits, STAGE_RADIUS, at_most(64 * checked, similarity), group, 0)
+    families = connected_components(near).withColumnRenamed("component", "family")
+    members = connected_components(near_links(first.select("node", "at.row", "at.size"), prints.select("row", "text", *names), families, similarity, task))
     lowest = members.join(first.select("node", "first"), "node").groupBy("component").agg(F.min("first").alias("lowest"))
     lowest = members.join(lowest, "component").select("node", "lowest")
     whole = first.join(lowest, "node", "left").select("node", F.coalesce("lowest", "first").alias("first"))

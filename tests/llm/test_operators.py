@@ -214,3 +214,34 @@ def test_quality_rejects_toxic_rows(spark):
     toxic, clean = (np.mean([r["kept"] for r in got if r["grade"] == g]) for g in (1, 2))
     print(toxic, clean)
     assert toxic < 0.5 and clean > 0.9, (toxic, clean)
+
+
+def test_near_duplicates_on_one_key(spark, monkeypatch):
+    # 300 pairs of near copies whose sketches agree in all bits that the tables look at, and groups so small that full-depth groups are met unchecked
+    draw, texts = np.random.default_rng(8), {}
+    for g in range(300):
+        line = [f"k{g}x{i}" for i in range(120)]
+        texts[2 * g], texts[2 * g + 1] = " ".join(line), " ".join(line[:-4] + [f"o{draw.integers(1 << 40)}" for _ in range(4)])
+    docs = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")
+    monkeypatch.setattr(simhash, "_key", lambda first, bits: F.lit(5).cast("long"))
+    monkeypatch.setattr(simhash, "table_plan", lambda n, similarity: (1, 12))
+    for group in (1 << 20, 64):
+        assert {r["doc_id"]: r["first"] for r in simhash.near_duplicate_groups(docs, group=group, task=1 << 18).collect()} == brute_groups(texts)
+
+
+def test_near_duplicates_recall_at_the_edge():
+    # sketches of sets at a Jaccard similarity of 0.80 to 0.81 meet in a table as often as the plan says
+    draw = np.random.default_rng(9)
+    tables, bits = simhash.table_plan(200_000, 0.8)
+    lanes, met = -(-tables * bits // 64), 0
+    for _ in range(400):
+        own = draw.integers(0, 1 << 63, 220, dtype=np.uint64)
+        a, b = (np.unpackbits(simhash.sketch([x], lanes).view(np.uint8), bitorder="little")[: tables * bits].reshape(tables, bits) for x in (own[:200], np.concatenate([own[:178], own[200:]])))
+        met += bool(((a != b).sum(axis=1) <= simhash.STAGE_RADIUS).any())
+    assert met >= 0.98 * 400, met
+
+
+def test_near_duplicates_odd_rows(spark, odd, none):
+    got = {(r["doc_id"], r["first"]) for r in simhash.near_duplicate_groups(odd).collect()}
+    assert got == {(1, 1), (2, 2), (3, 2), (4, 2), (5, 1), (5, 5), (None, 5), (7, 7), (8, 8), (9, 9)}
+    assert simhash.near_duplicate_groups(none).count() == 0
