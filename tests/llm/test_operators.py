@@ -1,6 +1,8 @@
 """The operators against brute force, exact round trips and odd rows."""
 
 import hashlib
+import math
+import re
 import zlib
 
 import numpy as np
@@ -245,3 +247,58 @@ def test_near_duplicates_odd_rows(spark, odd, none):
     got = {(r["doc_id"], r["first"]) for r in simhash.near_duplicate_groups(odd).collect()}
     assert got == {(1, 1), (2, 2), (3, 2), (4, 2), (5, 1), (5, 5), (None, 5), (7, 7), (8, 8), (9, 9)}
     assert simhash.near_duplicate_groups(none).count() == 0
+
+
+def brute_terms(text):
+    return {w for w in re.split(r"[\W_]+", text.lower()) if w}
+
+
+def test_imatch_equals_brute_force(spark):
+    # digests are rebuilt from Spark's own hash of single terms; document frequencies by counting in slots of 18 bits
+    draw = np.random.default_rng(4)
+    texts = [" ".join(f"t{k}" for k in draw.integers(0, 400, size)) for size in (0, 1, 5, 40, 40, 300, 900, 2500)] + ["t1 t1 t2", "t1 t1 t2", None, "  "]
+    ids = [5, 1, 9, 7, 3, 11, 13, 2, 4, 4, 8, None]
+    docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").repartition(3)
+    clean = sorted(((i is not None, i or 0, t or "") for i, t in zip(ids, texts)))
+    words = sorted({w for _, _, t in clean for w in brute_terms(t)})
+    hashed = {r["w"]: r["h"] for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
+    slots = [{hashed[w] >> 46 for w in brute_terms(t)} for _, _, t in clean]
+    counts = {w: sum(hashed[w] >> 46 in s for s in slots) for w in words}
+    most = max(imatch.SHARE * len(clean), imatch.LEAST)
+
+    def kept(text):
+        own = [hashed[w] for w in brute_terms(text)]
+        band = [hashed[w] for w in brute_terms(text) if imatch.LEAST <= counts[w] <= most]
+        return sorted(band or own)
+
+    def held(terms):  # the sparse subsets' terms, by the rate
+        rate = max(0, math.floor(math.log2(max(1, len(terms)) / imatch.FULL) / 2))
+        return rate, [[[h for h in terms if h % 4 ** (rate + step) == 0 and (h % 2**64 >> 59) ^ 16 == k] for k in range(32)] for step in (0, 1)]
+
+    def share(a, b):
+        told = [(x, y) for x, y in zip(a, b) if x or y]
+        return sum(x == y for x, y in told) / len(told) if told else 0.0
+
+    def near(a, b):
+        if a == b:
+            return 1.0
+        (r, x), (s, y) = held(a), held(b)
+        dense = share(*[[[-1] + [h for h in t if h >> 24 + 2 * i & 3] for i in range(imatch.DENSE)] for t in (a, b)])
+        sparse = max(share(x[0], y[0]), share(x[1], y[1])) if r == s else share(x[1], y[0]) if s == r + 1 else share(x[0], y[1]) if s == r - 1 else 0.0
+        return max(dense, sparse)
+
+    want = []
+    for at, (known, i, t) in enumerate(clean):
+        after = clean[(at + 1) % len(clean)][2]
+        half = len(t) // 2
+        edited = t[: len(t) - half] + after[:half]
+        unknown = brute_terms(edited) - set(words)  # words that the cut makes
+        want.append((str(i if known else None), len(t), edited, None if unknown else round(near(kept(t), kept(edited)), 9), round(near(kept(t), kept(after)), 9)))
+    got = [(str(r["doc_id"]), r["n_chars"], r["edited"], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in imatch.edited_likeness(docs).collect()]
+    key = lambda r: r[:3]
+    assert len(got) == len(want)
+    for g, w in zip(sorted(got, key=key), sorted(want, key=key)):
+        assert g[:3] == w[:3] and g[4] == w[4] and w[3] in (None, g[3]), (g, w)
+    one = imatch.edited_likeness(docs.where("doc_id = 9")).first()
+    assert one["edited"] != "" and one["near_next"] == 1.0
+    assert imatch.edited_likeness(docs.limit(0)).count() == 0
