@@ -302,3 +302,52 @@ def test_imatch_equals_brute_force(spark):
     one = imatch.edited_likeness(docs.where("doc_id = 9")).first()
     assert one["edited"] != "" and one["near_next"] == 1.0
     assert imatch.edited_likeness(docs.limit(0)).count() == 0
+
+
+BASE_PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def luhn(digits):
+    return sum(sum(divmod(2 * int(d), 10)) if i % 2 else int(d) for i, d in enumerate(reversed(digits))) % 10 == 0
+
+
+def brute_spans(text):
+    out = []
+    for kind, pattern in BASE_PATTERNS.items():
+        for m in re.finditer(pattern, text or ""):
+            digits = re.sub("[^0-9]", "", m[0])
+            fine = {"email": True, "ip": kind == "ip" and all(int(p) <= 255 for p in m[0].split(".")), "card": 13 <= len(digits) <= 19 and luhn(digits), "phone": 9 <= len(digits) <= 15}[kind]
+            out += [f"{kind}:{m.start()}:{m.end()}"] * fine
+    return out
+
+
+def test_op3_base_spans_equal_brute_force(spark):
+    d = "/root/testdata/sf0.01"
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()}
+    rows = pii.op3_pii(spark, d).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        want = brute_spans(texts[r["doc_id"]])
+        assert [r[f"n_{k}"] for k in BASE_PATTERNS] == [sum(x.startswith(k) for x in want) for k in BASE_PATTERNS], texts[r["doc_id"]]
+        assert r["base_sha256"] == hashlib.sha256(",".join(want).encode()).hexdigest()
+        assert set(filter(None, r["spans"].split(","))) >= set(want)
+
+
+def test_base_spans_of_hard_texts(spark):
+    texts = ["1.2.3.4.5.6.7.8 256.1.1.1 001.002.003.004", "4111 1111 1111 1111 4111-1111-1111-1111 5", "41111111111111111111111", "a@b.c@d.e x@y..z %+@-.-", "+1 (2) 3-4.5 6789 0 +12", "😀 jean@ex.fr 4111111111111111", "1 2 3 4 5 6 7 8 9 0 1 2 8", "4111  1111-1111 1111 1111", "", None, "\x01a@b.fr\x01"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: [f"{pii.KINDS[x['kind']]}:{x['start']}:{x['end']}" for x in r["base"]] for r in pii.detect(docs, pii.Detector()).collect()}
+    assert got == {i: brute_spans(t) for i, t in enumerate(texts)}
+
+
+def test_pii_model_finds_what_no_base_rule_holds(spark):
+    wanted = ["write to karl.huber [at] web [dot] de today", "e-mail: zoë.müller@büro.de", "server 2001:db8a:85f3:0c3d:1319:8a2e:0370:7344 is up", "card 4012.8888.8888.1881 was paid", "call 030 555 12 34 today"]
+    left = ["on 12/10/2020 at noon", "it took 12:34:56:07 in all", "version 2020-11-03 12 of it", "us@home each", "row 4012.8888.8888.1882 of it"]
+    docs = spark.createDataFrame([(i, t, "own", [1], "x", 7) for i, t in enumerate([*wanted, *left, None, ""])], "doc_id long, text string, spans string, base array<int>, _row string, n_chars int")
+    model = pii.fit_detector(docs)
+    rows = {r["doc_id"]: r for r in pii.redact(docs, model, chars="n_chars").collect()}
+    changed = {i for i, t in enumerate([*wanted, *left, None, ""]) if rows[i]["text"] != t}
+    assert changed == set(range(len(wanted))), {i: rows[i]["text"] for i in rows}
+    assert all((r["spans"], r["base"], r["_row"]) == ("own", [1], "x") for r in rows.values())
+    assert all(r["n_chars"] == (len(r["text"]) if i in changed else 7) for i, r in rows.items())
+    assert pii.redact(docs.limit(0), pii.fit_detector(docs.limit(0))).columns == docs.columns
