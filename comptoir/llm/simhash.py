@@ -244,7 +244,7 @@ def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
 
 #: Near-duplicate stage: shingles of five words; radius of its tables; recall at the similarity asked for; chance neighbours of a document in a table at most; lanes carried with each record; bytes of shingle sets in a task; documents of a family that all its tasks see.
-STAGE_WORDS, STAGE_RADIUS, RECALL, CHANCE, CHECKED, TASK_BYTES, PIVOTS = 5, 2, 0.99, 64, 2, 1 << 26, 64
+STAGE_WORDS, STAGE_RADIUS, RECALL, CHANCE, CHECKED, TASK_BYTES, PIVOTS = 5, 2, 0.99, 64, 2, 1 << 24, 64
 #: Records in a group of the stage, which holds smaller ones.
 STAGE_GROUP = 1 << 20
 

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 #: Chunks in a generation of the memo (there are two); longer chunks are encoded but not kept; letters of text in a block.
-KEEP, LONG, TEXT = 400_000, 256, 8_000_000
+KEEP, LONG, TEXT = 200_000, 256, 4_000_000
 BYTE_BPE, WORD_BPE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 _CLOSE, _SPACE = re.compile(r"\s\s"), re.compile(r"(?<=\S) (?=\S)")
 _LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
