@@ -1,9 +1,10 @@
 """Token-id files compressed by Re-Pair grammars, one for each shard.
 
-A shard holds whole documents in ascending doc_id order. In rounds, its frequent pairs of neighbouring
-symbols become nonterminals; a pair never crosses a document's end, so that a document can be read by
-expanding its own symbols only. A shard stores its rules, the length of each rule's expansion,
-where each document's symbols begin, and the symbols.
+A shard holds whole documents in ascending doc_id order. Its ids are numbered anew by those in use, and
+in rounds its most frequent pairs of neighbouring symbols become nonterminals, until no pair is left
+whose uses pay for its rule; a pair never crosses a document's end, so that a document can be read by
+expanding its own symbols only. A shard stores its ids in use, its rules, the length of each rule's
+expansion, where each document's symbols begin, and the symbols.
 """
 
 from __future__ import annotations
@@ -21,54 +22,76 @@ from pyspark.sql import functions as F
 from comptoir.llm.shared import table, written
 from comptoir.llm.tokens import BYTE_BPE, bases, encoder
 
-MAGIC, SHARD = b"RPG1", 1 << 20
-#: Rounds of replacement, the count from which a pair is frequent, and rules in a round at most. 2 ** HASH counters of pairs.
-ROUNDS, FREQUENT, RULES, HASH = 3, 24, 4096, 18
-HEAD = struct.Struct("<4sIIIQ")
-
-
-def grammar(seq: np.ndarray, first: np.ndarray, terminals: int, rounds: int = ROUNDS, frequent: int = FREQUENT, rules: int = RULES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, first, rules): seq with its frequent pairs replaced; first marks the symbols that begin a document."""
-    made = [np.zeros((0, 2), np.uint32)]
-    for _ in range(rounds):
-        a, b = seq[:-1], seq[1:]
-        slot = ((a * np.uint32(0x9E3779B1)) ^ (b * np.uint32(0x85EBCA77))) >> np.uint32(32 - HASH)
-        code = (a.astype(np.uint64) << np.uint64(32)) | b
-        apart = first[1:]
-        owner = np.zeros(1 << HASH, np.uint64)
-        owner[slot] = code  # of the pairs that share a counter, one is counted in this round
-        own = (owner[slot] == code) & ~apart
-        counts = np.bincount(slot[own], minlength=1 << HASH)
-        taken = np.flatnonzero(counts >= frequent)
-        taken = taken[np.argsort(-counts[taken], kind="stable")[:rules]]
-        if not len(taken):
+MAGIC, SHARD = b"RPG2", 1 << 20
+#: Uses from which a rule pays: it takes three numbers, and each use saves one. Pairs of a round have this share of the commonest one's count at least. 2 ** HASH slots to find rules by. A round that saves less than one symbol in so many is the last.
+LEAST, SHARE, HASH, LITTLE = 4, 128, 18, 1000
+#: magic, ids in use, rules, documents, symbols, bytes of a length
+HEAD = struct.Struct("<4sIIIIB")
+
+
+def grammar(seq: np.ndarray, first: np.ndarray, terminals: int, limit: int = 1 << 16, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols, first, rules, lengths): seq with its pairs replaced; first: where the documents' symbols begin.
+
+    Counts are exact. Each round takes the pairs that are frequent beside the commonest, gives way to the more
+    frequent of two that overlap, and makes rules of those used `least` times or more. It ends when there
+    are none, when a round saves less than one symbol in LITTLE, or when `limit` symbols are in use, from where a rule would widen every symbol.
+    """
+    narrow = limit <= 1 << 16
+    shift, kind = (np.uint32(16), np.uint32) if narrow else (np.uint64(32), np.uint64)
+    turn, drop = (np.uint32(0x9E3779B1), np.uint32(32 - HASH)) if narrow else (np.uint64(0x9E3779B97F4A7C15), np.uint64(64 - HASH))
+    seq, made, lengths = seq.astype(kind), [np.zeros((0, 2), np.uint32)], np.ones(terminals, np.int64)
+    rule = np.full(1 << HASH, -1, np.int32)
+    while len(lengths) < limit and len(seq) > 1:
+        code = seq[:-1] << shift
+        code |= seq[1:]
+        some = np.sort(code)
+        begin = np.flatnonzero(some[1:] != some[:-1]) + 1
+        begin = np.concatenate(([0], begin))
+        counts = np.diff(begin, append=len(some))
+        edges = first[1:] - 1
+        names, n = np.unique(code[edges], return_counts=True)  # pairs over documents' ends do not count
+        counts[np.searchsorted(some[begin], names)] -= n
+        often = np.flatnonzero(counts >= max(least, counts.max() // SHARE))
+        if not len(often):
             break
-        rule = np.full(1 << HASH, -1, np.int32)
-        rule[taken] = np.arange(len(taken))
-        at = np.flatnonzero(own & (rule[slot] >= 0))
-        hit = rule[slot[at]]
-        fresh = np.flatnonzero(np.diff(at, prepend=-2) != 1)  # of overlapping pairs, every second is replaced
-        lone = (np.arange(len(at)) - np.repeat(fresh, np.diff(fresh, append=len(at)))) % 2 == 0
-        at, hit = at[lone], hit[lone]
-        seq = seq.copy()
-        seq[at] = (terminals + sum(map(len, made)) + hit).astype(np.uint32)
+        pairs, counts = some[begin[often]], counts[often].astype(np.int32)
+        order = np.argsort(counts, kind="stable")  # the commonest last, so that it has its slot
+        pairs, counts = pairs[order], counts[order]
+        slot = (pairs * turn) >> drop
+        rule[slot] = np.arange(len(pairs), dtype=np.int32)
+        hit = rule[(code * turn) >> drop]
+        rule[slot] = -1
+        hit[edges] = -1
+        at = np.flatnonzero(hit >= 0)
+        at = at[pairs[hit[at]] == code[at]]
+        weight = np.zeros(len(seq) + 1, np.int32)
+        weight[at + 1] = own = counts[hit[at]]
+        at = at[(own >= weight[at]) & (own >= weight[at + 2])]
+        fresh = np.flatnonzero(np.diff(at, prepend=-2) != 1)  # of equal pairs in a row, every second is replaced
+        at = at[(np.arange(len(at)) - np.repeat(fresh, np.diff(fresh, append=len(at)))) % 2 == 0]
+        uses = np.bincount(hit[at], minlength=len(pairs))
+        good = np.flatnonzero(uses >= least)
+        good = good[np.argsort(-uses[good], kind="stable")][: limit - len(lengths)]
+        if not len(good):
+            break
+        name = np.full(len(pairs), -1, np.int64)
+        name[good] = len(lengths) + np.arange(len(good))
+        new = name[hit[at]]
+        at, new = at[new >= 0], new[new >= 0]
+        seq[at] = new.astype(kind)
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
-        seq, first = seq[keep], first[keep]
-        made.append(np.stack([owner[taken] >> np.uint64(32), owner[taken] & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32))
-    return seq, first, np.concatenate(made)
-
-
-def spans(rules: np.ndarray, terminals: int) -> np.ndarray:
-    """Length of every symbol's expansion; a rule only names symbols before it."""
-    length = np.ones(terminals + len(rules), np.int64)
-    for i, (a, b) in enumerate(rules.tolist()):
-        length[terminals + i] = length[a] + length[b]
-    return length
+        seq, first = seq[keep], first - np.searchsorted(at, first)
+        two = np.stack([pairs[good] >> shift, pairs[good] & kind((1 << int(shift)) - 1)], axis=1)
+        made.append(two.astype(np.uint32))
+        lengths = np.concatenate((lengths, lengths[two].sum(axis=1)))
+        if len(at) * LITTLE < len(seq):
+            break
+    return seq, first, np.concatenate(made), lengths[terminals:]
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, terminals: int) -> np.ndarray:
-    """The ids that symbols stand for: all nonterminals by one level in each turn."""
+    """The terminals that symbols stand for: all nonterminals by one level in each turn."""
     while len(rules) and (deep := symbols >= terminals).any():
         out = np.repeat(symbols, deep + 1)
         at = np.flatnonzero(deep) + np.arange(int(deep.sum()))
@@ -78,50 +101,67 @@ def expand(symbols: np.ndarray, rules: np.ndarray, terminals: int) -> np.ndarray
     return symbols
 
 
-def pack_shard(docs: list[np.ndarray], terminals: int) -> bytes:
+def pack_shard(docs: list[np.ndarray]) -> bytes:
     """A shard of documents of at least one id each."""
-    seq = np.concatenate(docs).astype(np.uint32)
-    first = np.zeros(len(seq), bool)
-    first[np.cumsum([0, *map(len, docs[:-1])])] = True
-    symbols, first, rules = grammar(seq, first, terminals)
-    wide = np.dtype("<u2" if terminals + len(rules) <= 1 << 16 else "<u4")
-    lengths = spans(rules, terminals)[terminals:].astype("<u4")
-    parts = rules.astype("<u4"), lengths, np.flatnonzero(first).astype("<u8"), symbols.astype(wide)
-    return HEAD.pack(MAGIC, terminals, len(rules), len(docs), len(symbols)) + b"".join(x.tobytes() for x in parts)
+    seq = np.concatenate(docs).astype(np.int64)
+    first = np.cumsum([0, *map(len, docs[:-1])])
+    in_use = np.zeros(int(seq.max()) + 1, bool)
+    in_use[seq] = True
+    used = np.flatnonzero(in_use)
+    symbols, first, rules, lengths = grammar((np.cumsum(in_use) - 1)[seq], first, len(used), 1 << 16 if len(used) <= 1 << 16 else 1 << 31)
+    wide = _width(len(used), len(rules))
+    size = np.dtype("<u2" if lengths.max(initial=0) < 1 << 16 else "<u4")
+    parts = used.astype("<u4"), rules.astype(wide), lengths.astype(size), first.astype("<u4"), symbols.astype(wide)
+    return HEAD.pack(MAGIC, len(used), len(rules), len(docs), len(symbols), size.itemsize) + b"".join(x.tobytes() for x in parts)
+
+
+def _width(used: int, rules: int) -> np.dtype:
+    return np.dtype("<u2" if used + rules <= 1 << 16 else "<u4")
 
 
 class Shard:
     """Reads a shard; read(i) expands the symbols of document i alone, ids(i, j) those of tokens i to j of the shard."""
 
     def __init__(self, raw: bytes) -> None:
-        magic, self.terminals, n_rules, n_docs, n = HEAD.unpack_from(raw)
+        magic, self.terminals, n_rules, n_docs, n, size = HEAD.unpack_from(raw)
         if magic != MAGIC:
             raise ValueError("not a token shard")
-        at = HEAD.size
-        self.rules = np.frombuffer(raw, "<u4", 2 * n_rules, at).reshape(-1, 2)
-        self.lengths = np.frombuffer(raw, "<u4", n_rules, at := at + 8 * n_rules)
-        self.first = np.frombuffer(raw, "<u8", n_docs, at := at + 4 * n_rules).astype(np.int64)
-        self.symbols = np.frombuffer(raw, "<u2" if self.terminals + n_rules <= 1 << 16 else "<u4", n, at + 8 * n_docs).astype(np.uint32)
+        wide, at = _width(self.terminals, n_rules), HEAD.size
+
+        def part(kind: str | np.dtype, count: int) -> np.ndarray:
+            nonlocal at
+            out = np.frombuffer(raw, kind, count, at)
+            at += out.nbytes
+            return out
+
+        self.used, self.rules = part("<u4", self.terminals), part(wide, 2 * n_rules).reshape(-1, 2).astype(np.uint32)
+        self.lengths, self.first = part(f"<u{size}", n_rules), part("<u4", n_docs).astype(np.int64)
+        self.symbols = part(wide, n).astype(np.uint32)
+
+    def _ids(self, symbols: np.ndarray) -> np.ndarray:
+        return self.used[expand(symbols, self.rules, self.terminals)]
 
     def read(self, i: int) -> np.ndarray:
         end = self.first[i + 1] if i + 1 < len(self.first) else None
-        return expand(self.symbols[self.first[i] : end], self.rules, self.terminals)
+        return self._ids(self.symbols[self.first[i] : end])
 
     def places(self) -> np.ndarray:
         """Tokens before each symbol, and all."""
-        long = self.symbols >= self.terminals
-        each = np.ones(len(self.symbols), np.int64)
-        each[long] = self.lengths[self.symbols[long].astype(np.int64) - self.terminals]
+        each = np.concatenate((np.ones(self.terminals, np.int64), self.lengths))[self.symbols]
         return np.concatenate(([0], np.cumsum(each)))
 
     def ids(self, i: int, j: int) -> np.ndarray:
         places = self.places()
         a, b = np.searchsorted(places, i, "right") - 1, np.searchsorted(places, j, "left")
-        return expand(self.symbols[a:b], self.rules, self.terminals)[i - places[a] : j - places[a]]
+        return self._ids(self.symbols[a:b])[i - places[a] : j - places[a]]
 
     def all(self) -> list[np.ndarray]:
-        places = self.places()
-        whole = expand(self.symbols, self.rules, self.terminals)
+        """The ids of each document; every rule is expanded once."""
+        pool = np.concatenate((self.used, self._ids(np.arange(self.terminals, self.terminals + len(self.rules), dtype=np.uint32))))
+        length = np.concatenate((np.ones(self.terminals, np.int64), self.lengths))
+        start = np.cumsum(length) - length
+        places, n = self.places(), length[self.symbols]
+        whole = pool[np.repeat(start[self.symbols] - places[:-1], n) + np.arange(places[-1])]
         return np.split(whole, places[self.first[1:]])
 
 
@@ -135,10 +175,10 @@ def write_token_files(docs: DataFrame, path: str = BYTE_BPE, end_id: int = 2, do
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc, pid, at, held, ids, n = encoder(path), TaskContext.get().partitionId(), 0, [], [], 0
-        end, terminals = np.array([end_id], enc.dtype).tobytes(), enc.library.get_vocab_size()
+        end = np.array([end_id], enc.dtype).tobytes()
 
         def done() -> pd.DataFrame:
-            return pd.DataFrame({"pid": [pid], "at": [at], "tokens": [n], "doc_ids": [held], "payload": [pack_shard(ids, terminals)]})
+            return pd.DataFrame({"pid": [pid], "at": [at], "tokens": [n], "doc_ids": [held], "payload": [pack_shard(ids)]})
 
         for pdf in batches:
             for doc, raw in zip(pdf["doc_id"].astype("Int64"), enc.encode_many(pdf["text"].tolist()), strict=True):
