@@ -1,11 +1,12 @@
 """Byte-pair encoding as a bounded-lookahead streaming transducer, and an incremental decoder.
 
 The encoder reads a pre-token's bytes from left to right and keeps, for each byte position, the token
-that ends there in the encoding of the bytes so far. A token of the whole pre-token ends within any
-`lookahead` successive bytes (the longest token that the merge list makes), and what stands before an
-end of a token is the encoding of just those bytes. So what the encodings of the last `lookahead`
-prefixes share is stable: it is emitted and forgotten. A pre-token no longer than the lookahead ends
-before anything in it is known to be stable, and is merged at once; its ids are kept in a bounded memo.
+that ends there in the encoding of the bytes so far: the one whose pair with the token before it merges no
+further. A token of the whole pre-token ends within any `lookahead` successive bytes (the longest token
+that the merge list makes), and what stands before an end of a token is the encoding of just those bytes. So
+what the encodings of the last `lookahead` prefixes share is stable: it is emitted and forgotten, and no more
+than a few lookaheads are held. Frequent pre-tokens are kept in a memo of bounded size; long texts are cut
+into pre-tokens lazily and their ids are handed on in blocks, so memory does not grow with a text.
 """
 
 from __future__ import annotations
@@ -14,8 +15,9 @@ import codecs
 import hashlib
 import json
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -28,8 +30,8 @@ from comptoir.llm.tokens import BYTE_BPE, ChunkEncoder, byte_letters
 _W = r"\p{White_Space}"
 #: The byte-level pattern of the vocabulary, with white space spelled out.
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_W}\p{{L}}\p{{N}}]+|{_W}+(?!\P{{White_Space}})|{_W}+"
-#: Ids decoded and hashed at once.
-BLOCK = 1 << 16
+#: Letters or ids handled at once; letters from which a text is encoded on its own, in blocks.
+BLOCK, LONG_TEXT = 1 << 16, 1 << 20
 NONE = 1 << 60
 
 
@@ -55,7 +57,6 @@ class Transducer(ChunkEncoder):
             self.bytes[i] = b
         for s, i in self.special.items():
             self.bytes[i] = s.encode()
-        self.tails = {b[i:] for b in self.ids for i in range(len(b))}
         self.pattern = regex.compile(PATTERN)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.decimal = [f"{i},".encode() for i in range(len(self.bytes))]
@@ -78,31 +79,37 @@ class Transducer(ChunkEncoder):
     def _fits(self, a: int, b: int) -> bool:
         return self._merge(self.bytes[a] + self.bytes[b]) == [a, b]
 
-    def stream(self, word: bytes) -> Iterator[int]:
-        """The ids of one pre-token, emitted as they become stable; holds about two lookaheads of it."""
+    def stream(self, blocks: Iterable[bytes]) -> Iterator[int]:
+        """The ids of one pre-token that comes in blocks of bytes, emitted as they become stable."""
         last: list[int] = []  # the token that ends at each position since the last stable end
-        size = lambda i: len(self.bytes[i])
-        done = 0
-        for i in range(1, len(word) + 1):
-            for k in range(1, i - done + 1):
-                found = word[i - k : i]
-                if found not in self.tails:
+        held = bytearray()
+        ids, fits, longest = self.ids.get, self.fits, self.lookahead
+        for block in blocks:
+            for byte in block:
+                held.append(byte)
+                i = len(held)
+                for start in range(max(0, i - longest), i):
+                    token = ids(bytes(held[start:]))
+                    if token is not None and (start == 0 or fits(last[start - 1], token)):
+                        break
+                else:
                     raise AssertionError("some token ends at each byte")
-                token, start = self.ids.get(found), i - k - done
-                if token is not None and (start == 0 or self.fits(last[start - 1], token)):
-                    break
-            last.append(token)
-            if len(last) >= 4 * self.lookahead:
-                ends = set(range(len(last) - self.lookahead, len(last) + 1))
-                while len(ends) > 1:  # the latest end gives way to the one before its token
-                    top = max(ends)
-                    ends.discard(top)
-                    ends.add(top - size(last[top - 1]))
-                stable = ends.pop()
-                yield from self._back(last, stable)
-                last, done = last[stable:], done + stable
+                last.append(token)
+                if i >= 4 * longest:
+                    stable = self._shared(last)
+                    yield from self._back(last, stable)
+                    del last[:stable], held[:stable]
         yield from self._back(last, len(last))
 
+    def _shared(self, last: list[int]) -> int:
+        """The latest end of a token that the encodings of the last `lookahead` prefixes have in common."""
+        ends = set(range(len(last) - self.lookahead, len(last) + 1))
+        while len(ends) > 1:  # the latest end gives way to the one before its token
+            top = max(ends)
+            ends.discard(top)
+            ends.add(top - len(self.bytes[last[top - 1]]))
+        return ends.pop()
+
     def _back(self, last: list[int], end: int) -> list[int]:
         out = []
         while end > 0:
@@ -111,11 +118,41 @@ class Transducer(ChunkEncoder):
         return out[::-1]
 
     def model(self, parts: list[str]) -> list[bytes]:
-        out = []
-        for p in parts:
-            raw = p.encode()
-            out.append(array("I", self._merge(raw) if len(raw) <= self.lookahead else self.stream(raw)).tobytes())
-        return out
+        return [array("I", self.stream((p.encode(),))).tobytes() for p in parts]
+
+    def parts(self, text: str) -> Iterator[str]:
+        """Pre-tokens and special tokens, found one after the other."""
+        begin = 0
+        for m in self.cut.finditer(text) if self.cut else ():
+            yield from (x[0] for x in self.pattern.finditer(text, begin, m.start()))
+            yield m[0]
+            begin = m.end()
+        yield from (x[0] for x in self.pattern.finditer(text, begin))
+
+    def blocks(self, text: str, block: int = BLOCK) -> Iterator[np.ndarray]:
+        """The ids of a text in blocks made from about `block` letters each, or from one longer pre-token in blocks of its own."""
+        held, n = [], 0
+        for part in self.parts(text):
+            if len(part) >= block and part not in self.special:
+                if held:
+                    yield self._ids(held)
+                ids = self.stream(part[i : i + block].encode() for i in range(0, len(part), block))
+                while some := list(islice(ids, block)):
+                    yield np.array(some, np.uint32)
+                held, n = [], 0
+            else:
+                held.append(part)
+                n += len(part)
+                if n >= block:
+                    yield self._ids(held)
+                    held, n = [], 0
+        if held:
+            yield self._ids(held)
+
+    def _ids(self, parts: list[str]) -> np.ndarray:
+        special = self.special
+        plain = iter(self.token([p for p in parts if p not in special]))
+        return np.frombuffer(b"".join([array("I", [special[p]]).tobytes() if p in special else next(plain) for p in parts]), np.uint32)
 
     def whole(self, strings: list[str]) -> list[bytes]:
         """Any strings: special tokens are cut out before the pattern."""
@@ -168,22 +205,34 @@ def decoded(tokens: DataFrame, path: str = BYTE_BPE) -> DataFrame:
     return tokens.select("doc_id", "ids").mapInPandas(run, "doc_id long, text string")
 
 
-def digests(docs: DataFrame, path: str = BYTE_BPE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (doc_id, n_tokens, ids_sha256, decoded_sha256): encoded and decoded again as it streams, so that no document's ids leave the worker."""
+def digests(docs: DataFrame, path: str = BYTE_BPE, doc_id: str = "doc_id", text: str = "text", long: int = LONG_TEXT) -> DataFrame:
+    """Rows (doc_id, n_tokens, ids_sha256, decoded_sha256): encoded and decoded again as it streams. Short texts are encoded in blocks of several, those of `long` letters or more in blocks of their own; no block's ids are kept. Null and empty texts have no ids; repeated rows stay; other columns are dropped."""
 
-    def one(made: Transducer, raw: bytes) -> tuple[int, str, str]:
-        ids, count, back = np.frombuffer(raw, "<u4"), hashlib.sha256(), hashlib.sha256()
-        for i in range(0, len(ids), BLOCK):
-            decimal = b"".join(map(made.decimal.__getitem__, ids[i : i + BLOCK].tolist()))
-            count.update(decimal[:-1] if i + BLOCK >= len(ids) else decimal)
-        for piece in made.decode(ids[i : i + BLOCK] for i in range(0, len(ids), BLOCK)):
+    def one(made: Transducer, blocks: Iterable[np.ndarray]) -> tuple[int, str, str]:
+        n, count, back = 0, hashlib.sha256(), hashlib.sha256()
+
+        def seen() -> Iterator[np.ndarray]:
+            nonlocal n
+            for ids in blocks:
+                decimal = b"".join(map(made.decimal.__getitem__, ids.tolist()))
+                count.update(b"," + decimal[:-1] if n else decimal[:-1])
+                n += len(ids)
+                yield ids
+
+        for piece in made.decode(seen()):
             back.update(piece.encode())
-        return len(ids), count.hexdigest(), back.hexdigest()
+        return n, count.hexdigest(), back.hexdigest()
+
+    def split(raw: bytes) -> Iterator[np.ndarray]:
+        ids = np.frombuffer(raw, "<u4")
+        return (ids[i : i + BLOCK] for i in range(0, len(ids), BLOCK))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         made = transducer(path)
         for pdf in batches:
-            rows = pd.DataFrame([one(made, x) for x in made.encode_many(pdf["text"].tolist())], columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+            texts = pdf["text"].tolist()
+            short = made.encode_each([t for t in texts if len(t or "") < long])
+            rows = pd.DataFrame([one(made, split(next(short)) if len(t or "") < long else made.blocks(t)) for t in texts], columns=["n_tokens", "ids_sha256", "decoded_sha256"])
             yield rows.assign(doc_id=pdf["doc_id"].astype("Int64").to_numpy())[["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]].astype({"doc_id": "Int64"})
 
     return docs.selectExpr(f"`{doc_id}` AS doc_id", f"`{text}` AS text").mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

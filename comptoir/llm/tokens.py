@@ -115,15 +115,17 @@ class ChunkEncoder:
         ids = iter(self.odd([b if c[:1] == FIRST else " " + b for c, b, x in zip(chunks, bare, bad, strict=True) if not x]))
         return [None if x else next(ids) for x in bad]
 
-    def encode_many(self, texts: list[str | None]) -> list[bytes]:
-        out: list[bytes] = []
+    def encode_each(self, texts: list[str | None]) -> Iterator[bytes]:
+        """The ids of each text, made and held for a block of texts at a time."""
         begin, held = 0, 0
         for i, t in enumerate(texts):
             held += len(t or "")
             if held >= TEXT or i + 1 == len(texts):
-                out += self._block([t or "" for t in texts[begin : i + 1]])
+                yield from self._block([t or "" for t in texts[begin : i + 1]])
                 begin, held = i + 1, 0
-        return out
+
+    def encode_many(self, texts: list[str | None]) -> list[bytes]:
+        return list(self.encode_each(texts))
 
     def _block(self, texts: list[str]) -> list[bytes]:
         strings = [FIRST + t for t in texts] if self.spaced else [t.replace("\n", " ").replace("\t", " ").replace("\r", " ") for t in texts]

@@ -351,3 +351,38 @@ def test_pii_model_finds_what_no_base_rule_holds(spark):
     assert all((r["spans"], r["base"], r["_row"]) == ("own", [1], "x") for r in rows.values())
     assert all(r["n_chars"] == (len(r["text"]) if i in changed else 7) for i, r in rows.items())
     assert pii.redact(docs.limit(0), pii.fit_detector(docs.limit(0))).columns == docs.columns
+
+
+def test_transducer_streams_any_text(spark, odd):
+    lib, made = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), bpe.transducer(public_tokenizers.path("byte_bpe_50k.json"))
+    draw = np.random.default_rng(2)
+    letters = ["a", "e", "th", "ing", " ", "  ", "\n", "'s", "'", "12", "é", "ß", "😀", "-", "--", "<|endoftext|>", "\u00a0", "日本"]
+    texts = [t or "" for _, t in ODD] + ["".join(draw.choice(letters, 300)) for _ in range(60)] + ["a" * 3000, "ab" * 2000, " " * 1500, "-" * 1500, "7" * 900, "".join(draw.choice(list("etaoinshr"), 4000)), " \n" * 900 + "x"]
+    for t in texts:
+        want = lib.encode(t, add_special_tokens=False).ids
+        for block in (3, 64, 1 << 16):
+            got = list(made.blocks(t, block))
+            assert [i for x in got for i in x.tolist()] == want
+            assert all(len(x) <= 8 * block for x in got)  # a part adds less than `block` letters of four bytes each
+            assert "".join(made.decode(iter(got))) == lib.decode(want, skip_special_tokens=False)
+    want = sorted(map(str, bpe.digests(odd).collect()))
+    assert sorted(map(str, bpe.digests(odd, long=8).collect())) == want
+
+
+def test_grammar_leaves_no_pair_that_pays():
+    draw = np.random.default_rng(6)
+    docs = [draw.integers(0, 40, n).astype(np.uint32) * 1000 for n in (1, 4000, 3, 900)] + [np.zeros(700, np.uint32), np.tile(np.arange(7, dtype=np.uint32), 300)] * 2
+    shard = token_files.Shard(token_files.pack_shard(docs))
+    assert all(map(np.array_equal, shard.all(), docs)) and all(np.array_equal(shard.read(i), d) for i, d in enumerate(docs))
+    assert np.array_equal(shard.ids(37, 6000), np.concatenate(docs)[37:6000])
+    left = {}
+    for i, begin in enumerate(shard.first):
+        part = shard.symbols[begin : shard.first[i + 1] if i + 1 < len(docs) else None].tolist()
+        at = {}
+        for k, pair in enumerate(zip(part, part[1:])):
+            if at.get(pair) != k - 1:  # overlapping ones count once
+                left[pair], at[pair] = left.get(pair, 0) + 1, k
+    assert sum(n - token_files.LEAST for n in left.values() if n > token_files.LEAST) < 0.02 * len(shard.symbols)
+    assert len(shard.symbols) < 0.6 * sum(map(len, docs))
+    wide = [np.arange(70_000, dtype=np.uint32), np.tile(np.arange(9, dtype=np.uint32), 50)]
+    assert all(map(np.array_equal, token_files.Shard(token_files.pack_shard(wide)).all(), wide))
