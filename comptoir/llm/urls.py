@@ -1,14 +1,17 @@
 """URL filters by host word segmentation and multinomial naive Bayes.
 
 Unigram Viterbi splits concatenated names into words; multinomial naive Bayes scores the words of
-host and path. Word counts and class counts cover all URLs; both are kept in hashed tables of fixed
-size, so that what reaches the driver and the workers does not grow with the input. Listed rules go
-before the model: a rule fits its host and all subdomains where the path starts with the rule's.
+host and path. Words and their exact counts come from all URLs; those of a least share of all words are kept, so
+that their table has a bound, and shares, not counts, weigh, so that splits do not depend on the input's size.
+URLs whose host holds a seed word are the unwanted class for fitting; seeds themselves are masked there,
+so the model learns the words that go with them and finds names that hold none. Listed rules go before
+the model: a rule fits its host and all subdomains where the path starts with the rule's.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -20,10 +23,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from comptoir.llm.shared import table
+from comptoir.llm.shared import table, written
 
-#: Bits of the hashed table of word counts and of the naive Bayes table; letters of the longest word; count that a seed word starts with.
-WORDS, TERMS, LONGEST, SEED_COUNT, SMOOTH = 18, 16, 24, 100, 0.5
+#: Words of this share of all (1 in so many) or more are kept, which bounds their number; the share that a seed word has at least, and a word never seen before its letters; letters of the longest word.
+KEPT, SEED, UNSEEN, LONGEST = 1 << 19, 20_000, 1 << 20, 24
+#: Bits of the naive Bayes table; smoothing; uses from which a word has a weight; log odds beyond the prior that a seed word gives.
+TERMS, SMOOTH, USES, SURE = 18, 0.5, 3, 2.0
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words that mark a name as unwanted when the model is fitted; the model learns the words that go with them.
 SEEDS = (
@@ -36,6 +41,7 @@ RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/"
 
 _CUT = re.compile(r"[^a-z0-9\x80-\U0010ffff]+")
 _RUN = re.compile(r"[0-9]+|[^0-9]+")
+_LETTERS = re.compile(r"[^0-9]+")
 
 
 def slot(word: str, bits: int) -> int:
@@ -60,26 +66,24 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[C
 
 
 def delimited(host: str, path: str) -> Iterator[str]:
-    """Words that a URL shows as such: the last label of its host, parts of labels with hyphens, and words of its path."""
+    """Words that a URL shows as such, without digits: the last label of its host, parts of labels with hyphens, and words of its path."""
     labels = host.split(".")
     for i, label in enumerate(labels):
         parts = [p for p in _CUT.split(label) if p]
         if len(parts) > 1 or i + 1 == len(labels):
-            yield from parts
-    yield from (p for p in _CUT.split(path.lower()) if p)
+            yield from (w for p in parts for w in _LETTERS.findall(p))
+    yield from (w for p in _CUT.split(path.lower()) if p for w in _LETTERS.findall(p))
 
 
 class Segmenter:
-    """words(name) -> its most likely split. counts: by slot; a word never seen costs its letters."""
+    """words(name) -> its most likely split. shares: of words among all; a word never seen costs its letters."""
 
-    def __init__(self, counts: np.ndarray, longest: int = LONGEST) -> None:
-        self.counts, self.longest, self.total = counts, longest, max(1, int(counts.sum()))
-        self.seen = lru_cache(1 << 18)(self._seen)
+    def __init__(self, shares: dict[str, float], longest: int = LONGEST) -> None:
+        self.logs, self.longest = {w: log(p) for w, p in shares.items()}, longest
         self.words = lru_cache(1 << 16)(self._words)
 
-    def _seen(self, word: str) -> float:
-        n = self.counts[slot(word, WORDS)]
-        return log(n / self.total) if n else -log(self.total) - log(10) * len(word)
+    def cost(self, word: str) -> float:
+        return self.logs.get(word, -log(UNSEEN) - log(10) * len(word))
 
     def _words(self, name: str) -> tuple[str, ...]:
         """Viterbi over the ends of words; digits are one word of their own, written 0."""
@@ -90,8 +94,8 @@ class Segmenter:
                 continue
             best, back = [0.0], [0]
             for end in range(1, len(run) + 1):
-                at = max(range(max(0, end - self.longest), end), key=lambda i: best[i] + self.seen(run[i:end]))
-                best.append(best[at] + self.seen(run[at:end]))
+                at = max(range(max(0, end - self.longest), end), key=lambda i: best[i] + self.cost(run[i:end]))
+                best.append(best[at] + self.cost(run[at:end]))
                 back.append(at)
             end, cut = len(run), []
             while end:
@@ -108,14 +112,17 @@ class Segmenter:
 
 @dataclass
 class UrlModel:
-    """counts: of words by slot; weights: log-likelihood ratio by slot; prior: log odds of the unwanted class."""
+    """shares: of words; weights: log-likelihood ratio by slot; prior: log odds of the unwanted class; seeds: words that mark it."""
 
-    counts: np.ndarray
+    shares: dict[str, float]
     weights: np.ndarray
     prior: float
+    seeds: frozenset[str]
 
     def score(self, words: list[str]) -> float:
-        return self.prior + float(sum(self.weights[slot(w, TERMS)] for w in words))
+        """Log odds of the unwanted class: the weights of words, and for a seed word what outweighs the prior."""
+        own = sum(self.weights[slot(w, TERMS)] for w in words if w not in self.seeds)
+        return self.prior + float(own) + (SURE - self.prior) * (not self.seeds.isdisjoint(words))
 
 
 def _parts(urls: DataFrame, url: str) -> DataFrame:
@@ -123,30 +130,24 @@ def _parts(urls: DataFrame, url: str) -> DataFrame:
     return urls.select(host.alias("host"), path.alias("path"))
 
 
-def word_counts(urls: DataFrame, url: str = "url", seeds: list[str] = SEEDS) -> np.ndarray:
-    """Counts of delimited words over all URLs, by slot; 2 ** WORDS of them reach the driver at most."""
+def word_shares(urls: DataFrame, url: str = "url", seeds: list[str] = SEEDS) -> dict[str, float]:
+    """Shares of delimited words among all of all URLs, exact; the fewer than KEPT words of a share of 1 in KEPT or more, and the seeds."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = np.zeros(1 << WORDS, np.int64)
         for pdf in batches:
-            for host, path in zip(pdf["host"], pdf["path"], strict=True):
-                for word in delimited(host, path):
-                    counts[slot(word, WORDS)] += 1
-        at = np.flatnonzero(counts)
-        yield pd.DataFrame({"slot": at, "n": counts[at]})
+            counts = Counter(w for host, path in zip(pdf["host"], pdf["path"], strict=True) for w in delimited(host, path))
+            yield pd.DataFrame({"word": list(counts), "n": list(counts.values())}).astype({"word": object, "n": np.int64})
 
-    out = np.zeros(1 << WORDS, np.int64)
-    for at, n in _parts(urls, url).mapInPandas(run, "slot long, n long").groupBy("slot").agg(F.sum("n")).collect():
-        out[at] = n
-    for word in seeds:
-        out[slot(word, WORDS)] += SEED_COUNT
-    return out
+    words = written(_parts(urls, url).mapInPandas(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "url-words")
+    total = words.agg(F.sum("n")).first()[0] or 1
+    shares = {w: n / total for w, n in words.where(F.col("n") * KEPT >= total).collect()}
+    return shares | {w: max(shares.get(w, 0.0), 1 / SEED) for w in seeds}
 
 
 def fit(urls: DataFrame, url: str = "url", seeds: list[str] = SEEDS) -> UrlModel:
-    """A model from all URLs: a URL with a seed word among the segmented words of its host counts as unwanted, all others as wanted. Null URLs have no words. 2 ** (TERMS + 1) counts reach the driver at most."""
-    counts = word_counts(urls, url, seeds)
-    shared, unwanted = urls.sparkSession.sparkContext.broadcast(counts), frozenset(seeds)  # 2 ** WORDS numbers
+    """A model from all URLs: a URL with a seed word among the segmented words of its host counts as unwanted, all others as wanted; the seeds' own counts are left out. Null URLs have no words; an empty table gives a model that knows the seeds alone. 2 ** (TERMS + 1) counts reach the driver at most."""
+    shares, unwanted = word_shares(urls, url, seeds), frozenset(seeds)
+    shared = urls.sparkSession.sparkContext.broadcast(shares)  # KEPT words at most
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cut, terms, each = Segmenter(shared.value), np.zeros((2, 1 << TERMS), np.int64), np.zeros(2, np.int64)
@@ -156,7 +157,8 @@ def fit(urls: DataFrame, url: str = "url", seeds: list[str] = SEEDS) -> UrlModel
                 kind = int(not unwanted.isdisjoint(words))
                 each[kind] += 1
                 for w in words:
-                    terms[kind, slot(w, TERMS)] += 1
+                    if w not in unwanted:
+                        terms[kind, slot(w, TERMS)] += 1
         kind, at = np.nonzero(terms)
         rows = pd.DataFrame({"kind": kind, "slot": at, "n": terms[kind, at]})
         yield pd.concat([rows, pd.DataFrame({"kind": [0, 1], "slot": -1, "n": each})])
@@ -167,10 +169,10 @@ def fit(urls: DataFrame, url: str = "url", seeds: list[str] = SEEDS) -> UrlModel
             each[kind] = n
         else:
             terms[kind, at] = n
-    known = (terms.sum(axis=0) > 0).sum() + 1
-    rates = np.log(terms + SMOOTH) - np.log(terms.sum(axis=1, keepdims=True) + SMOOTH * known)
-    weights = np.where(terms.sum(axis=0) > 0, rates[1] - rates[0], 0.0)  # a word of neither class says nothing
-    return UrlModel(counts, weights, float(np.log(each[1] + 1) - np.log(each[0] + 1)))
+    uses = terms.sum(axis=0)
+    rates = np.log(terms + SMOOTH) - np.log(terms.sum(axis=1, keepdims=True) + SMOOTH * ((uses > 0).sum() + 1))
+    weights = np.where(uses >= USES, rates[1] - rates[0], 0.0)  # a word hardly seen says nothing
+    return UrlModel(shares, weights, float(np.log(each[1] + 1) - np.log(each[0] + 1)), unwanted)
 
 
 def judged(urls: DataFrame, model: UrlModel, url: str = "url", rules: list[tuple[str, str]] = RULES) -> DataFrame:
@@ -183,11 +185,11 @@ def judged(urls: DataFrame, model: UrlModel, url: str = "url", rules: list[tuple
     kept = urls.drop(*[c for c in made if c != url])
     host, path = host_and_path(F.col(url))
     rows = kept.select("*", host.alias("host"), path.alias("path"))
-    shared = urls.sparkSession.sparkContext.broadcast(model)  # tables of fixed size
+    shared = urls.sparkSession.sparkContext.broadcast(model)  # tables of bounded size
 
     @F.pandas_udf("words array<string>, score double")
     def scored(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        cut = Segmenter(shared.value.counts)
+        cut = Segmenter(shared.value.shares)
         for hosts, paths in batches:
             words = [cut.of(h, p) for h, p in zip(hosts, paths, strict=True)]
             yield pd.DataFrame({"words": words, "score": [shared.value.score(w) for w in words]})
