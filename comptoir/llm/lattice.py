@@ -21,7 +21,7 @@ from comptoir.llm.shared import checkpointed, table
 from comptoir.llm.simhash import merge
 
 #: Tables, blocks of eight coordinates in each, cells probed for each block, edge of the lattice as a share of a unit vector's mean coordinate, vectors in a chunk.
-TABLES, BLOCKS, PROBES, SCALE, CHUNK, SEED = 5, 3, 2, 1.3, 1024, 11
+TABLES, BLOCKS, PROBES, SCALE, CHUNK, SEED = 5, 3, 2, 1.3, 4096, 11
 #: What names a task; runs up to this size are compared by offsets; pairs compared at once.
 TASK, SMALL, STEP = ["dim", "label", "cell", "i", "j"], 48, 1 << 14
 
@@ -197,9 +197,9 @@ def near_vectors(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "embe
     lowest = members.join(lowest, "component").select("node", "lowest")
     told = nodes.select("node", "first", "weight").join(degrees, "node", "left").join(lowest, "node", "left")
     told = told.select("node", (F.coalesce("others", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("lowest", "first").alias("component_id"))
-    out = rows.select("vec_id", "node").join(told, "node", "left")
-    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.when(F.col("n_links").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"))
-    return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    out = rows.where(F.col("node").isNotNull()).select("vec_id", "node").join(told, "node").select("vec_id", "n_links", "component_id")
+    alone = rows.where(F.col("node").isNull()).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return out.unionByName(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
 
 def op10_lattice(spark, sf_dir: str) -> DataFrame:

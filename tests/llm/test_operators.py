@@ -386,3 +386,77 @@ def test_grammar_leaves_no_pair_that_pays():
     assert len(shard.symbols) < 0.6 * sum(map(len, docs))
     wide = [np.arange(70_000, dtype=np.uint32), np.tile(np.arange(9, dtype=np.uint32), 50)]
     assert all(map(np.array_equal, token_files.Shard(token_files.pack_shard(wide)).all(), wide))
+
+
+def test_urls_model_finds_names_without_seeds(spark):
+    bad = [f"http://{a}{b}{i % 7}.example.org/{w}/{i}" for i, (a, b, w) in enumerate((a, b, w) for a in ("casino", "jackpot", "roulette") for b in ("bonus", "spins", "") for w in ("bonus", "spins", "win") for _ in range(4))]
+    good = [f"https://{a}{b}.example.org/{w}/{i}.html" for i, (a, b, w) in enumerate((a, b, w) for a in ("garden", "river", "") for b in ("blog", "news") for w in ("bonus", "recipe", "history", "garden") for _ in range(40))]
+    held = ["http://bonusspins.example.org/win/7", "http://spinsbonus8.example.org/spins/win"]
+    clean = ["https://rivergarden.example.org/recipe/9.html", "https://newsriver.example.org/history/"]
+    docs = spark.createDataFrame(list(enumerate(bad + good)), "page_id long, url string")
+    for many in (1, 30):  # splits and verdicts do not change with the table's size
+        model = urls.fit(docs.crossJoin(spark.range(many)).select("page_id", "url"))
+        rows = {r["url"]: r for r in urls.judged(spark.createDataFrame([(u,) for u in held + clean], "url string"), model).collect()}
+        assert [rows[u]["verdict"] for u in held + clean] == ["block"] * 2 + ["allow"] * 2, [(u, rows[u]["words"], rows[u]["score"]) for u in rows]
+        assert rows[held[0]]["words"][:2] == ["bonus", "spins"] and rows[clean[0]]["words"][:2] == ["river", "garden"]
+
+
+def test_urls_equal_brute_force():
+    # every split of a name, and the sum of its words' weights
+    shares = {"casino": 0.01, "win": 0.05, "in": 0.02, "wins": 0.001, "o": 0.2, "cas": 0.0005, "no": 0.03, "org": 0.1}
+    cut = urls.Segmenter(shares)
+
+    def splits(name):
+        return [[name]] + [[name[:i], *rest] for i in range(1, len(name)) for rest in splits(name[i:])]
+
+    for name in ("casinowin", "winscasino", "noo", "inwino", "xcasx", "w"):
+        best = max(sum(map(cut.cost, words)) for words in splits(name))
+        assert abs(sum(map(cut.cost, cut.words(name))) - best) < 1e-9
+    draw = np.random.default_rng(1)
+    model = urls.UrlModel(shares, draw.normal(size=1 << urls.TERMS), -3.0, frozenset({"casino"}))
+    words = cut.of("casinowin7.org", "/no/win")
+    assert words == ["casino", "win", "0", "org", "/no", "/win"]
+    assert abs(model.score(words) - (urls.SURE + sum(model.weights[urls.slot(w, urls.TERMS)] for w in words[1:]))) < 1e-9
+
+
+def test_lattice_equals_brute_force_on_planted_vectors(spark):
+    # pairs at cosines of 0.90 to 0.99 in several dimensions, repeats, and vectors that link with nothing
+    draw, rows, pairs = np.random.default_rng(12), [], []
+    unit = lambda x: x / np.linalg.norm(x)
+    for dim in (8, 64, 256):
+        for cosine in (0.90, 0.925, 0.932, 0.94, 0.95, 0.97, 0.99):
+            for _ in range(60):
+                a, b = unit(draw.normal(size=dim)), draw.normal(size=dim)
+                b = unit(b - (b @ a) * a)
+                label = int(draw.integers(3))
+                rows += [(len(rows), a.tolist(), label), (len(rows) + 1, (5 * (cosine * a + np.sqrt(1 - cosine**2) * b)).tolist(), label)]
+                pairs.append((len(rows) - 2, len(rows) - 1))
+    good = len(rows)
+    x = rows[0][1]
+    rows += [(good, x, 7), (good + 1, x, 7), (good + 1, x, 7), (None, x, 7), (good + 2, x, 8), (good + 3, x, None), (good + 4, None, 7), (good + 5, [0.0] * 8, 7), (good + 6, [float("nan")] + x[1:], 7), (good + 7, [float("inf")] + x[1:], 7), (good + 8, [None] + x[1:], 7), (good + 9, [], 7), (good + 10, x[:7], 7)]
+    df = spark.createDataFrame([(*r, "clash") for r in rows], "vec_id long, embedding array<double>, label int, node string").repartition(3)
+    got = sorted(lattice.near_vectors(df).collect(), key=lambda r: (r["vec_id"] is None, r["vec_id"] or 0))
+    assert len(got) == len(rows)
+    by = {r["vec_id"]: r for r in got}
+    true = {}
+    for a in range(good):
+        for b in range(a + 1, good):
+            if rows[a][2] == rows[b][2] and len(rows[a][1]) == len(rows[b][1]) and unit(np.array(rows[a][1])) @ unit(np.array(rows[b][1])) >= 0.93:
+                true.setdefault(a, set()).add(b)
+                true.setdefault(b, set()).add(a)
+    want, found = sum(map(len, true.values())), sum(by[i]["n_links"] for i in range(good))
+    assert all(by[i]["n_links"] <= len(true.get(i, ())) for i in range(good))
+    assert found >= 0.95 * want, found / want
+    assert all(by[b]["component_id"] == (a if by[b]["n_links"] else b) for a, b in pairs if max(len(true.get(a, ())), len(true.get(b, ()))) <= 1)
+    same = [r for r in got if r["vec_id"] in (good, good + 1, None)]
+    assert [(r["n_links"], r["component_id"], r["kept"]) for r in same if r["vec_id"] is not None] == [(3, good, True), (3, good, False), (3, good, False)] and [r["n_links"] for r in same if r["vec_id"] is None] == [3]
+    assert all((by[i]["n_links"], by[i]["component_id"], by[i]["kept"]) == (0, i, True) for i in range(good + 2, good + 11))
+    assert lattice.near_vectors(df.limit(0)).count() == 0
+
+
+def test_lattice_counts_every_pair_of_a_dense_cell_once(spark):
+    draw = np.random.default_rng(3)
+    x = draw.normal(size=32)
+    rows = [(i, (x + 0.02 * draw.normal(size=32)).tolist(), 1) for i in range(150)]
+    got = lattice.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), chunk=16).collect()
+    assert all(r["n_links"] == 149 and r["component_id"] == 0 for r in got)
