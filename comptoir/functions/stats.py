@@ -1,7 +1,8 @@
 """Order statistics, running sums and scores that hold at any size.
 
 A window without partitions sends all rows to one task. Here rows are dealt by value into bins whose
-bounds are approximate quantiles; windows stay within a bin, and the bins' totals (a row for each bin) give the rest.
+bounds are approximate quantiles; windows stay within a bin, and the bins' totals (a row for each bin) give the rest. A
+value that repeats stays in one bin: callers aggregate by value first where it may be common.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from comptoir.session import cut
+
 ACCURACY = 10_000
 
 
@@ -26,14 +29,14 @@ def binned(df: DataFrame, by: str, bins: int | None = None) -> DataFrame:
 def running(df: DataFrame, by: str, sums: dict[str, Column], ties: tuple = (), bins: int | None = None) -> DataFrame:
     """df with a running total, itself included, of each of sums in ascending order of (by, *ties)."""
     rows = binned(df.withColumns({f"_v_{k}": v for k, v in sums.items()}), by, bins)
+    totals = {r["_bin"]: r for r in rows.groupBy("_bin").agg(*[F.sum(f"_v_{k}").alias(k) for k in sums]).collect()}  # a row for each bin
     kinds = {k: rows.agg(F.sum(f"_v_{k}").alias("t")).schema["t"].dataType for k in sums}
-    totals = rows.groupBy("_bin").agg(*[F.sum(f"_v_{k}").alias(k) for k in sums]).orderBy("_bin").collect()  # a row for each bin
     within = W.partitionBy("_bin").orderBy(by, *ties).rowsBetween(W.unboundedPreceding, 0)
     for k, kind in kinds.items():
-        before, held = {}, 0
-        for r in totals:
-            before[r["_bin"]], held = held, held + (r[k] or 0)
-        ahead = F.coalesce(*[F.when(F.col("_bin") == b, F.lit(v).cast(kind)) for b, v in before.items() if v], F.lit(0).cast(kind))
+        before = [0]
+        for i in range(max(totals, default=0)):
+            before.append(before[-1] + ((totals[i][k] or 0) if i in totals else 0))
+        ahead = F.element_at(F.array(*[F.lit(v).cast(kind) for v in before]), F.col("_bin") + 1)  # one lookup, whatever the number of bins
         rows = rows.withColumn(k, F.sum(f"_v_{k}").over(within) + ahead)
     return rows.drop("_bin", *[f"_v_{k}" for k in sums])
 
@@ -43,7 +46,7 @@ def quantiles(df: DataFrame, column: str, shares: list[float], bins: int | None
 
     Distinct values with their counts are ranked; one row for each asked rank reaches the driver.
     """
-    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    counts = cut(df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count("*").alias("n")))  # read four times
     total = counts.agg(F.sum("n")).first()[0] or 0
     if not total:
         return [None] * len(shares)
@@ -75,6 +78,7 @@ def winsorised(df: DataFrame, column: str, out: str, percentile: float = 99.0) -
 def quintile(df: DataFrame, column: str, out: str, inverted: bool = False, source: DataFrame | None = None) -> DataFrame:
     """df with `out`: ceil(5 * average rank / n), 1 to 5, 6 minus that if inverted; 3 throughout for a constant column. source: where to rank, df if None."""
     counts = (df if source is None else source).groupBy(F.col(column).alias("_v")).agg(F.count("*").alias("_n"))
+    counts = cut(counts)  # read three times
     ranked = running(counts, "_v", {"_up": F.col("_n")})
     total = counts.agg(F.sum("_n").alias("_total"), F.count("*").alias("_values"))
     share = (F.col("_up") - (F.col("_n") - 1) / 2) / F.col("_total")

@@ -113,6 +113,14 @@ def quality(prepared: DataFrame, kept: DataFrame) -> DataFrame:
     return a.crossJoin(b).withColumn("doublons", F.col("lues") - F.col("rejetees") - F.col("importees"))  # one row each
 
 
+def import_report(prepared: DataFrame, kept: DataFrame, clients: DataFrame) -> DataFrame:
+    """One row: quality() with the customers that enriched_clients made or completed, and what to look at (avertissements)."""
+    both = quality(prepared, kept).crossJoin(clients.agg(F.count_if(F.col("etat") == "cree").alias("clients_crees"), F.count_if(F.col("etat") == "complete").alias("clients_completes")))  # one row each
+    said = {"rejetees": "lignes rejetées", "replis": "quantités ramenées à 1", "doublons": "doublons écartés"}
+    notes = F.array_compact(F.array(*[F.when(F.col(c) > 0, F.concat_ws(" ", F.col(c).cast("string"), F.lit(t))) for c, t in said.items()]))
+    return both.withColumn("avertissements", notes)
+
+
 def enriched_clients(known: DataFrame, sales: DataFrame) -> DataFrame:
     """known (code_client_externe, nom, email, pays) with new customers of sales, and gaps filled by the first value in file order; what is known is never overwritten. etat: cree, complete or inchange."""
     fields = ["nom", "email", "pays"]

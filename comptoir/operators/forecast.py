@@ -53,34 +53,34 @@ def additive(y: np.ndarray, start: int, horizon: int) -> tuple[np.ndarray, np.nd
     return fit[n:], fit[n:] - half, fit[n:] + half
 
 
-def _arma_loss(w: np.ndarray, phi: float, theta: float) -> tuple[float, float, float, float]:
-    """(concentrated negative log-likelihood, last innovation, last prediction variance ratio, variance) of an ARMA(1,1) by innovations."""
-    r = (1 + 2 * phi * theta + theta * theta) / (1 - phi * phi)
-    total, logs, e, mean, n = 0.0, 0.0, 0.0, 0.0, len(w)
-    v = r
-    for i in range(n):
-        e = w[i] - mean
-        total += e * e / v
+def _arma_loss(w: np.ndarray, phi: np.ndarray, theta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(concentrated negative log-likelihood, next mean, variance) of ARMA(1,1) models by innovations, for all pairs of phi and theta at once."""
+    square = theta * theta
+    v = (1 + 2 * phi * theta + square) / (1 - phi * phi)
+    total, logs, mean, n = np.zeros_like(v), np.zeros_like(v), np.zeros_like(v), len(w)
+    for x in w.tolist():
+        e = x - mean
+        share = e / v
+        total += e * share
         logs += np.log(v)
-        mean = phi * w[i] + theta * e / v
-        v = 1 + theta * theta - theta * theta / v
-    sigma2 = max(total / n, 1e-12)
-    return 0.5 * (n * np.log(sigma2) + logs), mean, v, sigma2
+        mean = phi * x + theta * share
+        v = 1 + square - square / v
+    sigma2 = np.maximum(total / n, 1e-12)
+    return 0.5 * (n * np.log(sigma2) + logs), mean, sigma2
 
 
 def arima(y: np.ndarray, start: int, horizon: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """ARIMA(1,1,1) without constant; a coarse grid, refined three times. 80 % bounds by the psi weights."""
     w = np.diff(y)
-    best, at, width = (np.inf, 0.0, 0.0), (0.0, 0.0), 0.95
+    best, at, width = np.inf, (0.0, 0.0), 0.95
     for _ in range(4):
-        for p in np.clip(at[0] + width * np.linspace(-1, 1, 7), -0.98, 0.98):
-            for q in np.clip(at[1] + width * np.linspace(-1, 1, 7), -0.98, 0.98):
-                loss = _arma_loss(w, p, q)[0]
-                if loss < best[0]:
-                    best = (loss, p, q)
-        at, width = best[1:], width / 3.5
+        p, q = (x.ravel() for x in np.meshgrid(*[np.clip(c + width * np.linspace(-1, 1, 7), -0.98, 0.98) for c in at], indexing="ij"))
+        loss, means, sigmas = _arma_loss(w, p, q)
+        i = int(np.argmin(loss))
+        if loss[i] < best:
+            best, at, mean, sigma2 = loss[i], (p[i], q[i]), means[i], sigmas[i]
+        width /= 3.5
     phi, theta = at
-    _, mean, _, sigma2 = _arma_loss(w, phi, theta)
     steps = mean * phi ** np.arange(horizon)
     psi = np.concatenate(([1.0], (phi + theta) * phi ** np.arange(horizon - 1)))
     spread = np.sqrt(sigma2 * np.cumsum(np.cumsum(psi) ** 2))

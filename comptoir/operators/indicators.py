@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from comptoir import schemas as S
 from comptoir.functions.stats import running
+from comptoir.session import cut
 from comptoir.sources.model import Model
 
 
@@ -46,7 +47,7 @@ def top_clients(m: Model, limit: int = 10) -> DataFrame:
 
 def pareto(sales: DataFrame, share: float = S.PARETO) -> DataFrame:
     """One row: how many customers make this share of revenue, out of how many."""
-    each = revenue_by_client(sales).withColumn("down", -F.col("ca"))
+    each = cut(revenue_by_client(sales).withColumn("down", -F.col("ca")))  # read four times
     cum = running(each, "down", {"cumul": F.col("ca"), "rang": F.lit(1)}, ties=("client_id",))
     total = each.agg(F.sum("ca").alias("total"), F.count("*").alias("n"))
     reached = F.min(F.when(F.col("cumul") >= F.col("total") * F.lit(str(share)).cast("decimal(3,2)"), F.col("rang")))

@@ -403,15 +403,35 @@ def rfm_pipeline(m):
     return segmentation.run(m.transactions, "kmeans", k_max=3, starts=2).clients
 
 
+def _base(m):
+    return cut(segments.matrix(segments.scored(segments.rfm(m.transactions)))[0])
+
+
+def _diagnostics(m, algorithm, starts):
+    fit = segmentation.fit(_base(m), algorithm, starts=starts)
+    rows = [(d["k"], d["inertie"], d["silhouette"], d["davies_bouldin"], d["calinski_harabasz"], d["n_clusters"], d["n_bruit"], d["k"] == fit.k) for d in fit.diagnostics]
+    return m.clients.sparkSession.createDataFrame(rows, "k int, valeur double, silhouette double, davies_bouldin double, calinski_harabasz double, n_clusters long, n_bruit long, choisi boolean")
+
+
+@query()
+def kmeans_diagnostics(m):
+    return _diagnostics(m, "kmeans", 2)
+
+
+@query()
+def gmm_diagnostics(m):
+    return _diagnostics(m, "gmm", 1)
+
+
 @query()
 def algorithm_comparison(m):
-    base = cut(segments.matrix(segments.scored(segments.rfm(m.transactions)))[0])
+    base = _base(m)
     return segmentation.compared(m.clients.sparkSession, [segmentation.fit(base, "kmeans", 2, 3, 2), segmentation.fit(base, "gmm", 2, 2, 1)])
 
 
 @query()
 def segmentation_agreement(m):
-    base = cut(segments.matrix(segments.scored(segments.rfm(m.transactions)))[0])
+    base = _base(m)
     a = segments.with_segment(clusters.kmeans(base, 2, 2)[0]).select("client_id", F.col("segment_rfm").alias("kmeans"))
     b = segments.with_segment(clusters.mixture(base, 2, 1)[0]).select("client_id", F.col("segment_rfm").alias("gmm"))
     return clusters.agreement(a.join(b, "client_id"), ["kmeans", "gmm"])
@@ -541,7 +561,7 @@ def forecast_comparison(m):
 
 @query()
 def forecast_chart_rows(m):
-    return forecast.chart_rows(_revenue(m).select("jour", "y"), forecast.forecasts(_one(m), 30, ("additif", "arima")))
+    return forecast.chart_rows(_revenue(m).select("jour", "y"), forecast.forecasts(_one(m), 30))
 
 
 # --- files: raw rows with every defect, from the orders ---

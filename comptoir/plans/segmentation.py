@@ -29,6 +29,7 @@ class Fit:
     calinski_harabasz: float | None = None
     n_groupes: int = 0
     part_bruit: float = 0.0
+    smallest: float | None = None
     diagnostics: list[dict] = field(default_factory=list)
     warnings: list[str] = field(default_factory=list)
     labels: DataFrame | None = None
@@ -40,19 +41,22 @@ def _tried(rows: DataFrame, value: float, k: int) -> dict:
 
 
 def fit(rows: DataFrame, algorithm: str, k_min: int = 2, k_max: int = 6, starts: int | None = None) -> Fit:
-    """Tries all candidates and keeps that of the highest silhouette (the first on ties)."""
+    """Tries all candidates (k up to n - 1) and keeps that of the highest silhouette (the first on ties); DBSCAN without any takes the elbow of the k-distances."""
     if algorithm not in ALGORITHMS:
         raise ValueError(f"unknown algorithm {algorithm!r}: one of {ALGORITHMS}")
     got, tried = Fit(algorithm), []
+    n, corner = rows.count(), None
     if algorithm == "dbscan":
-        curve = clusters.knn_distances(rows)
-        for i, e in enumerate(clusters.eps_candidates(curve)):
+        curve = cut(clusters.knn_distances(rows))
+        few = n <= clusters.least_neighbours(n) + 1
+        corner = None if few else clusters.elbow(curve).first()["epsilon"]
+        for i, e in enumerate([] if few else clusters.eps_candidates(curve)):
             labelled = clusters.dbscan(rows, e)
             tried.append((_tried(labelled, e, i), labelled))
     else:
-        run, n = (clusters.kmeans, starts or 10) if algorithm == "kmeans" else (clusters.mixture, starts or 5)
-        for k in range(k_min, k_max + 1):
-            labelled, value = run(rows, k, n)
+        run, times = (clusters.kmeans, starts or 10) if algorithm == "kmeans" else (clusters.mixture, starts or 5)
+        for k in range(k_min, min(k_max, n - 1) + 1):
+            labelled, value = run(rows, k, times)
             tried.append((_tried(labelled, value, k), labelled))
     got.diagnostics = [t for t, _ in tried]
     if not tried:
@@ -60,11 +64,16 @@ def fit(rows: DataFrame, algorithm: str, k_min: int = 2, k_max: int = 6, starts:
         return got
     best, labelled = max(tried, key=lambda t: (t[0]["silhouette"] is not None, t[0]["silhouette"] or 0))
     if best["silhouette"] is None:
-        got.warnings.append("silhouette non calculable : premier candidat retenu")
+        got.warnings.append("silhouette non calculable : coude retenu" if corner else "silhouette non calculable : premier candidat retenu")
+        if corner:  # no candidate separates groups
+            labelled = clusters.dbscan(rows, corner)
+            best = _tried(labelled, corner, len(tried))
     got.k, got.eps = (None, best["inertie"]) if algorithm == "dbscan" else (best["k"], None)
     got.silhouette, got.davies_bouldin, got.calinski_harabasz = best["silhouette"], best["davies_bouldin"], best["calinski_harabasz"]
     got.n_groupes, got.part_bruit = best["n_clusters"], best["n_bruit"] / max(1, best["n"])
     got.labels = labelled.select("client_id", "cluster_id")
+    got.smallest = got.labels.where("cluster_id != -1").groupBy("cluster_id").count().agg(F.min("count")).first()[0]
+    got.smallest = got.smallest and got.smallest / max(1, best["n"] - best["n_bruit"])
     return got
 
 
@@ -80,6 +89,19 @@ def interpretation(f: Fit, ranked: dict) -> list[str]:
         return [f"{NAMES[f.algorithme]} : un seul groupe exploitable, aucune segmentation."]
     quality = "forte" if f.silhouette > 0.70 else "raisonnable" if f.silhouette > 0.50 else "faible" if f.silhouette > 0.25 else "non substantielle"
     out = [f"{NAMES[f.algorithme]} : {f.n_groupes} groupes, structure {quality} (silhouette {f.silhouette:.3f})".replace(".", ",") + "."]
+    told = [d for d in f.diagnostics if d["silhouette"] is not None]
+    if f.eps is not None:
+        out.append(f"Rayon {f.eps:.3f}, le meilleur de {len(f.diagnostics)} essais.".replace(".", ",", 1))
+    elif told:
+        low = min(told, key=lambda d: d["silhouette"])
+        out.append(f"k={f.k} est le meilleur de {f.diagnostics[0]['k']} à {f.diagnostics[-1]['k']} ; k={low['k']} sépare le moins.")
+    if f.algorithme == "gmm" and f.diagnostics:
+        least = min(f.diagnostics, key=lambda d: d["inertie"])["k"]
+        out.append(f"Le BIC préfère k={least}" + (", comme la silhouette." if least == f.k else " ; la silhouette décide, car elle vaut pour tous les algorithmes."))
+    if f.davies_bouldin is not None:
+        out.append("Groupes séparés (Davies-Bouldin sous 1)." if f.davies_bouldin < 1 else "Groupes qui se recouvrent (Davies-Bouldin à 1 ou plus).")
+    if f.smallest is not None:
+        out.append(f"Plus petit groupe : {f.smallest * 100:.0f} % des clients.")
     if f.part_bruit:
         out.append(f"{f.part_bruit * 100:.0f} % de clients non classés.")
     out.append(f"Rang {ranked['rang']}." if ranked["eligible"] else "Non retenu : hors des bornes de groupes ou de bruit.")
@@ -105,6 +127,18 @@ class Result:
         return row.select(F.current_timestamp().cast("timestamp_ntz").alias("date_execution"), "*", *[F.lit(v).cast(kinds[k]).alias(k) for k, v in said.items()])
 
 
+def latest(history: DataFrame) -> DataFrame:
+    """The row of the last run, none for an empty history."""
+    return history.orderBy(F.desc_nulls_last("date_execution")).limit(1)
+
+
+def shares(clients: DataFrame) -> DataFrame:
+    """For each segment its share of all segmented customers."""
+    each = clients.where("segment_rfm IS NOT NULL").groupBy("segment_rfm").agg(F.count("*").alias("n"))
+    total = each.agg(F.sum("n").alias("total"))
+    return each.crossJoin(F.broadcast(total)).select("segment_rfm", F.round(F.col("n") / F.col("total"), 6).alias("part"))  # six segments, one row
+
+
 def run(sales: DataFrame, algorithm: str = "auto", days: int = S.WINDOW_DAYS, percentile: float = S.WINSOR_PERCENTILE, k_min: int = 2, k_max: int = 6, starts: int | None = None) -> Result:
     """Segments every customer of sales. auto: all three algorithms, in parallel jobs, and the best eligible one; if none is, clusters by score rules."""
     spark = sales.sparkSession

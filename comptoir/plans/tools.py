@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from comptoir import schemas as S
 from comptoir.operators import cashflow, forecast, indicators, segments, series
+from comptoir.plans import readings
 from comptoir.sources.model import Model
 
 
@@ -46,7 +47,7 @@ class Desk:
         return forecast.forecasts(self.revenue, horizon, models)
 
     def cash_points(self, horizon: int) -> DataFrame:
-        return forecast.forecasts(self.balance, horizon, ("additif",), floor=False)
+        return forecast.forecasts(self.balance, horizon, ("arima",), floor=False)
 
 
 def sales_forecast(desk: Desk, params: dict) -> dict:
@@ -65,8 +66,12 @@ def sales_forecast(desk: Desk, params: dict) -> dict:
 
 def _cash(desk: Desk, horizon: int, critical: float, delta: float = 0.0) -> dict:
     points = desk.cash_points(horizon).select("i", "jour", "valeur")
-    points = cashflow.what_if(points, F.lit(delta)) if delta else points
-    return cashflow.alert(points, critical).first().asDict()
+    points = (cashflow.what_if(points, F.lit(delta)) if delta else points).cache()  # a row for each day ahead
+    told = cashflow.alert(points, critical).first().asDict()
+    now = desk.balance.agg(F.max_by("y", "jour").alias("y")).first()["y"]
+    last = points.agg(F.max_by("valeur", "i").alias("y")).first()["y"]
+    two = lambda v: None if v is None else round(v, 2)
+    return {"solde_actuel": two(now), "solde_fin": two(last), **told, "message": readings.cash_message(told["niveau"], told["solde_projete"], told["date_alerte"], critical)}
 
 
 def cash_forecast(desk: Desk, params: dict) -> dict:
@@ -139,9 +144,18 @@ def break_point(revenue: DataFrame) -> DataFrame:
     return series.level_break(revenue, "y").select(F.when(F.col("rupture"), 1).otherwise(2).alias("urgence"), F.lit("ventes").alias("sujet"), F.col("rupture").cast("long").alias("n"))
 
 
+def cash_point(desk: Desk, horizon: int = 30) -> DataFrame:
+    """One row (urgence, sujet, n): urgent if cash may run out within the horizon, n days ahead of the lowest point."""
+    points = desk.cash_points(horizon).select("i", "jour", "valeur")
+    low = cashflow.alert(points)
+    place = points.agg(F.min_by("i", F.struct("valeur", "jour")).cast("long").alias("n"))
+    level = F.when(F.col("niveau") == "risque_deficit", 0).when(F.col("niveau") == "vigilance", 1).otherwise(2)
+    return low.crossJoin(place).select(level.alias("urgence"), F.lit("tresorerie").alias("sujet"), "n")  # one row each
+
+
 def briefing(desk: Desk) -> list[dict]:
     """Points of attention by urgency; a source that fails is left out."""
-    sources = [lambda: stock_point(desk.model.stocks), lambda: break_point(desk.revenue)]
+    sources = [lambda: stock_point(desk.model.stocks), lambda: cash_point(desk), lambda: break_point(desk.revenue)]
     if desk.clients is not None:
         sources.append(lambda: client_point(desk.clients))
     out = []
@@ -158,6 +172,7 @@ def report(desk: Desk, rows: int = 15) -> str:
     sections = {
         "Indicateurs": lambda: indicators.global_figures(desk.model),
         "Concentration du chiffre d'affaires": lambda: indicators.pareto(desk.model.transactions),
+        "Dépendance aux clients": lambda: readings.dependence(indicators.pareto(desk.model.transactions)),
         "Meilleurs clients": lambda: indicators.top_clients(desk.model),
         "Segments": lambda: segments.summary(desk.clients),
         "Lecture des segments": lambda: segments.reading(desk.clients),

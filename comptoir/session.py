@@ -17,8 +17,11 @@ def session(name: str = "comptoir", master: str | None = None, **conf: str) -> S
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and cut from its lineage by a reliable checkpoint in the folder of spark.checkpoint.dir, which driver and executors share; a folder of this machine only where that is unset (tests in local mode)."""
+    """df, computed once and cut from its lineage by a reliable checkpoint in the folder of spark.checkpoint.dir, which driver and executors share; where that is unset, a folder of this machine serves a local master alone."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='comptoir-')}")
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(named or f"file://{tempfile.mkdtemp(prefix='comptoir-')}")
     return df.checkpoint()

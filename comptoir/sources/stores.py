@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +26,15 @@ class Store:
                 return 0
             raise
 
+    def exists(self, name: str) -> bool:
+        """Whether the table has been written, by append or by replace."""
+        try:
+            return bool(self.spark.read.parquet(self.path(name)).columns)
+        except Exception as error:
+            if "PATH_NOT_FOUND" in str(error):
+                return False
+            raise
+
     def path(self, name: str) -> str:
         return f"{self.root}/{name}/v{self.version(name)}"
 
@@ -38,6 +50,30 @@ class Store:
         self.spark.range(1).select(F.lit(version).alias("version")).write.mode("append").json(self._pointer(name))
 
 
-def export_csv(rows: DataFrame, path: str) -> None:
-    """A CSV folder with a header in each part."""
+class Cache:
+    """Results kept under the signature of what they were made from; another signature makes them anew. Folders of old signatures are left to the store's own cleaning."""
+
+    def __init__(self, store: Store) -> None:
+        self.store = store
+
+    def name(self, result: str, signature: DataFrame) -> str:
+        """signature: one row that changes with the source."""
+        said = "|".join(map(str, signature.first()))
+        return f"cache/{result}-{hashlib.sha256(said.encode()).hexdigest()[:24]}"
+
+    def get(self, result: str, signature: DataFrame, make: Callable[[], DataFrame]) -> DataFrame:
+        name = self.name(result, signature)
+        if not self.store.exists(name):
+            self.store.replace(name, make())
+        return self.store.read(name)
+
+    def known(self, result: str, signature: DataFrame) -> bool:
+        return self.store.exists(self.name(result, signature))
+
+
+def export_csv(rows: DataFrame, path: str, about: str | None = None) -> None:
+    """A CSV folder with a header in each part, and beside it a text folder <path>-README with the columns and what `about` says."""
     rows.write.mode("overwrite").option("header", True).csv(path)
+    if about is not None:
+        lines = [about, "", *(f"- {f.name}: {f.dataType.simpleString()}" for f in rows.schema)]
+        rows.sparkSession.createDataFrame([("\n".join(lines),)], "value string").write.mode("overwrite").text(f"{path}-README")

@@ -5,10 +5,11 @@ from datetime import date
 import numpy as np
 import pytest
 from comptoir.functions.stats import quantiles, quintile, winsor_cap
-from comptoir.operators import cashflow, cleaning, clusters, forecast, segments, series
-from comptoir.plans import readonly_sql, tools
+from comptoir.operators import cashflow, cleaning, clusters, forecast, indicators, segments, series
+from comptoir.plans import readings, readonly_sql, segmentation, tools
 from comptoir.sources import files
-from comptoir.sources.stores import Store
+from comptoir.sources.stores import Cache, Store, export_csv
+from comptoir.streaming import refresh
 from pyspark.sql import functions as F
 
 
@@ -81,12 +82,12 @@ def test_models_follow_a_week(spark):
     assert series.easter(2024) == date(2024, 3, 31)
 
 
-@pytest.mark.parametrize("sql", ["SELECT count(*) FROM clients", "WITH a AS (SELECT pays FROM clients) SELECT pays FROM a", "SELECT pays FROM clients UNION SELECT code_produit FROM transactions", "SELECT nom FROM clients WHERE client_id IN (SELECT client_id FROM transactions)"])
+@pytest.mark.parametrize("sql", ["SELECT count(*) FROM clients", "WITH a AS (SELECT pays FROM clients) SELECT pays FROM a", "SELECT pays FROM clients UNION SELECT code_produit FROM transactions", "SELECT nom FROM clients WHERE client_id IN (SELECT client_id FROM transactions)", "WITH a AS (SELECT client_id FROM clients), b AS (SELECT client_id FROM a) SELECT count(*) AS n, sum(1) OVER () FROM b GROUP BY client_id HAVING count(*) > 0 ORDER BY n LIMIT 3"])
 def test_guard_accepts(spark, sql):
     assert readonly_sql.checked(spark, sql)
 
 
-@pytest.mark.parametrize("sql", ["DROP TABLE clients", "DELETE FROM clients", "INSERT INTO clients VALUES (1)", "SELECT * FROM clients", "SELECT c.* FROM clients c", "SELECT email FROM clients", "SELECT nom FROM users", "SELECT nom FROM clients; SELECT 1", "SELECT reflect('java.lang.System', 'exit', 0)", "SELECT a FROM parquet.`/tmp/x`", "SELECT pg_sleep(9) FROM clients", "SET x = 1", "SELECT nom FROM clients WHERE EXISTS (SELECT 1 FROM users)"])
+@pytest.mark.parametrize("sql", ["DROP TABLE clients", "DELETE FROM clients", "INSERT INTO clients VALUES (1)", "SELECT * FROM clients", "SELECT c.* FROM clients c", "SELECT email FROM clients", "SELECT nom FROM users", "SELECT nom FROM clients; SELECT 1", "SELECT reflect('java.lang.System', 'exit', 0)", "SELECT a FROM parquet.`/tmp/x`", "SELECT pg_sleep(9) FROM clients", "SET x = 1", "SELECT nom FROM clients WHERE EXISTS (SELECT 1 FROM users)", "SELECT a FROM secret_t WHERE ', secret_t AS (' <> ''", "WITH a AS (SELECT x FROM secret_t), secret_t AS (SELECT 1 AS x) SELECT x FROM a", "SELECT a FROM secret_t WHERE 1 IN (WITH secret_t AS (SELECT 1 AS x) SELECT x FROM secret_t)", "SELECT count(*), to_json(struct(*)) FROM clients", "SELECT upper(EMAIL) FROM clients", "SELECT nom FROM clients ORDER BY (SELECT max(a) FROM secret_t)", "SELECT current_user()"])
 def test_guard_refuses(spark, sql):
     with pytest.raises(readonly_sql.Refused):
         readonly_sql.checked(spark, sql)
@@ -106,3 +107,125 @@ def test_store_replaces_by_snapshot(spark, tmp_path):
     assert store.read("t").count() == 5
     store.replace("t", store.read("t").distinct())
     assert store.read("t").count() == 3 and store.version("t") == 1
+
+
+def points_frame(spark, xyz):
+    return spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(xyz)], "client_id int, z_r double, z_f double, z_m double")
+
+
+def brute_dbscan(x, eps, least):
+    near = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)) <= eps
+    core, label = near.sum(1) >= least, np.full(len(x), -1)
+    n = 0
+    for i in np.flatnonzero(core):
+        if label[i] < 0:
+            todo, label[i] = [i], n
+            while todo:
+                for j in np.flatnonzero(near[todo.pop()] & core & (label < 0)):
+                    label[j] = n
+                    todo.append(j)
+            n += 1
+    for i in np.flatnonzero(~core):
+        label[i] = min(label[near[i] & core], default=-1)
+    return label
+
+
+def test_dbscan_and_kth_distances_equal_brute_force(spark):
+    draw = np.random.default_rng(5)
+    x = np.concatenate([draw.normal(size=(120, 3)), draw.normal(size=(60, 3)) * 0.05 + 4, np.zeros((7, 3)), [[30.0, 0, 0]]]).round(3)
+    df = points_frame(spark, x)
+    gap = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    got = {r["client_id"]: r["distance"] for r in clusters.knn_distances(df).collect()}
+    assert np.allclose([got[i] for i in range(len(x))], np.sort(gap, axis=1)[:, 5])
+    got = {r["client_id"]: r["cluster_id"] for r in clusters.dbscan(df, 0.6).collect()}
+    assert [got[i] for i in range(len(x))] == brute_dbscan(x, 0.6, 5).tolist()
+    four = points_frame(spark, np.arange(12).reshape(4, 3) * 0.01)
+    assert {r["cluster_id"] for r in clusters.dbscan(four, 0.2).collect()} == {0}
+    assert clusters.knn_distances(four, 9).count() == 4 and clusters.knn_distances(four.limit(1)).count() == 0 and clusters.knn_distances(four.limit(0)).count() == 0
+
+
+def test_dbscan_follows_a_long_chain(spark):
+    df = points_frame(spark, [(i * 0.1, 0, 0) for i in range(400)])
+    assert {r["cluster_id"] for r in clusters.dbscan(df, 0.25).collect()} == {0}
+
+
+def test_arima_likelihood_of_a_grid(spark):
+    w, one = np.random.default_rng(2).normal(size=80), []
+    p, q = np.array([0.3, -0.5, 0.9]), np.array([0.2, 0.4, -0.7])
+    for a, b in zip(p, q):  # the covariance of an ARMA(1,1) and its determinant
+        r = [(1 + 2 * a * b + b * b) / (1 - a * a)] + [(1 + a * b) * (a + b) / (1 - a * a) * a**k for k in range(79)]
+        c = np.array([[r[abs(i - j)] for j in range(80)] for i in range(80)])
+        one.append(0.5 * (80 * np.log(w @ np.linalg.solve(c, w) / 80) + np.linalg.slogdet(c)[1]))
+    assert np.allclose(forecast._arma_loss(w, p, q)[0], one)
+
+
+def movements(spark, rows):
+    return spark.createDataFrame([(i, date(2024, 1, d), i, "encaissement" if v > 0 else "decaissement", abs(v)) for i, d, v in rows], "mouvement_id int, date_mouvement date, sequence int, type_mouvement string, montant int")
+
+
+def test_streamed_movements_keep_what_was_appended(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    assert not store.exists("tresorerie")
+    store.append("tresorerie", cashflow.balances(movements(spark, [(1, 5, 100)])))
+    assert store.exists("tresorerie")
+    movements(spark, [(1, 5, 100), (2, 3, -30), (2, 3, -30)]).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("mouvement_id int, date_mouvement date, sequence int, type_mouvement string, montant int").parquet(str(tmp_path / "in"))
+    refresh.keep_balances(stream, store, str(tmp_path / "ck")).awaitTermination()
+    assert [(r[0], r[1]) for r in store.read("tresorerie").orderBy("date_mouvement").select("mouvement_id", "solde_apres_mouvement").collect()] == [(2, -30), (1, 70)]
+    seen = []
+    refresh.after_import(stream, lambda batch: seen.append(batch.count()), str(tmp_path / "ck2")).awaitTermination()
+    assert seen == [3]
+
+
+def test_streamed_daily_revenue(spark, tmp_path):
+    spark.sql("SELECT timestamp'2024-01-01 10:00:00' AS date_transaction, false AS est_retour, CAST(5 AS DECIMAL(9,2)) AS montant UNION ALL SELECT timestamp'2024-01-01 11:00:00', true, 9 UNION ALL SELECT timestamp'2024-01-01 12:00:00', false, 2").withColumn("montant", F.col("montant").cast("decimal(9,2)")).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("date_transaction timestamp, est_retour boolean, montant decimal(9,2)").parquet(str(tmp_path / "in"))
+    query = refresh.daily_revenue(stream).writeStream.format("memory").queryName("revenue").outputMode("complete").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert [(str(r["jour"]), float(r["ca"]), r["lignes"]) for r in spark.table("revenue").collect()] == [("2024-01-01", 7.0, 2)]
+
+
+def test_results_are_kept_by_signature(spark, tmp_path):
+    cache, made = Cache(Store(spark, str(tmp_path))), []
+    sales = lambda n: indicators.signature(spark.sql(f"SELECT false AS est_retour, date'2024-01-01' AS date_transaction, {n} AS montant"))
+    make = lambda: made.append(1) or spark.range(len(made))
+    assert not cache.known("r", sales(1))
+    assert [cache.get("r", sales(n), make).count() for n in (1, 1, 2, 1)] == [1, 1, 2, 1] and len(made) == 2 and cache.known("r", sales(2))
+
+
+def test_csv_export_with_its_readme(spark, tmp_path):
+    export_csv(spark.range(2), str(tmp_path / "x"), "Deux lignes.")
+    assert spark.read.option("header", True).csv(str(tmp_path / "x")).count() == 2
+    assert "Deux lignes." in {r[0] for r in spark.read.text(str(tmp_path / "x-README")).collect()}
+
+
+def daily(spark, y):
+    return spark.createDataFrame([(date.fromordinal(738000 + i), float(v)) for i, v in enumerate(y)], "jour date, y double")
+
+
+def test_forecast_reading(spark):
+    revenue = daily(spark, [100 + 10 * (i % 7 >= 5) for i in range(150)])
+    points = forecast.forecasts(revenue.select(F.lit("ventes").alias("serie"), "jour", "y"), 21)
+    got = readings.forecast_reading(revenue, points)
+    assert got["disponible"] and got["sens_evolution"] == "stable" and got["fiabilite"] == "bonne" and abs(got["total_prevu"] - 21 * 102.86) < 150 and got["scenario_bas"] <= got["total_prevu"] <= got["scenario_haut"]
+    drop = daily(spark, [100.0] * 120 + [5.0] * 30)
+    got = readings.forecast_reading(drop, forecast.forecasts(drop.select(F.lit("ventes").alias("serie"), "jour", "y"), 21))
+    assert any("import" in c for c in got["conseils"])
+    assert not readings.forecast_reading(revenue.limit(3), forecast.forecasts(revenue.limit(3).select(F.lit("ventes").alias("serie"), "jour", "y"), 5))["disponible"]
+    bounds = spark.createDataFrame([(10.0, 8.0, 12.0), (10.0, 6.0, 14.0)], "valeur double, borne_basse double, borne_haute double")
+    assert readings.interval_width(bounds).first()[0] == 0.6
+    assert [readings.dependence(spark.createDataFrame([(n, k)], "nb_clients int, nb_clients_80pct int")).first()["lecture"] for n, k in ((10, 2), (10, 4), (10, 8))] == ["forte dépendance à quelques clients", "concentration courante", "revenu réparti"]
+
+
+def test_chosen_k_is_below_the_number_of_points(spark):
+    got = segmentation.fit(points_frame(spark, [(0, 0, 0), (0, 0, 1), (9, 9, 9)]), "kmeans", starts=2)
+    assert [d["k"] for d in got.diagnostics] == [2] and got.n_groupes == 2
+    assert segmentation.fit(points_frame(spark, [(0, 0, 0), (0, 0, 1), (9, 9, 9)]), "dbscan").diagnostics == []
+
+
+def test_import_report_counts_customers(spark):
+    prepared = spark.createDataFrame([(False, True), (True, False), (False, False)], "rejet boolean, repli boolean")
+    kept = spark.createDataFrame([(False,)], "est_retour boolean")
+    clients = spark.createDataFrame([("cree",), ("complete",), ("inchange",), ("cree",)], "etat string")
+    got = cleaning.import_report(prepared, kept, clients).first()
+    assert (got["lues"], got["rejetees"], got["doublons"], got["clients_crees"], got["clients_completes"]) == (3, 1, 1, 2, 1) and len(got["avertissements"]) == 3
