@@ -134,7 +134,8 @@ def fit(docs: DataFrame, ratings: DataFrame, doc_id: str = "doc_id", text: str =
     """A model from at most `sample` of the rated documents (doc_id, grade), drawn by a hash; None if no document is rated."""
     ratings = ratings.select("doc_id", "grade")
     total = max(1, ratings.count())
-    drawn = ratings.where(F.pmod(F.xxhash64("doc_id"), F.lit(total)) < sample).limit(sample)
+    place = F.xxhash64("doc_id")
+    drawn = ratings.where(F.pmod(place, F.lit(total)) < 2 * sample).orderBy(place, "doc_id").limit(sample)  # the same rows in every run
     known = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(drawn), "doc_id")  # `sample` rows of two numbers at most
     shards = max(1, min(SHARDS, min(total, sample) // SHARE))
 
@@ -166,10 +167,17 @@ def calibrated(grade: np.ndarray, tail: np.ndarray, top: np.ndarray, least: floa
     return float(cuts[int(np.argmax(gain))])
 
 
+MADE = ["expected_grade", "tail_probability", "top_probability"]
+
+
 def graded_by(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """docs with expected_grade, tail_probability (of grade 1 or more) and top_probability (of the highest grade); nulls without a model. Every row is graded on its whole text, null as empty."""
+    """docs with expected_grade, tail_probability (of grade 1 or more) and top_probability (of the highest grade); nulls without a model.
+
+    Every row is graded on its whole text, null as empty; repeated rows stay, an empty table gives no rows, and columns of docs with these names are replaced.
+    """
+    docs = docs.drop(*MADE)
     if model is None:
-        return docs.withColumns({c: F.lit(None).cast("double") for c in ("expected_grade", "tail_probability", "top_probability")})
+        return docs.withColumns({c: F.lit(None).cast("double") for c in MADE})
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: spark.checkpoint.dir of the session.
 
-    Only where that is unset (tests in local mode) a folder of this machine is used.
+    Where that is unset, a folder of this machine serves a local master alone; elsewhere it is an error.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(named or f"file://{tempfile.mkdtemp(prefix='comptoir-')}")
     return (named or context.getCheckpointDir()).rstrip("/")
 

@@ -460,3 +460,18 @@ def test_lattice_counts_every_pair_of_a_dense_cell_once(spark):
     rows = [(i, (x + 0.02 * draw.normal(size=32)).tolist(), 1) for i in range(150)]
     got = lattice.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), chunk=16).collect()
     assert all(r["n_links"] == 149 and r["component_id"] == 0 for r in got)
+
+
+def test_quality_of_odd_rows(spark, odd, none):
+    ratings = spark.createDataFrame([(1, 2), (5, 2), (7, 0), (8, 0), (9, 1), (77, 2)], "doc_id long, grade int")
+    model = quality.fit(odd, ratings)
+    clash = odd.withColumn("expected_grade", F.lit("own"))
+    rows = quality.graded_by(clash, model).collect()
+    assert len(rows) == len(ODD) and all(0 <= r["tail_probability"] <= 1 and 0 <= r["expected_grade"] <= 2 for r in rows)
+    for r in rows:  # by hand from the model's weights
+        at, x = quality.features(r["text"])
+        tails = 1 / (1 + np.exp(model.thresholds - model.weights[at] @ x))
+        assert np.isclose(r["expected_grade"], tails.sum()) and np.isclose(r["top_probability"], tails[-1])
+    assert quality.graded_by(none, model).count() == 0 and quality.fit(odd, ratings.limit(0)) is None
+    one = [m.weights for m in (model, quality.fit(odd.repartition(5), ratings.repartition(2)))]
+    assert np.array_equal(*one)
