@@ -18,7 +18,9 @@ from comptoir.llm.shared import table, written
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps (good and not toxic), graded on their whole texts; null texts are graded as empty ones."""
     model = quality.fit(docs, quality.graded(table(spark, sf_dir, "labels")))
-    return quality.graded_by(docs, model).where(quality.kept_by(model)).select(*docs.columns)
+    own = {c: f"_own_{c}" for c in quality.MADE if c in docs.columns}
+    graded = quality.graded_by(docs.withColumnsRenamed(own), model)
+    return graded.where(quality.kept_by(model)).select(*[F.col(own.get(c, c)).alias(c) for c in docs.columns])
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
