@@ -77,7 +77,8 @@ class Transducer(ChunkEncoder):
         return ids
 
     def _fits(self, a: int, b: int) -> bool:
-        return self._merge(self.bytes[a] + self.bytes[b]) == [a, b]
+        """Whether the encoding of a's and b's bytes is just these two. Not if their own pair merges, which is the commonest case."""
+        return (a << 32 | b) not in self.ranks and self._merge(self.bytes[a] + self.bytes[b]) == [a, b]
 
     def stream(self, blocks: Iterable[bytes]) -> Iterator[int]:
         """The ids of one pre-token that comes in blocks of bytes, emitted as they become stable."""
@@ -87,9 +88,9 @@ class Transducer(ChunkEncoder):
         for block in blocks:
             for byte in block:
                 held.append(byte)
-                i = len(held)
+                i, word = len(held), bytes(held)
                 for start in range(max(0, i - longest), i):
-                    token = ids(bytes(held[start:]))
+                    token = ids(word[start:])
                     if token is not None and (start == 0 or fits(last[start - 1], token)):
                         break
                 else:
