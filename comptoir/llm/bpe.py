@@ -33,6 +33,8 @@ PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_W}\p{{L}}\p{{N}
 #: Letters or ids handled at once; letters from which a text is encoded on its own, in blocks.
 BLOCK, LONG_TEXT = 1 << 16, 1 << 20
 NONE = 1 << 60
+#: Sizes of a token that the last four bytes do not tell.
+SHORT = (3, 2, 1)
 
 
 class Transducer(ChunkEncoder):
@@ -52,6 +54,11 @@ class Transducer(ChunkEncoder):
         self.made = [self.ids[a + b] for a, b in merges]
         self.special = {t["content"]: t["id"] for t in whole["added_tokens"]}
         self.lookahead = max(len(a) + len(b) for a, b in merges)
+        ends: dict[bytes, set[int]] = {}
+        for b in self.ids:
+            if len(b) > 3:
+                ends.setdefault(b[-4:], set()).add(len(b))
+        self.sizes = {end: (*sorted(of, reverse=True), *SHORT) for end, of in ends.items()}
         self.bytes: list[bytes] = [b""] * (1 + max([*vocab.values(), *self.special.values()]))
         for b, i in self.ids.items():
             self.bytes[i] = b
@@ -83,23 +90,22 @@ class Transducer(ChunkEncoder):
     def stream(self, blocks: Iterable[bytes]) -> Iterator[int]:
         """The ids of one pre-token that comes in blocks of bytes, emitted as they become stable."""
         last: list[int] = []  # the token that ends at each position since the last stable end
-        held = bytearray()
-        ids, fits, longest = self.ids.get, self.fits, self.lookahead
+        word, done = b"", 0  # bytes held, those before `done` settled
+        ids, fits, sizes, longest = self.ids.get, self.fits, self.sizes.get, self.lookahead
         for block in blocks:
-            for byte in block:
-                held.append(byte)
-                i, word = len(held), bytes(held)
-                for start in range(max(0, i - longest), i):
-                    token = ids(word[start:])
-                    if token is not None and (start == 0 or fits(last[start - 1], token)):
+            word, done = word[done:] + block, 0
+            for end in range(len(last) + 1, len(word) + 1):
+                for size in sizes(word[end - 4 : end], SHORT) if end - done > 3 else SHORT:
+                    if (start := end - size) >= done and (token := ids(word[start:end])) is not None and (start == done or fits(last[start - 1 - done], token)):
                         break
                 else:
                     raise AssertionError("some token ends at each byte")
                 last.append(token)
-                if i >= 4 * longest:
+                if len(last) >= 4 * longest:
                     stable = self._shared(last)
                     yield from self._back(last, stable)
-                    del last[:stable], held[:stable]
+                    del last[:stable]
+                    done += stable
         yield from self._back(last, len(last))
 
     def _shared(self, last: list[int]) -> int:
