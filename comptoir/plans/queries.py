@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -375,12 +376,12 @@ def dbscan_labels(m):
 
 @query()
 def kmeans_labels(m):
-    return clusters.kmeans(_matrix(m).drop("cluster_id"), 4, starts=3)[0].select("client_id", "cluster_id")
+    return clusters.kmeans(_matrix(m).drop("cluster_id"), 4)[0].select("client_id", "cluster_id")
 
 
 @query()
 def gmm_labels(m):
-    return clusters.mixture(_matrix(m).drop("cluster_id"), 2, starts=2)[0].select("client_id", "cluster_id")
+    return clusters.mixture(_matrix(m).drop("cluster_id"), 2)[0].select("client_id", "cluster_id")
 
 
 INLINE = [("kmeans", 0.488, 0.762, 17075.0, 6, 0.0), ("gmm", 0.452, 0.974, 8755.0, 2, 0.0), ("dbscan", 0.226, 0.942, 2306.0, 15, 0.01)]
@@ -400,41 +401,42 @@ def silhouette_quality(spark, d):
 
 @query()
 def rfm_pipeline(m):
-    return segmentation.run(m.transactions, "kmeans", k_max=3, starts=2).clients
+    return segmentation.run(m.transactions).clients
 
 
 def _base(m):
     return cut(segments.matrix(segments.scored(segments.rfm(m.transactions)))[0])
 
 
-def _diagnostics(m, algorithm, starts):
-    fit = segmentation.fit(_base(m), algorithm, starts=starts)
+def _diagnostics(m, algorithm):
+    fit = segmentation.fit(_base(m), algorithm)
     rows = [(d["k"], d["inertie"], d["silhouette"], d["davies_bouldin"], d["calinski_harabasz"], d["n_clusters"], d["n_bruit"], d["k"] == fit.k) for d in fit.diagnostics]
     return m.clients.sparkSession.createDataFrame(rows, "k int, valeur double, silhouette double, davies_bouldin double, calinski_harabasz double, n_clusters long, n_bruit long, choisi boolean")
 
 
 @query()
 def kmeans_diagnostics(m):
-    return _diagnostics(m, "kmeans", 2)
+    return _diagnostics(m, "kmeans")
 
 
 @query()
 def gmm_diagnostics(m):
-    return _diagnostics(m, "gmm", 1)
+    return _diagnostics(m, "gmm")
 
 
 @query()
 def algorithm_comparison(m):
     base = _base(m)
-    return segmentation.compared(m.clients.sparkSession, [segmentation.fit(base, "kmeans", 2, 3, 2), segmentation.fit(base, "gmm", 2, 2, 1)])
+    return segmentation.compared(m.clients.sparkSession, [segmentation.fit(base, a) for a in segmentation.ALGORITHMS])
 
 
 @query()
 def segmentation_agreement(m):
+    """The share of customers whom all three algorithms, each with its best candidate, put into the same segment."""
     base = _base(m)
-    a = segments.with_segment(clusters.kmeans(base, 2, 2)[0]).select("client_id", F.col("segment_rfm").alias("kmeans"))
-    b = segments.with_segment(clusters.mixture(base, 2, 1)[0]).select("client_id", F.col("segment_rfm").alias("gmm"))
-    return clusters.agreement(a.join(b, "client_id"), ["kmeans", "gmm"])
+    found = [(a, segmentation.fit(base, a).labels) for a in segmentation.ALGORITHMS]
+    named = [segments.with_segment(base.join(labels, "client_id")).select("client_id", F.col("segment_rfm").alias(a)) for a, labels in found if labels is not None]
+    return clusters.agreement(reduce(lambda x, y: x.join(y, "client_id"), named), [a for a, labels in found if labels is not None])
 
 
 # --- daily series and forecasts ---

@@ -54,9 +54,8 @@ def fit(rows: DataFrame, algorithm: str, k_min: int = 2, k_max: int = 6, starts:
             labelled = clusters.dbscan(rows, e)
             tried.append((_tried(labelled, e, i), labelled))
     else:
-        run, times = (clusters.kmeans, starts or 10) if algorithm == "kmeans" else (clusters.mixture, starts or 5)
-        for k in range(k_min, min(k_max, n - 1) + 1):
-            labelled, value = run(rows, k, times)
+        sweep, times = (clusters.kmeans_sweep, starts or 10) if algorithm == "kmeans" else (clusters.mixture_sweep, starts or 5)
+        for k, (labelled, value) in sweep(rows, list(range(k_min, min(k_max, n - 1) + 1)), times, S.SEED, clusters.AXES).items():
             tried.append((_tried(labelled, value, k), labelled))
     got.diagnostics = [t for t, _ in tried]
     if not tried:
