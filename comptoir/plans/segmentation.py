@@ -44,19 +44,19 @@ def fit(rows: DataFrame, algorithm: str, k_min: int = 2, k_max: int = 6, starts:
     """Tries all candidates (k up to n - 1) and keeps that of the highest silhouette (the first on ties); DBSCAN without any takes the elbow of the k-distances."""
     if algorithm not in ALGORITHMS:
         raise ValueError(f"unknown algorithm {algorithm!r}: one of {ALGORITHMS}")
-    got, tried = Fit(algorithm), []
+    got, candidates = Fit(algorithm), []  # (value, k, labelled rows)
     n, corner = rows.count(), None
     if algorithm == "dbscan":
         curve = cut(clusters.knn_distances(rows))
-        few = n <= clusters.least_neighbours(n) + 1
-        corner = None if few else clusters.elbow(curve).first()["epsilon"]
-        for i, e in enumerate([] if few else clusters.eps_candidates(curve)):
-            labelled = clusters.dbscan(rows, e)
-            tried.append((_tried(labelled, e, i), labelled))
+        if n > clusters.least_neighbours(n) + 1:
+            corner, radii = clusters.elbow(curve).first()["epsilon"], clusters.eps_candidates(curve)
+            candidates = [(e, i, labelled) for i, (e, labelled) in enumerate(zip(radii, clusters.dbscan_sweep(rows, radii), strict=True))] if radii else []
     else:
         sweep, times = (clusters.kmeans_sweep, starts or 10) if algorithm == "kmeans" else (clusters.mixture_sweep, starts or 5)
-        for k, (labelled, value) in sweep(rows, list(range(k_min, min(k_max, n - 1) + 1)), times, S.SEED, clusters.AXES).items():
-            tried.append((_tried(labelled, value, k), labelled))
+        found = sweep(rows, list(range(k_min, min(k_max, n - 1) + 1)), times, S.SEED, clusters.AXES)
+        candidates = [(value, k, labelled) for k, (labelled, value) in found.items()]
+    with ThreadPoolExecutor(max(1, min(4, len(candidates)))) as pool:
+        tried = list(pool.map(lambda c: (_tried(c[2], c[0], c[1]), c[2]), candidates))
     got.diagnostics = [t for t, _ in tried]
     if not tried:
         got.warnings.append("aucun candidat")
