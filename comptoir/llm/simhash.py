@@ -225,6 +225,19 @@ def ball_links(sketches: DataFrame, checked: int, tables: int, bits: int, radius
     return out if stars is None else out.unionByName(stars)
 
 
+def _told(rows: DataFrame, known: DataFrame, key: str, share: int = 1024) -> DataFrame:
+    """rows joined with known (key, n, ...; one row for each key, n rows of `rows` hold it), without n.
+
+    Keys that hold a 1/`share` of all rows or more are at most `share`, so those are broadcast, and no
+    task of the shuffled join gets more than such a share of one key.
+    """
+    total = rows.count()
+    hot = F.col("n") * share >= total
+    few = checkpointed(known.where(hot).drop("n"))
+    rest = rows.join(F.broadcast(few.select(key)), key, "left_anti").join(known.where(~hot).drop("n"), key)
+    return rest.unionByName(rows.join(F.broadcast(few), key))
+
+
 def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 4, seed: int = 42, radius: int = 4, group: int = GROUP) -> DataFrame:
     """Rows (doc_id, fp, component_id), one for each row of docs.
 
@@ -234,13 +247,13 @@ def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     document there has an id). An empty table gives no rows. Other columns are dropped.
     """
     prints = checkpointed(with_sketch(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", words, seed).withColumnRenamed("s0", "fp"))
-    first = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    first = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
     links = ball_links(first.select(F.col("fp").alias("node"), F.col("fp").alias("s0")), 1, 1, 64, radius, radius, group)
     members = connected_components(links).withColumnRenamed("node", "fp")
     lowest = members.join(first, "fp").groupBy("component").agg(F.min("first").alias("lowest"))
     lowest = members.join(lowest, "component").select("fp", "lowest")
-    whole = first.join(lowest, "fp", "left").select("fp", F.coalesce("lowest", "first").alias("component_id"))
-    return prints.join(whole, "fp").select("doc_id", "fp", "component_id")
+    whole = first.join(lowest, "fp", "left").select("fp", "n", F.coalesce("lowest", "first").alias("component_id"))
+    return _told(prints, whole, "fp").select("doc_id", "fp", "component_id")
 
 
 #: Near-duplicate stage: shingles of five words; radius of its tables; recall at the similarity asked for; chance neighbours of a document in a table at most; lanes carried with each record; bytes of shingle sets in a task; documents of a family that all its tasks see.
@@ -359,15 +372,15 @@ def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     ids = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("row"))
     prints = written(ids.mapInPandas(run, f"doc_id {ids.schema['doc_id'].dataType.simpleString()}, text string, row long, node long, {', '.join(f'{c} long' for c in names)}"), "shingles")
     at = F.struct("row", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"), *names)
-    first = checkpointed(prints.groupBy("node").agg(F.min("doc_id").alias("first"), F.min_by(at, "row").alias("at")))
+    first = checkpointed(prints.groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"), F.min_by(at, "row").alias("at")))
     checked = min(lanes, CHECKED)
     near = ball_links(first.select("node", *[f"at.{c}" for c in names]), checked, tables, bits, STAGE_RADIUS, at_most(64 * checked, similarity), group, 0)
     families = connected_components(near).withColumnRenamed("component", "family")
     members = connected_components(near_links(first.select("node", "at.row", "at.size"), prints.select("row", "text", *names), families, similarity, task))
     lowest = members.join(first.select("node", "first"), "node").groupBy("component").agg(F.min("first").alias("lowest"))
     lowest = members.join(lowest, "component").select("node", "lowest")
-    whole = first.join(lowest, "node", "left").select("node", F.coalesce("lowest", "first").alias("first"))
-    return prints.select("doc_id", "node").join(whole, "node").select("doc_id", "first")
+    whole = first.join(lowest, "node", "left").select("node", "n", F.coalesce("lowest", "first").alias("first"))
+    return _told(prints.select("doc_id", "node"), whole, "node").select("doc_id", "first")
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
