@@ -427,14 +427,14 @@ def gmm_diagnostics(m):
 @query()
 def algorithm_comparison(m):
     base = _base(m)
-    return segmentation.compared(m.clients.sparkSession, [segmentation.fit(base, a) for a in segmentation.ALGORITHMS])
+    return segmentation.compared(m.clients.sparkSession, segmentation.fits_of(base))
 
 
 @query()
 def segmentation_agreement(m):
     """The share of customers whom all three algorithms, each with its best candidate, put into the same segment."""
     base = _base(m)
-    found = [(a, segmentation.fit(base, a).labels) for a in segmentation.ALGORITHMS]
+    found = [(f.algorithme, f.labels) for f in segmentation.fits_of(base)]
     named = [segments.with_segment(base.join(labels, "client_id")).select("client_id", F.col("segment_rfm").alias(a)) for a, labels in found if labels is not None]
     return clusters.agreement(reduce(lambda x, y: x.join(y, "client_id"), named), [a for a, labels in found if labels is not None])
 

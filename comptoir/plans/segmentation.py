@@ -76,6 +76,12 @@ def fit(rows: DataFrame, algorithm: str, k_min: int = 2, k_max: int = 6, starts:
     return got
 
 
+def fits_of(rows: DataFrame, names: tuple[str, ...] = ALGORITHMS, k_min: int = 2, k_max: int = 6, starts: int | None = None) -> list[Fit]:
+    """The fit of each algorithm, in parallel jobs."""
+    with ThreadPoolExecutor(len(names)) as pool:
+        return list(pool.map(lambda a: fit(rows, a, k_min, k_max, starts), names))
+
+
 def compared(spark: SparkSession, fits: list[Fit]) -> DataFrame:
     """One row for each algorithm with its measures, eligibility and rank."""
     rows = [(f.algorithme, f.k, f.eps, f.silhouette, f.davies_bouldin, f.calinski_harabasz, f.n_groupes, f.part_bruit) for f in fits]
@@ -144,8 +150,7 @@ def run(sales: DataFrame, algorithm: str = "auto", days: int = S.WINDOW_DAYS, pe
     base, cap = segments.matrix(segments.scored(segments.rfm(sales, days)), percentile)
     base = cut(base)
     names = ALGORITHMS if algorithm == "auto" else (algorithm,)
-    with ThreadPoolExecutor(len(names)) as pool:
-        fits = list(pool.map(lambda a: fit(base, a, k_min, k_max, starts), names))
+    fits = fits_of(base, names, k_min, k_max, starts)
     table = compared(spark, fits)
     ranked = {r["algorithme"]: r.asDict() for r in table.collect()}  # three rows
     chosen = algorithm if algorithm != "auto" else next((a for a, r in ranked.items() if r["rang"] == 1), None)
