@@ -20,11 +20,10 @@ from functools import lru_cache
 from itertools import islice
 
 import numpy as np
-import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
-from comptoir.llm.shared import table
+from comptoir.llm.shared import appended, table
 from comptoir.llm.tokens import BYTE_BPE, ChunkEncoder, byte_letters
 
 _W = r"\p{White_Space}"
@@ -191,25 +190,20 @@ def transducer(path: str) -> Transducer:
 def encoded(docs: DataFrame, path: str = BYTE_BPE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (doc_id, n_tokens, ids), ids little-endian of 32 bits. Null and empty texts have none; repeated rows stay; other columns are dropped."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        made = transducer(path)
-        for pdf in batches:
-            ids = made.encode_many(pdf["text"].tolist())
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n_tokens": [len(x) // 4 for x in ids], "ids": ids})
+    def make(texts: list[str | None]) -> list:
+        ids = transducer(path).encode_many(texts)
+        return [[len(x) // 4 for x in ids], ids]
 
-    return docs.selectExpr(f"`{doc_id}` AS doc_id", f"`{text}` AS text").mapInPandas(run, "doc_id long, n_tokens long, ids binary")
+    return appended(docs.selectExpr(f"`{doc_id}` AS doc_id", f"`{text}` AS text"), "text", {"n_tokens": "long", "ids": "binary"}, lambda: make, drop=True)
 
 
 def decoded(tokens: DataFrame, path: str = BYTE_BPE) -> DataFrame:
     """Rows (doc_id, text) of rows (doc_id, ids). Null ids are an empty text."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        made = transducer(path)
-        for pdf in batches:
-            texts = ["".join(made.decode(iter([np.frombuffer(x or b"", "<u4")]))) for x in pdf["ids"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "text": texts})
+    def make(ids: list[bytes | None]) -> list:
+        return [["".join(transducer(path).decode(iter([np.frombuffer(x or b"", "<u4")]))) for x in ids]]
 
-    return tokens.select("doc_id", "ids").mapInPandas(run, "doc_id long, text string")
+    return appended(tokens.select("doc_id", "ids"), "ids", {"text": "string"}, lambda: make, drop=True)
 
 
 def digests(docs: DataFrame, path: str = BYTE_BPE, doc_id: str = "doc_id", text: str = "text", long: int = LONG_TEXT) -> DataFrame:
@@ -234,15 +228,13 @@ def digests(docs: DataFrame, path: str = BYTE_BPE, doc_id: str = "doc_id", text:
         ids = np.frombuffer(raw, "<u4")
         return (ids[i : i + BLOCK] for i in range(0, len(ids), BLOCK))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make(texts: list[str | None]) -> list:
         made = transducer(path)
-        for pdf in batches:
-            texts = pdf["text"].tolist()
-            short = made.encode_each([t for t in texts if len(t or "") < long])
-            rows = pd.DataFrame([one(made, split(next(short)) if len(t or "") < long else made.blocks(t)) for t in texts], columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-            yield rows.assign(doc_id=pdf["doc_id"].astype("Int64").to_numpy())[["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]].astype({"doc_id": "Int64"})
+        short = made.encode_each([t for t in texts if len(t or "") < long])
+        return list(zip(*[one(made, split(next(short)) if len(t or "") < long else made.blocks(t)) for t in texts], strict=True))
 
-    return docs.selectExpr(f"`{doc_id}` AS doc_id", f"`{text}` AS text").mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    columns = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}
+    return appended(docs.selectExpr(f"`{doc_id}` AS doc_id", f"`{text}` AS text"), "text", columns, lambda: make, drop=True)
 
 
 def op6_bpe(spark, sf_dir: str) -> DataFrame:

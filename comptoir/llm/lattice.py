@@ -68,14 +68,19 @@ def cells(units: np.ndarray, tables: int = TABLES, blocks: int = BLOCKS, probes:
     """(n, tables, probes ** blocks) cell keys of unit vectors, the vector's own first."""
     n, dim = units.shape
     draw = np.random.default_rng(seed)
-    out = []
+    turns, moves, out = [], [], []
+    for _ in range(tables * blocks):
+        turns.append(np.linalg.qr(draw.standard_normal((max(dim, 8), 8)))[0][:dim])
+        moves.append(draw.random(8))
+    turn, placed = np.concatenate(turns, axis=1), np.zeros((n, 8 * tables * blocks))
+    for i in range(dim):  # element by element, so that a vector's cells never depend on the rows beside it
+        placed += units[:, i : i + 1] * turn[i]
+    placed = placed * np.sqrt(dim) / (scale * 2) + np.concatenate(moves)
     for t in range(tables):
         key = None
         for b in range(blocks):
-            turn, _ = np.linalg.qr(draw.standard_normal((max(dim, 8), 8)))
-            x = units @ turn[:dim] * np.sqrt(dim) / (scale * 2)
-            x = x + draw.random(8)
-            points = _mix(e8_points(x, probes), t * 64 + b)
+            at = 8 * (t * blocks + b)
+            points = _mix(e8_points(placed[:, at : at + 8], probes), t * 64 + b)
             key = points if key is None else _mix(np.stack(np.broadcast_arrays(key[:, :, None], points[:, None, :]), axis=-1), t).reshape(n, -1)
         out.append(key)
     return np.stack(out, axis=1)
@@ -85,7 +90,10 @@ def units_of(vectors: pd.Series) -> np.ndarray:
     """Rows of length one in double precision; every vector has the same number of finite components, not all zero."""
     x = np.stack(vectors.to_numpy()).astype(np.float64)
     x /= np.abs(x).max(axis=1, keepdims=True)
-    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+    squares = np.zeros(len(x))
+    for i in range(x.shape[1]):  # in one order for every row
+        squares += x[:, i] * x[:, i]
+    return x / np.sqrt(squares)[:, None]
 
 
 def _pairs(units: np.ndarray, runs: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
@@ -143,7 +151,7 @@ def compared(pdf: pd.DataFrame, cosine: float, shape: dict) -> pd.DataFrame:
 
 
 def lattice_links(vectors: DataFrame, cosine: float = 0.93, chunk: int = CHUNK, **shape) -> tuple[DataFrame, DataFrame]:
-    """(degrees, links) of distinct vectors (node long, label int, weight long, v: array of finite numbers, not all zero).
+    """(degrees, links) of distinct vectors (node long, label long, weight long, v: array of finite numbers, not all zero).
 
     degrees: rows (node, others), the weights of the vectors linked directly, in parts to be summed by node;
     links: rows (a, b) that span each batch's linked sets.
@@ -156,7 +164,7 @@ def lattice_links(vectors: DataFrame, cosine: float = 0.93, chunk: int = CHUNK,
                 keys = keys.reshape(len(same), -1)
                 yield pd.DataFrame({"node": np.repeat(same["node"].to_numpy(), keys.shape[1]), "label": np.repeat(same["label"].to_numpy(), keys.shape[1]), "dim": dim, "cell": keys.ravel()})
 
-    filed = checkpointed(vectors.select("node", "label", "v").mapInPandas(file, "node long, label int, dim int, cell long"))
+    filed = checkpointed(vectors.select("node", "label", "v").mapInPandas(file, "node long, label long, dim int, cell long"))
     sizes = filed.groupBy("label", "dim", "cell").count().where("count > 1").withColumn("parts", F.ceil(F.col("count") / chunk).cast("int")).drop("count")
     member = filed.join(sizes, ["label", "dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
     # a chunk meets itself and every other chunk of its cell: it goes to all tasks (i, j) of its own number
@@ -184,10 +192,10 @@ def near_vectors(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "embe
     """Rows (vec_id, n_links, component_id, kept), one for each row of `rows`.
 
     Vectors link at this cosine or more if their labels are equal and not null; a null, empty or zero vector,
-    or one with a null or non-finite component, or of another length, links with nothing. Equal vectors are one node with a weight; repeated
+    or one with a null or non-finite component, or of another length, links with nothing. Labels may be of any type. Equal vectors are one node with a weight; repeated
     rows count as vectors of their own. Rows with a null vec_id count as linked vectors but give no component its id. Other columns are dropped.
     """
-    rows = rows.select(F.col(vec_id).alias("vec_id"), F.col(embedding).alias("v"), F.col(label).cast("int").alias("label"))
+    rows = rows.select(F.col(vec_id).alias("vec_id"), F.col(embedding).alias("v"), F.when(F.col(label).isNotNull(), F.xxhash64(label)).alias("label"))
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0) & F.col("label").isNotNull()
     rows = rows.withColumn("node", F.when(fine, F.xxhash64("label", "v")))
     nodes = rows.where(F.col("node").isNotNull()).groupBy("node", "label", "v").agg(F.min("vec_id").alias("first"), F.count("*").alias("weight"))

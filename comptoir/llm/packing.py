@@ -6,15 +6,16 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from comptoir.llm.shared import table, written
+from comptoir.llm.shared import blocks, table, written
 from comptoir.llm.tokens import WORD_BPE, bases, encoder, tokenised
 
 WINDOW = 4096
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
+NAMES = [c.split()[0] for c in PIECE.split(", ")]
 
 
 def pack(docs: DataFrame, path: str = WORD_BPE, end_id: int = 2, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -29,21 +30,23 @@ def pack(docs: DataFrame, path: str = WORD_BPE, end_id: int = 2, window: int = W
     totals = stored.groupBy("pid").agg(F.sum("n")).collect()
     base = docs.sparkSession.sparkContext.broadcast(bases([tuple(r) for r in totals]))  # two numbers for each partition
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dtype = encoder(path).dtype
-        for pdf in batches:
-            out = []
-            for pid, at, doc, n, raw in zip(pdf["pid"], pdf["at"], pdf["doc_id"], pdf["n"], pdf["ids"], strict=True):
-                ids, place, start = np.frombuffer(raw, dtype).astype("<u4").tobytes(), base.value[pid] + at, 0
-                while start < n:
-                    length = min(n - start, window - (place + start) % window)
-                    part = ids[4 * start : 4 * (start + length)]
-                    out.append((doc, start, length, zlib.crc32(part), n, (place + start) // window, (place + start) % window, part))
-                    start += length
-            frame = pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
-            yield frame.assign(doc_id=frame["doc_id"].astype("Int64"))
+        for batch in batches:
+            for some in blocks(batch, "ids"):
+                out = []
+                for i, (pid, at, n, raw) in enumerate(zip(*[some.column(c).to_pylist() for c in ("pid", "at", "n", "ids")], strict=True)):
+                    ids, place, start = np.frombuffer(raw, dtype).astype("<u4").tobytes(), base.value[pid] + at, 0
+                    while start < n:
+                        length = min(n - start, window - (place + start) % window)
+                        part = ids[4 * start : 4 * (start + length)]
+                        out.append((i, start, length, zlib.crc32(part), n, (place + start) // window, (place + start) % window, part))
+                        start += length
+                of, *columns = zip(*out, strict=True)
+                docs = some.column("doc_id").take(pa.array(of))
+                yield pa.RecordBatch.from_arrays([docs, *[pa.array(c, pa.binary() if n == "ids" else pa.int64()) for n, c in zip(NAMES[1:], columns, strict=True)]], NAMES)
 
-    return stored.mapInPandas(cut, PIECE)
+    return stored.mapInArrow(cut, PIECE)
 
 
 def sequences(pieces: DataFrame, window: int = WINDOW, pad_id: int = 0) -> DataFrame:

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from comptoir.llm.shared import table
+from comptoir.llm.shared import appended, table
 
 #: Bits of the three families' hashes; rated documents in the sample at most, documents from which it is split in shards, shards at most.
 TRIPLES, SHAPES, WORDS, SAMPLE, SHARE, SHARDS = 14, 12, 14, 24_000, 3000, 8
@@ -178,18 +178,16 @@ def graded_by(docs: DataFrame, model: Model | None, text: str = "text") -> DataF
     docs = docs.drop(*MADE)
     if model is None:
         return docs.withColumns({c: F.lit(None).cast("double") for c in MADE})
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            scores = np.zeros(len(pdf))
-            for i, t in enumerate(pdf[text]):
-                at, x = features(t)
-                scores[i] = model.weights[at] @ x
-            tails = model.tails(scores)
-            yield pdf.assign(expected_grade=tails.sum(axis=1), tail_probability=tails[:, 0], top_probability=tails[:, -1])
-
-    return docs.mapInPandas(run, f"{fields}, expected_grade double, tail_probability double, top_probability double")
+
+    def grade(texts: list[str | None]) -> list[np.ndarray]:
+        scores = np.zeros(len(texts))
+        for i, t in enumerate(texts):
+            at, x = features(t)
+            scores[i] = model.weights[at] @ x
+        tails = model.tails(scores)
+        return [tails.sum(axis=1), tails[:, 0], tails[:, -1]]
+
+    return appended(docs, text, dict.fromkeys(MADE, "double"), lambda: grade)
 
 
 def kept(least: float = 0.5, least_top: float = 0.0) -> Column:

@@ -14,14 +14,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from comptoir.llm.shared import table
+from comptoir.llm.shared import BLOCK, blocks, table
 
-#: A run's words and periods at least; periods found by comparison; bytes of text in a block.
-LEAST, TIMES, SCANNED, BLOCK = 6, 4, 16, 4_000_000
+#: A run's words and periods at least; periods found by comparison.
+LEAST, TIMES, SCANNED = 6, 4, 16
 RUN = pa.struct([("start", pa.int64()), ("length", pa.int64()), ("period", pa.int64())])
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
@@ -227,13 +226,8 @@ def with_runs(docs: DataFrame, text: str = "text", least: int = LEAST, times: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column(batch.schema.get_field_index(text)).cast(pa.binary())
-            ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy())
-            at = 0
-            while at < len(column):  # whole texts of about `block` bytes together
-                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + block, side="right")))
-                yield _block(batch.slice(at, to - at), column.slice(at, to - at).to_pylist(), least, times)
-                at = to
+            for part in blocks(batch, text, block):
+                yield _block(part, part.column(text).cast(pa.binary()).to_pylist(), least, times)
 
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name not in ("runs", "collapsed")]
     return docs.mapInArrow(run, ", ".join([*kept, "runs array<struct<start: long, length: long, period: long>>", "collapsed string"]))

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from comptoir.llm.shared import checkpointed, table, written
+from comptoir.llm.shared import appended, checkpointed, table, written
 from comptoir.operators.components import connected_components
 
 #: Shingles hashed at once, variants compared at once, records in a group before it is spread again.
@@ -66,15 +66,8 @@ def sketch(blocks: Iterable[np.ndarray], lanes: int = 1) -> np.ndarray:
 
 def with_sketch(docs: DataFrame, text: str = "text", words: int = 4, seed: int = 42) -> DataFrame:
     """docs without the text, with s0 (long): the sketch over its shingles, repeats included. Null and blank texts give zero."""
-    kept = [c for c in docs.columns if c != text]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            got = [sketch(shingle_hashes(t or "", words, seed)).view(np.int64)[0] for t in pdf.pop(text)]
-            yield pdf.assign(s0=np.array(got, dtype=np.int64))
-
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text] + ["s0 long"])
-    return docs.select(*kept, text).mapInPandas(run, schema)
+    one = lambda t: sketch(shingle_hashes(t or "", words, seed)).view(np.int64)[0]
+    return appended(docs, text, {"s0": "long"}, lambda: lambda texts: [np.array([one(t) for t in texts], np.int64)], drop=True)
 
 
 def merge(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
@@ -362,15 +355,14 @@ def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     lanes = max(2, -(-tables * bits // 64))
     names = [f"s{i}" for i in range(lanes)]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            sets = [shingle_set(t) for t in pdf["text"]]
-            nodes = np.array([xxhash.xxh64_intdigest(x.astype("<u8").tobytes()) for x in sets], np.uint64).view(np.int64)
-            got = np.array([sketch([x], lanes).view(np.int64) for x in sets], np.int64).reshape(-1, lanes)
-            yield pdf.assign(node=nodes, **{c: got[:, i] for i, c in enumerate(names)})
+    def sketched(texts: list[str | None]) -> list[np.ndarray]:
+        sets = [shingle_set(t) for t in texts]
+        nodes = np.array([xxhash.xxh64_intdigest(x.astype("<u8").tobytes()) for x in sets], np.uint64).view(np.int64)
+        got = np.array([sketch([x], lanes).view(np.int64) for x in sets], np.int64).reshape(-1, lanes)
+        return [nodes, *np.ascontiguousarray(got.T)]
 
     ids = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("row"))
-    prints = written(ids.mapInPandas(run, f"doc_id {ids.schema['doc_id'].dataType.simpleString()}, text string, row long, node long, {', '.join(f'{c} long' for c in names)}"), "shingles")
+    prints = written(appended(ids, "text", {c: "long" for c in ["node", *names]}, lambda: sketched), "shingles")
     at = F.struct("row", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"), *names)
     first = checkpointed(prints.groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"), F.min_by(at, "row").alias("at")))
     checked = min(lanes, CHECKED)

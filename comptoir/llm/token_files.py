@@ -14,12 +14,12 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from comptoir.llm.shared import table, written
+from comptoir.llm.shared import blocks, table, written
 from comptoir.llm.tokens import BYTE_BPE, bases, encoder
 
 MAGIC, SHARD = b"RPG2", 1 << 20
@@ -173,27 +173,29 @@ def write_token_files(docs: DataFrame, path: str = BYTE_BPE, end_id: int = 2, do
     files in the shared folder, so a lost executor's shards are written anew as a whole.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, pid, at, held, ids, n = encoder(path), TaskContext.get().partitionId(), 0, [], [], 0
         end = np.array([end_id], enc.dtype).tobytes()
 
-        def done() -> pd.DataFrame:
-            return pd.DataFrame({"pid": [pid], "at": [at], "tokens": [n], "doc_ids": [held], "payload": [pack_shard(ids)]})
-
-        for pdf in batches:
-            for doc, raw in zip(pdf["doc_id"].astype("Int64"), enc.encode_many(pdf["text"].tolist()), strict=True):
-                held.append(None if pd.isna(doc) else int(doc))
-                ids.append(np.frombuffer(raw + end, enc.dtype))
-                n += len(ids[-1])
-                if n >= shard:
-                    yield done()
-                    at, held, ids, n = at + n, [], [], 0
+        def done() -> pa.RecordBatch:
+            columns = [pa.array([pid], pa.int32()), pa.array([at], pa.int64()), pa.array([n], pa.int64()), pa.array([held], pa.list_(pa.int64())), pa.array([pack_shard(ids)], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, ["pid", "at", "tokens", "doc_ids", "payload"])
+
+        for batch in batches:
+            for some in blocks(batch, "text"):
+                for doc, raw in zip(some.column("doc_id").to_pylist(), enc.encode_many(some.column("text").to_pylist()), strict=True):
+                    held.append(doc)
+                    ids.append(np.frombuffer(raw + end, enc.dtype))
+                    n += len(ids[-1])
+                    if n >= shard:
+                        yield done()
+                        at, held, ids, n = at + n, [], [], 0
         if held:
             yield done()
 
     parts = docs.sparkSession.conf.get("spark.sql.shuffle.partitions")
     ranged = docs.selectExpr(f"`{doc_id}` AS doc_id", f"`{text}` AS text").repartitionByRange(int(parts), "doc_id").sortWithinPartitions("doc_id", "text")
-    return written(ranged.mapInPandas(run, "pid int, at long, tokens long, doc_ids array<long>, payload binary"), "token-files")
+    return written(ranged.mapInArrow(run, "pid int, at long, tokens long, doc_ids array<long>, payload binary"), "token-files")
 
 
 def read_token_files(files: DataFrame, with_ids: bool = True) -> DataFrame:
@@ -201,16 +203,17 @@ def read_token_files(files: DataFrame, with_ids: bool = True) -> DataFrame:
     totals = files.groupBy("pid").agg(F.sum("tokens")).collect()
     base = files.sparkSession.sparkContext.broadcast(bases([tuple(r) for r in totals]))  # two numbers for each partition
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for pid, at, held, raw in zip(pdf["pid"], pdf["at"], pdf["doc_ids"], pdf["payload"], strict=True):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                pid, at, raw = (batch.column(c)[i].as_py() for c in ("pid", "at", "payload"))
                 ids = [x.astype("<u4").tobytes() for x in Shard(raw).all()]
                 n = np.array([len(x) // 4 for x in ids], np.int64)
-                docs = pd.array([None if pd.isna(d) else int(d) for d in held], dtype="Int64")
-                rows = pd.DataFrame({"doc_id": docs, "start": base.value[pid] + at + np.cumsum(n) - n, "n_tokens": n, "ids_crc32": [zlib.crc32(x) for x in ids]})
-                yield rows.assign(ids=ids) if with_ids else rows
+                columns = {"doc_id": batch.column("doc_ids")[i].values, "start": base.value[pid] + at + np.cumsum(n) - n, "n_tokens": n, "ids_crc32": [zlib.crc32(x) for x in ids]}
+                columns = {c: x if isinstance(x, pa.Array) else pa.array(x, pa.int64()) for c, x in columns.items()} | ({"ids": pa.array(ids, pa.binary())} if with_ids else {})
+                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    return files.mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
+    return files.select("pid", "at", "doc_ids", "payload").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 def op9_token_files(spark, sf_dir: str) -> DataFrame:

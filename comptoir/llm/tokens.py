@@ -15,13 +15,14 @@ from functools import lru_cache
 from itertools import compress
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from comptoir.llm.shared import appended
+
 #: Chunks in a generation of the memo (there are two); longer chunks are encoded but not kept; letters of text in a block.
 KEEP, LONG, TEXT = 200_000, 256, 4_000_000
 BYTE_BPE, WORD_BPE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -204,16 +205,21 @@ def tokenised(docs: DataFrame, path: str, end_id: int, doc_id: str = "doc_id", t
     ids are little-endian, of two bytes if the vocabulary allows. Null and empty texts hold end_id alone.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start() -> Callable[[list], list]:
         enc, pid, at = encoder(path), TaskContext.get().partitionId(), 0
         end, size = np.array([end_id], enc.dtype).tobytes(), enc.dtype.itemsize
-        for pdf in batches:
-            ids = [x + end for x in enc.encode_many(pdf["text"].tolist())]
+
+        def make(texts: list[str | None]) -> list:
+            nonlocal at
+            ids = [x + end for x in enc.encode_many(texts)]
             n = np.fromiter((len(x) // size for x in ids), np.int64, len(ids))
-            yield pd.DataFrame({"pid": pid, "at": at + np.cumsum(n) - n, "doc_id": pdf["doc_id"].astype("Int64"), "n": n, "ids": ids})
-            at += int(n.sum())
+            before, at = at, at + int(n.sum())
+            return [np.full(len(ids), pid), before + np.cumsum(n) - n, n, ids]
+
+        return make
 
-    return docs.selectExpr(f"`{doc_id}` AS doc_id", f"`{text}` AS text").mapInPandas(run, "pid int, at long, doc_id long, n long, ids binary")
+    made = {"pid": "int", "at": "long", "n": "long", "ids": "binary"}
+    return appended(docs.selectExpr(f"`{doc_id}` AS doc_id", f"`{text}` AS text"), "text", made, start, drop=True)
 
 
 def bases(totals: list[tuple[int, int]]) -> dict[int, int]:
