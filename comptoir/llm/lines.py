@@ -4,7 +4,7 @@ Lines are exploded in normal form and hashed, the documents of each hash are cou
 document once, in tasks before the shuffle), and places of lines over the threshold are gathered by
 document, so that texts are put together again by position. What is shuffled are hashes and places; a text
 moves once, to meet the places of its own lines. A line that a third of all documents hold is a row for
-each task in the count, and its places are split by the skew join.
+each task in the count, and its places are dealt over many tasks.
 """
 
 from __future__ import annotations
@@ -12,10 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from comptoir.llm.shared import table
+from comptoir.llm.shared import table, written
 
 #: Documents from which a line is dropped; code points from which a key counts.
 DOCUMENTS, LETTERS = 10, 1
+#: A line with this part of all places of common lines is dealt over SALTS tasks.
+SHARE, SALTS = 1024, 64
 _UPPER, _LOWER, _BLANK = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", " \t\n\x0b\x0c\r"
 #: 96 bits that name a line's key.
 LINE = ["line_a", "line_b"]
@@ -44,10 +46,16 @@ def common_lines(docs: DataFrame, text: str = "text", documents: int = DOCUMENTS
 
 
 def dropped_places(docs: DataFrame, common: DataFrame, doc_id: str = "doc_id", text: str = "text", letters: int = LETTERS) -> DataFrame:
-    """Rows (row_id, row_a, row_b, places): numbers of the lines to drop, from 0, for each document that has one; rows that repeat one another give one."""
+    """Rows (row_id, row_a, row_b, places): numbers of the lines to drop, from 0, for each document that has one. common: rows as common_lines gives them, written, as they are read several times. Rows that repeat one another give one."""
     named = docs.select(*_named(doc_id, text), F.col(text).alias("text"))  # hashed once, below the rows of lines
     placed = named.select(*ROW, F.posexplode(line_keys(F.col("text"))).alias("place", "key")).where(F.length("key") >= letters)
-    met = placed.select(*ROW, "place", *_hashed(F.col("key"))).join(common.select(*LINE), LINE)
+    placed = placed.select(*ROW, "place", *_hashed(F.col("key")))
+    total = common.agg(F.sum("documents")).first()[0] or 0
+    often = F.col("documents") * SHARE >= total
+    hot = common.where(often).select(*LINE, F.lit(True).alias("hot"))  # at most SHARE lines
+    placed = placed.join(F.broadcast(hot), LINE, "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64(*ROW, "place"), F.lit(SALTS))).otherwise(F.lit(0).cast("long")))
+    salted = common.select(*LINE, F.explode(F.sequence(F.lit(0).cast("long"), F.when(often, F.lit(SALTS - 1)).otherwise(0).cast("long"))).alias("salt"))
+    met = placed.join(salted, [*LINE, "salt"])
     return met.groupBy(*ROW).agg(F.collect_set("place").alias("places"))
 
 
@@ -63,7 +71,8 @@ def without_common_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     code points) is never dropped. Other columns stay as they are. An empty table gives no rows.
     """
     kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    places = dropped_places(docs, common_lines(docs, text, documents, letters), doc_id, text, letters)
+    common = written(common_lines(docs, text, documents, letters), "lines")
+    places = dropped_places(docs, common, doc_id, text, letters)
     # the join's own columns are structs of fixed names, so that columns of any name may stand beside them
     left = docs.select(F.struct(*kept).alias("_own"), F.struct(*_named(doc_id, text)).alias("_row"))
     right = places.select(F.struct(*ROW).alias("_named"), "places")
