@@ -2,7 +2,7 @@
 
 A window without partitions sends all rows to one task. Here rows are dealt by value into bins whose
 bounds are approximate quantiles; windows stay within a bin, and the bins' totals (a row for each bin) give the rest. A
-value that repeats stays in one bin: callers aggregate by value first where it may be common.
+value that repeats is dealt on by what breaks its ties; without that callers aggregate by value first.
 """
 
 from __future__ import annotations
@@ -12,23 +12,47 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, NumericType
 
 from comptoir.session import cut
 
 ACCURACY = 10_000
 
 
-def binned(df: DataFrame, by: str, bins: int | None = None) -> DataFrame:
-    """df with _bin, ascending with the number `by` (null: 0); only `bins` bounds reach the driver, as many as there are shuffle partitions if None."""
+def _array(values) -> Column:
+    return F.array(*map(F.lit, values)) if values else F.array().cast("array<double>")
+
+
+def binned(df: DataFrame, by: str, bins: int | None = None, tie: str | None = None) -> DataFrame:
+    """df with _bin, ascending with the number `by` (null: 0); only bounds reach the driver, about as many as `bins`, which is the number of shuffle partitions if None.
+
+    tie: a number or day by which a value that repeats through several bins is dealt to bins of its own, in order of (by, tie).
+    """
     bins = bins or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    bounds = df.agg(F.percentile_approx(F.col(by).cast("double"), [i / bins for i in range(1, bins)], ACCURACY)).first()[0] or []
-    limits = F.array(*map(F.lit, sorted(set(bounds)))) if bounds else F.array().cast("array<double>")
-    return df.withColumn("_bin", F.coalesce(F.size(F.filter(limits, lambda b: b < F.col(by).cast("double"))), F.lit(0)))
+    shares = lambda c, n: F.percentile_approx(c, [i / n for i in range(1, n)], ACCURACY)
+    value = F.col(by).cast("double")
+    found = df.agg(shares(value, bins)).first()[0] or []
+    limits = sorted(set(found))
+    number = F.coalesce(F.size(F.filter(_array(limits), lambda b: b < value)), F.lit(0))
+    hot = {b: found.count(b) for b in limits if found.count(b) > 1}  # each stands for a bin or more of the rows
+    if not hot or tie is None or not isinstance(df.schema[tie].dataType, NumericType | DateType):
+        return df.withColumn("_bin", number)
+    own = F.datediff(tie, F.lit("1970-01-01").cast("date")) if isinstance(df.schema[tie].dataType, DateType) else F.col(tie)
+    own, pieces = own.cast("double"), 1 + max(hot.values())
+    inner = {r["v"]: r["b"] or [] for r in df.where(value.isin(list(hot))).groupBy(value.alias("v")).agg(shares(own, pieces).alias("b")).collect()}  # a row for each hot value, at most half as many as bins
+    number = number + F.coalesce(F.size(F.filter(_array(sorted(hot)), lambda h: h <= value)), F.lit(0))  # a hot value is alone in its bin
+    cuts, base, at = {h: sorted(set(inner.get(h, []))) for h in hot}, [], 0
+    for b in range(len(limits) + len(hot) + 1):
+        base.append(at)
+        h = next((h for i, h in enumerate(sorted(hot)) if limits.index(h) + i + 1 == b), None)
+        at += 1 + (len(cuts[h]) if h is not None else 0)
+    within = reduce(lambda c, h: c.when(value == h, F.size(F.filter(_array(cuts[h]), lambda b: b < own))), hot, F.when(F.lit(False), 0))
+    return df.withColumn("_bin", F.element_at(F.array(*map(F.lit, base)), number + 1) + F.coalesce(within, F.lit(0)))
 
 
 def running(df: DataFrame, by: str, sums: dict[str, Column], ties: tuple = (), bins: int | None = None) -> DataFrame:
     """df with a running total, itself included, of each of sums in ascending order of (by, *ties)."""
-    rows = binned(df.withColumns({f"_v_{k}": v for k, v in sums.items()}), by, bins)
+    rows = binned(df.withColumns({f"_v_{k}": v for k, v in sums.items()}), by, bins, ties[0] if ties else None)
     totals = {r["_bin"]: r for r in rows.groupBy("_bin").agg(*[F.sum(f"_v_{k}").alias(k) for k in sums]).collect()}  # a row for each bin
     kinds = {k: rows.agg(F.sum(f"_v_{k}").alias("t")).schema["t"].dataType for k in sums}
     within = W.partitionBy("_bin").orderBy(by, *ties).rowsBetween(W.unboundedPreceding, 0)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from comptoir import schemas as S
 from comptoir.functions.stats import running
+from comptoir.session import cut
+from comptoir.sources.stores import Store
 
 #: Texts that say a movement is a receipt.
 RECEIPTS = ["encaissement", "credit", "in", "entree", "recette"]
@@ -27,10 +31,49 @@ def signed(amount: str = "montant", kind: str = "type_mouvement") -> Column:
     return F.when(F.col(kind) == "encaissement", F.col(amount)).otherwise(-F.col(amount))
 
 
-def balances(cash: DataFrame, order: str = "date_mouvement", ties: tuple = ("sequence",)) -> DataFrame:
-    """Every movement with the balance after it, in order of (date, sequence). Dates are dealt in bins, so no task sees all rows."""
+def balances(cash: DataFrame, order: str = "date_mouvement", ties: tuple = ("sequence",), opening: Decimal | float | int = 0) -> DataFrame:
+    """Every movement with the balance after it, from `opening` on, in order of (date, sequence). Days are dealt in bins and busy days by their sequence, so no task sees all rows."""
     rows = cash.withColumn("_day", F.datediff(order, F.lit("1970-01-01").cast("date")))
-    return running(rows, "_day", {"solde_apres_mouvement": signed()}, ties=ties).drop("_day")
+    got = running(rows, "_day", {"solde_apres_mouvement": signed()}, ties=ties).drop("_day")
+    if not opening:
+        return got
+    kind = got.schema["solde_apres_mouvement"].dataType
+    return got.withColumn("solde_apres_mouvement", (F.col("solde_apres_mouvement") + F.lit(opening)).cast(kind))
+
+
+def day_totals(cash: DataFrame, day: str = "date_mouvement") -> DataFrame:
+    """Rows (day, flux, mouvements)."""
+    return cash.groupBy(day).agg(F.sum(signed()).alias("flux"), F.count("*").alias("mouvements"))
+
+
+def merged_balances(store: Store, batch: DataFrame, name: str = "tresorerie", day: str = "date_mouvement", key: str = "mouvement_id") -> dict:
+    """Adds movements to a table of balances and makes anew those from the earliest new day on.
+
+    Earlier days are neither read nor written: the balance that they leave is the sum of day totals kept beside them.
+    Known ids and repeats within the batch add nothing. A movement without a day comes before all days,
+    so that it makes everything anew, as does a table without day totals. Returns the number of new movements, the day from which
+    balances were made (None: all), and how many known movements got another balance.
+    """
+    batch = batch.dropDuplicates([key])
+    known = store.read(name) if store.exists(name) else None
+    fresh = cut(batch if known is None else batch.join(known.select(key), key, "left_anti"))
+    n, dated, first = fresh.agg(F.count("*"), F.count(day), F.min(day)).first()
+    if not n:
+        return {"nouveaux": 0, "depuis": None, "ajustes": 0}
+    kept = known is not None and all(v for v, *_ in store.segments(name))  # version 0 was appended without totals
+    if known is None or n > dated or not kept:
+        rows = fresh if known is None else known.drop("solde_apres_mouvement").unionByName(fresh)
+        made = cut(balances(cut(rows)))
+        store.replace(name, made, {"totaux": day_totals(made, day)}, day)
+        old, since = known, None
+    else:
+        since = str(first)
+        old = cut(known.where(F.col(day) >= F.lit(first)))
+        opening = store.read(name, "totaux").where(F.col(day).isNull() | (F.col(day) < F.lit(first))).agg(F.sum("flux")).first()[0]
+        made = cut(balances(cut(old.drop("solde_apres_mouvement").unionByName(fresh)), opening=opening or 0))
+        store.replace_from(name, made, day, since, {"totaux": day_totals(made, day)})
+    changed = 0 if old is None or "solde_apres_mouvement" not in old.columns else changed_balances(old, made, key).count()
+    return {"nouveaux": n, "depuis": since, "ajustes": changed}
 
 
 def changed_balances(before: DataFrame, after: DataFrame, key: str = "mouvement_id") -> DataFrame:

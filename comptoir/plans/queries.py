@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from comptoir import schemas as S
 from comptoir.functions import text
 from comptoir.functions.stats import winsorised
-from comptoir.operators import cashflow, cleaning, clusters, forecast, indicators, segments, series
+from comptoir.operators import cashflow, cleaning, clusters, forecast, indicators, joins, segments, series, sketches
 from comptoir.plans import readonly_sql, segmentation, tools
 from comptoir.session import cut
 from comptoir.sources import exports
@@ -207,6 +207,52 @@ def stock_asof_snapshot(spark, d):
     return exports.stock_snapshot(rows, F.lit("1998-06-30").cast("date")).select("ProductKey", "DateKey")
 
 
+@raw_query("""SELECT l.l_orderkey, l.l_linenumber, l.l_partkey, l.jour, r.jour AS jour_prix, r.prix AS prix_connu FROM (SELECT l_orderkey, l_linenumber, l_partkey, CAST(l_shipdate AS DATE) AS jour FROM lineitem) l
+  ASOF LEFT JOIN (SELECT l_partkey, jour, arg_max(prix, (o, n, prix)) AS prix FROM known GROUP BY 1, 2) r ON l.l_partkey = r.l_partkey AND l.jour > r.jour""",
+    "known AS (SELECT l_partkey, CAST(o_orderdate AS DATE) AS jour, l_orderkey AS o, l_linenumber AS n, l_extendedprice AS prix FROM lineitem JOIN orders ON l_orderkey = o_orderkey)")
+def asof_last_price(spark, d):
+    """For each shipped line, the price at which its article was last ordered before that day."""
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.to_date("l_shipdate").alias("jour"), F.col("l_extendedprice").alias("prix"))
+    known = lines.drop("jour").join(table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.to_date("o_orderdate").alias("jour")), "l_orderkey")
+    got = joins.asof_join(lines.drop("prix"), known, ["l_partkey"], "jour", "jour", ties=("l_orderkey", "l_linenumber", "prix"), strict=True)
+    return got.select("l_orderkey", "l_linenumber", "l_partkey", "jour", F.col("derniere_jour").alias("jour_prix"), F.col("derniere_prix").alias("prix_connu"))
+
+
+@raw_query("""SELECT o.o_orderkey, o.debut, o.fin, count(l.l_orderkey) AS lignes, CAST(sum(l.l_quantity) AS DOUBLE) AS unites FROM wide o LEFT JOIN lineitem l ON CAST(l.l_shipdate AS DATE) BETWEEN o.debut AND o.fin GROUP BY 1, 2, 3""",
+    "wide AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS debut, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 4 AS INTEGER) AS fin FROM orders WHERE o_totalprice > (SELECT quantile_disc(o_totalprice, 0.99) FROM orders))")
+def range_lines_after_large_orders(spark, d):
+    """Lines shipped on the days from each of the largest orders on, up to three days later."""
+    orders = table(spark, d, "orders")
+    limit = orders.agg(F.expr("percentile_disc(0.99) WITHIN GROUP (ORDER BY o_totalprice)").alias("limite"))
+    day = F.to_date("o_orderdate")
+    wide = orders.crossJoin(F.broadcast(limit)).where("o_totalprice > limite").select("o_orderkey", day.alias("debut"), F.date_add(day, (F.col("o_orderkey") % 4).cast("int")).alias("fin"))  # limit is one row
+    lines = table(spark, d, "lineitem").select("l_quantity", F.to_date("l_shipdate").alias("jour"))
+    met = joins.range_join(wide, lines, ("debut", "fin"), ("jour", "jour"), outer=True)
+    return met.groupBy("o_orderkey", "debut", "fin").agg(F.count("r_jour").alias("lignes"), F.sum("r_l_quantity").alias("unites"))
+
+
+@raw_query("""SELECT a.p_brand AS marque, count(*) AS paires, CAST(sum(CAST(least(a.fin, b.fin) - greatest(a.debut, b.debut) AS BIGINT) + 1) AS BIGINT) AS jours FROM spans a JOIN spans b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey AND a.debut <= b.fin AND b.debut <= a.fin GROUP BY 1""",
+    "spans AS (SELECT p_brand, p_partkey, min(CAST(l_shipdate AS DATE)) AS debut, min(CAST(l_shipdate AS DATE)) + CAST(p_size AS INTEGER) AS fin FROM part JOIN lineitem ON p_partkey = l_partkey GROUP BY p_brand, p_partkey, p_size)")
+def range_launches_that_overlap(spark, d):
+    """By brand: pairs of articles whose launches (from the first shipped line on, as many days as their size) overlap, and for how many days."""
+    first = table(spark, d, "lineitem").groupBy("l_partkey").agg(F.to_date(F.min("l_shipdate")).alias("debut"))
+    spans = table(spark, d, "part").join(first, F.col("p_partkey") == F.col("l_partkey")).select("p_brand", "p_partkey", "debut", F.date_add("debut", F.col("p_size").cast("int")).alias("fin"))
+    met = joins.range_join(spans, spans, ("debut", "fin"), ("debut", "fin"), on=["p_brand"]).where("p_partkey < r_p_partkey")
+    shared = F.datediff(F.least("fin", "r_fin"), F.greatest("debut", "r_debut")) + 1
+    return met.groupBy(F.col("p_brand").alias("marque")).agg(F.count("*").alias("paires"), F.sum(shared).alias("jours"))
+
+
+@query("SELECT pays, CAST(year(date_transaction) AS INTEGER) AS annee, count(DISTINCT client_id) AS clients, TRUE AS dans_la_borne FROM transactions JOIN clients USING (client_id) GROUP BY 1, 2")
+def distinct_clients_by_sketch(m):
+    """Distinct customers by country and year: exact, and whether the union of daily sketches keeps its error bound."""
+    rows = m.transactions.join(m.clients.select("client_id", "pays"), "client_id")
+    daily = sketches.daily_sketches(rows, F.col("date_transaction"), "client_id", ("pays",)).withColumn("annee", F.year("jour"))
+    told = sketches.distinct_between(daily, by=("pays", "annee"))
+    exact = rows.groupBy("pays", F.year("date_transaction").alias("annee")).agg(F.countDistinct("client_id").alias("clients"))
+    near = F.abs(F.col("distincts") - F.col("clients")) <= F.greatest(F.lit(1.0), F.col("clients") * sketches.error_bound())
+    return exact.join(told, ["pays", "annee"]).select("pays", "annee", "clients", near.alias("dans_la_borne"))
+
+
 @query("SELECT code_produit, nom_produit FROM stocks WHERE code_produit IN (SELECT code_produit FROM transactions WHERE NOT est_retour)")
 def products_sold_semi(m):
     return m.stocks.join(indicators.sold(m.transactions), "code_produit", "left_semi").select("code_produit", "nom_produit")
@@ -700,5 +746,25 @@ def agent_setops(m):
     return _agent(m, SETS)
 
 
+CUBED = "SELECT pays, est_retour, grouping(pays) AS tous_pays, grouping(est_retour) AS tous_retours, count(*) AS n FROM transactions t JOIN clients c ON t.client_id = c.client_id GROUP BY CUBE(pays, est_retour)"
+SETS_OF = "SELECT pays, mois, count(DISTINCT client_id) AS clients, sum(quantite) AS unites FROM (SELECT t.client_id, quantite, pays, month(date_transaction) AS mois FROM transactions t JOIN clients c ON t.client_id = c.client_id) x GROUP BY GROUPING SETS ((pays), (mois), ())"
+OUTER = "SELECT coalesce(a.client_id, b.client_id) AS client_id, a.achats, b.retours FROM (SELECT client_id, count(*) AS achats FROM transactions WHERE NOT est_retour AND quantite > 45 GROUP BY client_id) a FULL OUTER JOIN (SELECT client_id, count(*) AS retours FROM transactions WHERE est_retour AND quantite > 45 GROUP BY client_id) b ON a.client_id = b.client_id"
+
+
+@query(CUBED)
+def agent_cube(m):
+    return _agent(m, CUBED).select("pays", "est_retour", F.col("tous_pays").cast("long"), F.col("tous_retours").cast("long"), "n")
+
+
+@query("SELECT pays, CAST(mois AS INTEGER) AS mois, clients, CAST(unites AS BIGINT) AS unites FROM (" + SETS_OF + ") g")
+def agent_grouping_sets(m):
+    return _agent(m, SETS_OF)
+
+
+@query(OUTER)
+def agent_full_outer(m):
+    return _agent(m, OUTER)
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["top_clients_ca"](spark, sf_dir)

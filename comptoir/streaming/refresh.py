@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from comptoir.operators.cashflow import balances
-from comptoir.session import cut
+from comptoir.operators.cashflow import merged_balances
 from comptoir.sources.stores import Store
 
 
@@ -20,14 +19,10 @@ def daily_revenue(stream: DataFrame, late: str = "30 days", time: str = "date_tr
 
 
 def keep_balances(stream: DataFrame, store: Store, checkpoint: str, name: str = "tresorerie") -> StreamingQuery:
-    """Every batch of movements (mouvement_id, date_mouvement, sequence, ...) joins the table, and all balances are made anew, as a late movement changes every one after it. A batch that runs twice adds nothing: known ids, and repeats within the batch, are left out."""
+    """Every batch of movements (mouvement_id, date_mouvement, sequence, ...) joins the table, and balances are made anew from its earliest day on, as a late movement changes every one after it. A batch that runs twice adds nothing: known ids, and repeats within the batch, are left out."""
 
     def merge(batch: DataFrame, _: int) -> None:
-        batch = batch.dropDuplicates(["mouvement_id"])
-        if store.exists(name):
-            known = store.read(name).drop("solde_apres_mouvement")
-            batch = known.unionByName(batch.join(known.select("mouvement_id"), "mouvement_id", "left_anti"))
-        store.replace(name, balances(cut(batch)))
+        merged_balances(store, batch, name)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
