@@ -101,10 +101,10 @@ def errors(rows: DataFrame, actual: str, predicted: str) -> list[Column]:
 
 
 def naive_errors(series: DataFrame, y: str = "y") -> DataFrame:
-    """RMSE, MAE and MASE on the test days, of the mean of the training days, of the value a week before, and of the last training week repeated."""
-    rows = split(series).withColumns({"lag_1": F.lag(y, 1).over(by_day()), "semaine": F.lag(y, 7).over(by_day())})
+    """RMSE, MAE and MASE (against the mean step of one week in the training days) on the test days, of the mean of the training days, of the value a week before, and of the last training week repeated."""
+    rows = split(series).withColumn("semaine", F.lag(y, 7).over(by_day()))
     train = F.col("partie") == "train"
-    one = rows.agg(F.avg(F.when(train, F.col(y))).alias("moyenne"), F.avg(F.when(train, F.abs(F.col(y) - F.col("lag_1")))).alias("echelle"), F.max(F.when(train, F.col("rang"))).alias("n_train"))
+    one = rows.agg(F.avg(F.when(train, F.col(y))).alias("moyenne"), F.avg(F.when(train, F.abs(F.col(y) - F.col("semaine")))).alias("echelle"), F.max(F.when(train, F.col("rang"))).alias("n_train"))
     test = rows.where(~train).crossJoin(F.broadcast(one))  # one row
     week = rows.where(train).select(F.col("rang").alias("source"), F.col(y).alias("repetee"))
     test = test.withColumn("source", F.col("n_train") - 6 + (F.col("rang") - F.col("n_train") - 1) % 7).join(week, "source", "left")

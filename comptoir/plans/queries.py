@@ -15,7 +15,7 @@ from comptoir.functions.stats import winsorised
 from comptoir.operators import cashflow, cleaning, clusters, forecast, indicators, joins, segments, series, sketches
 from comptoir.plans import readonly_sql, segmentation, tools
 from comptoir.session import cut
-from comptoir.sources import exports
+from comptoir.sources import exports, files
 from comptoir.sources.model import SQL, Model, from_star, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -258,9 +258,10 @@ def products_sold_semi(m):
     return m.stocks.join(indicators.sold(m.transactions), "code_produit", "left_semi").select("code_produit", "nom_produit")
 
 
-@query("SELECT code_produit FROM stocks EXCEPT SELECT code_produit FROM transactions WHERE est_retour")
+@query("SELECT code_produit FROM stocks EXCEPT SELECT code_produit FROM transactions WHERE est_retour AND quantite > 47")
 def products_never_returned(m):
-    return m.stocks.select("code_produit").distinct().join(m.transactions.where("est_retour"), "code_produit", "left_anti")
+    """Products of which no large lot ever came back."""
+    return m.stocks.select("code_produit").distinct().join(m.transactions.where("est_retour AND quantite > 47"), "code_produit", "left_anti")
 
 
 @query("""SELECT code_produit, greatest(5, CAST(floor(moyenne * 2) AS INTEGER)) AS seuil_alerte, CAST(floor(greatest(5, CAST(floor(moyenne * 2) AS INTEGER)) * 1.5) AS INTEGER) AS seuil_reapprovisionnement FROM (SELECT code_produit, avg(quantite) AS moyenne FROM transactions GROUP BY 1) t""")
@@ -400,19 +401,18 @@ def kdistance_curve(m):
     return clusters.knn_distances(_matrix(m)).select("client_id", F.round("distance", 5).alias("distance"))
 
 
-@query("""SELECT round(distance, 5) AS epsilon FROM (SELECT distance, abs(CAST(i AS DOUBLE) / max(i) OVER () - (distance - min(distance) OVER ()) / (max(distance) OVER () - min(distance) OVER ())) AS away, i FROM (SELECT distance, row_number() OVER (ORDER BY distance) - 1 AS i FROM curve) t) u ORDER BY round(away, 12) DESC, i LIMIT 1""", BASE, SCORES, CAP, MATRIX, KNN)
+ELBOW = """SELECT round(distance, 5) AS epsilon FROM (SELECT distance, abs(CAST(i AS DOUBLE) / max(i) OVER () - (distance - min(distance) OVER ()) / (max(distance) OVER () - min(distance) OVER ())) AS away, i FROM (SELECT distance, row_number() OVER (ORDER BY distance) - 1 AS i FROM curve) t) u ORDER BY round(away, 12) DESC, i LIMIT 1"""
+
+
+@query(ELBOW, BASE, SCORES, CAP, MATRIX, KNN)
 def kdistance_elbow(m):
     return clusters.elbow(clusters.knn_distances(_matrix(m))).select(F.round("epsilon", 5).alias("epsilon"))
 
 
-@query("SELECT round(unnest(quantile_cont(distance, [" + ", ".join(str(0.5 + 0.48 * i / 7) for i in range(8)) + "])), 5) AS epsilon FROM curve", BASE, SCORES, CAP, MATRIX, KNN)
+@query("SELECT DISTINCT epsilon FROM (SELECT round(unnest(quantile_cont(distance, [" + ", ".join(str(0.5 + 0.48 * i / 7) for i in range(8)) + "])), 5) AS epsilon FROM curve UNION ALL SELECT * FROM (" + ELBOW + ") e) t WHERE epsilon > 0", BASE, SCORES, CAP, MATRIX, KNN)
 def dbscan_eps_candidates(m):
-    """The percentile candidates; the elbow is a query of its own."""
-    from comptoir.functions.stats import quantiles
-
-    curve = clusters.knn_distances(_matrix(m))
-    got = quantiles(curve, "distance", [0.5 + 0.48 * i / 7 for i in range(8)])
-    return m.clients.sparkSession.createDataFrame([(round(x, 5),) for x in got], "epsilon double")
+    got = clusters.eps_candidates(cut(clusters.knn_distances(_matrix(m))))
+    return m.clients.sparkSession.createDataFrame([(x,) for x in sorted({round(x, 5) for x in got})], "epsilon double")
 
 
 @query()
@@ -430,19 +430,44 @@ def gmm_labels(m):
     return clusters.mixture(_matrix(m).drop("cluster_id"), 2)[0].select("client_id", "cluster_id")
 
 
-INLINE = [("kmeans", 0.488, 0.762, 17075.0, 6, 0.0), ("gmm", 0.452, 0.974, 8755.0, 2, 0.0), ("dbscan", 0.226, 0.942, 2306.0, 15, 0.01)]
+def _measured(label: str) -> list[str]:
+    """CTEs of the three measures of the customers' groups by one score, and of what ranking takes."""
+    d, c = _D, f"ctr_{label}"
+    return [
+        f"{c} AS (SELECT {label} AS g, avg(z_r) AS z_r, avg(z_f) AS z_f, avg(z_m) AS z_m, count(*) AS size FROM matrix GROUP BY 1)",
+        f"sil_{label} AS (SELECT avg(CASE WHEN size <= 1 THEN 0 ELSE (b - a) / greatest(a, b) END) AS v FROM (SELECT client_id, max(CASE WHEN own = other THEN total / greatest(size - 1, 1) END) AS a, min(CASE WHEN own <> other THEN total / size END) AS b, max(CASE WHEN own = other THEN size END) AS size FROM (SELECT a.client_id, a.{label} AS own, b.{label} AS other, sum({d}) AS total, count(*) AS size FROM matrix a, matrix b GROUP BY 1, 2, 3) s GROUP BY 1) t)",
+        f"sp_{label} AS (SELECT b.g, b.z_r, b.z_f, b.z_m, avg({d}) AS s FROM matrix a JOIN {c} b ON a.{label} = b.g GROUP BY 1, 2, 3, 4)",
+        f"db_{label} AS (SELECT avg(d) AS v FROM (SELECT a.g, max((a.s + b.s) / {d}) AS d FROM sp_{label} a JOIN sp_{label} b ON a.g <> b.g GROUP BY 1) t)",
+        f"ch_{label} AS (SELECT between_ * (n - k) / (within_ * (k - 1)) AS v, k FROM (SELECT sum(pow({d}, 2) * a.size) AS between_, count(*) AS k, sum(a.size) AS n FROM {c} a, (SELECT avg(z_r) AS z_r, avg(z_f) AS z_f, avg(z_m) AS z_m FROM matrix) b) x, (SELECT sum(pow({d}, 2)) AS within_ FROM matrix a JOIN {c} b ON a.{label} = b.g) y)",
+    ]
+
 
+GROUPINGS = ["score_r", "score_f", "score_m"]
+RANKED = "ranked AS (" + " UNION ALL ".join(f"SELECT '{c}' AS algorithme, (SELECT v FROM sil_{c}) AS silhouette, (SELECT v FROM db_{c}) AS davies_bouldin, (SELECT v FROM ch_{c}) AS calinski_harabasz, (SELECT k FROM ch_{c}) AS n_groupes" for c in GROUPINGS) + ")"
 
-@raw_query("""SELECT algorithme, eligible, CASE WHEN eligible THEN round((rank() OVER (PARTITION BY eligible ORDER BY silhouette DESC) + rank() OVER (PARTITION BY eligible ORDER BY davies_bouldin) + rank() OVER (PARTITION BY eligible ORDER BY calinski_harabasz DESC)) / 3.0::DOUBLE, 6) END AS rang_moyen FROM (
-  SELECT *, n_groupes BETWEEN 2 AND 8 AND part_bruit <= 0.1 AS eligible FROM (VALUES """ + ", ".join(map(str, INLINE)) + ") AS t(algorithme, silhouette, davies_bouldin, calinski_harabasz, n_groupes, part_bruit)) u")
-def algorithm_ranking(spark, d):
-    rows = spark.createDataFrame(INLINE, "algorithme string, silhouette double, davies_bouldin double, calinski_harabasz double, n_groupes int, part_bruit double")
-    return clusters.ranking(rows).select("algorithme", "eligible", "rang_moyen")
 
+@query("""SELECT algorithme, round(silhouette, 5) AS silhouette, CASE WHEN eligible THEN round((rank() OVER (PARTITION BY eligible ORDER BY silhouette DESC) + rank() OVER (PARTITION BY eligible ORDER BY davies_bouldin) + rank() OVER (PARTITION BY eligible ORDER BY calinski_harabasz DESC)) / 3.0::DOUBLE, 6) END AS rang_moyen, eligible,
+  CASE WHEN silhouette > 0.70 THEN 'forte' WHEN silhouette > 0.50 THEN 'raisonnable' WHEN silhouette > 0.25 THEN 'faible' ELSE 'non substantielle' END AS qualite FROM (SELECT *, n_groupes BETWEEN 2 AND 8 AS eligible FROM ranked) t""",
+    BASE, SCORES, CAP, MATRIX, *[x for c in GROUPINGS for x in _measured(c)], RANKED)
+def algorithm_ranking(m):
+    """The ranking of three groupings of the customers, by each of their scores, with the reading of their silhouettes."""
+    base = _matrix(m).drop("cluster_id")
+    rows = []
+    for c in GROUPINGS:
+        got = clusters.measures(base, c)
+        rows.append((c, got["silhouette"], got["davies_bouldin"], got["calinski_harabasz"], base.select(c).distinct().count(), 0.0))
+    rows = m.clients.sparkSession.createDataFrame(rows, "algorithme string, silhouette double, davies_bouldin double, calinski_harabasz double, n_groupes long, part_bruit double")
+    return clusters.ranking(rows).select("algorithme", F.round("silhouette", 5).alias("silhouette"), "rang_moyen", "eligible", text.silhouette_quality(F.col("silhouette")).alias("qualite"))
 
-@raw_query("SELECT event_id, CASE WHEN s > 0.70 THEN 'forte' WHEN s > 0.50 THEN 'raisonnable' WHEN s > 0.25 THEN 'faible' ELSE 'non substantielle' END AS qualite FROM (SELECT event_id, CAST(event_id % 100 AS DOUBLE) / 100 AS s FROM events) t")
-def silhouette_quality(spark, d):
-    return table(spark, d, "events").select("event_id", text.silhouette_quality((F.col("event_id") % 100) / 100).alias("qualite"))
+
+@query(f"""SELECT cluster_id, round(v, 4) AS silhouette, CASE WHEN v > 0.70 THEN 'forte' WHEN v > 0.50 THEN 'raisonnable' WHEN v > 0.25 THEN 'faible' ELSE 'non substantielle' END AS qualite FROM (SELECT x.cluster_id, ({_D.replace('a.', 'x.').replace('b.', 'y.')}) / 10 AS v FROM centres x, (SELECT avg(z_r) AS z_r, avg(z_f) AS z_f, avg(z_m) AS z_m FROM matrix) y) t""", BASE, SCORES, CAP, MATRIX, CENTRES)
+def silhouette_quality(m):
+    """The words for a silhouette, for a tenth of each group's distance from the middle of all customers, which spans the four of them."""
+    rows = _matrix(m)
+    middle = rows.agg(*[F.avg(c).alias(f"o_{c}") for c in clusters.AXES])
+    centres = rows.groupBy("cluster_id").agg(*[F.avg(c).alias(c) for c in clusters.AXES]).crossJoin(F.broadcast(middle))  # one row
+    v = F.sqrt(sum(F.pow(F.col(c) - F.col(f"o_{c}"), 2) for c in clusters.AXES)) / 10
+    return centres.select("cluster_id", F.round(v, 4).alias("silhouette"), text.silhouette_quality(v).alias("qualite"))
 
 
 @query()
@@ -548,7 +573,7 @@ def repeated_week_forecast(m):
 @query("""SELECT modele, round(sqrt(avg(pow(y - p, 2))), 4) AS rmse, round(avg(abs(y - p)), 4) AS mae, round(avg(abs(y - p)) / max(e), 6) AS mase FROM (
   SELECT 'moyenne' AS modele, y, (SELECT p FROM meanpred) AS p, e FROM t UNION ALL SELECT 'semaine_precedente', y, l7, e FROM t
   UNION ALL SELECT 'semaine_repetee', t.y, s.y, e FROM t JOIN parts s ON s.rang = n - 6 + (t.rang - n - 1) % 7) u GROUP BY 1""", REV, SPLIT, ERRORS,
-    "lagged AS (SELECT *, lag(y, 1) OVER (ORDER BY jour) AS l1, lag(y, 7) OVER (ORDER BY jour) AS l7 FROM parts), t AS (SELECT *, (SELECT avg(abs(y - l1)) FROM lagged WHERE partie = 'train') AS e, (SELECT max(rang) FROM parts WHERE partie = 'train') AS n FROM lagged WHERE partie = 'test')")
+    "lagged AS (SELECT *, lag(y, 7) OVER (ORDER BY jour) AS l7 FROM parts), t AS (SELECT *, (SELECT avg(abs(y - l7)) FROM lagged WHERE partie = 'train') AS e, (SELECT max(rang) FROM parts WHERE partie = 'train') AS n FROM lagged WHERE partie = 'test')")
 def naive_forecast_errors(m):
     return series.naive_errors(_revenue(m))
 
@@ -680,10 +705,10 @@ def import_quality_report(spark, d):
 
 
 @raw_query("""SELECT coalesce(k.c, n.c) AS code_client_externe, coalesce(k.nom, n.nom) AS nom, CASE WHEN k.c IS NULL THEN 'cree' WHEN k.nom IS NULL AND n.nom IS NOT NULL THEN 'complete' ELSE 'inchange' END AS etat FROM known k FULL JOIN (SELECT c, arg_min(nom, ordinal) FILTER (WHERE nom IS NOT NULL) AS nom FROM prep GROUP BY c) n ON k.c = n.c""", RAW_SQL, PREPARED,
-    "known AS (SELECT concat('C', CAST(c_custkey AS STRING)) AS c, CASE WHEN c_custkey % 2 = 0 THEN c_name END AS nom FROM customer WHERE c_custkey BETWEEN 20 AND 80)")
+    "known AS (SELECT concat('C', CAST(c_custkey AS STRING)) AS c, CASE WHEN c_custkey % 2 = 0 THEN c_name END AS nom FROM customer)")
 def customer_enrichment(spark, d):
     none = F.lit(None).cast("string")
-    known = table(spark, d, "customer").where("c_custkey BETWEEN 20 AND 80").select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("code_client_externe"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")).alias("nom"), none.alias("email"), none.alias("pays"))
+    known = table(spark, d, "customer").select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("code_client_externe"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")).alias("nom"), none.alias("email"), none.alias("pays"))
     return cleaning.enriched_clients(known, cleaning.prepared_sales(_raw(spark, d), MAPPING)).select("code_client_externe", "nom", "etat")
 
 
@@ -713,9 +738,17 @@ def code_formatting(spark, d):
     return table(spark, d, "customer").select("c_custkey", text.client_code(F.col("c_custkey")).alias("client"), text.invoice_number(F.col("c_custkey")).alias("facture"))
 
 
-@raw_query("SELECT count(*) AS n_lignes, count(DISTINCT client) AS clients, count(*) - count(montant) AS montants_nuls, min(jour) AS premier, max(jour) AS dernier FROM raw", RAW_SQL)
+_FIELDS = {"date_col": "jour", "client_col": "client", "montant_col": "montant", "prix_unitaire_col": "prix", "quantite_col": "qte", "code_produit_col": None, "description_produit_col": None, "numero_facture_col": "facture", "pays_col": None, "nom_client_col": "nom", "email_client_col": None}
+
+
+@raw_query("SELECT champ, colonne, (SELECT count(*) FROM raw) AS n_lignes, (SELECT count(DISTINCT client) FROM raw) AS clients, (SELECT count(*) - count(montant) FROM raw) AS montants_nuls FROM (VALUES " + ", ".join(f"('{k}', {'NULL' if v is None else repr(v)})" for k, v in _FIELDS.items()) + ") AS t(champ, colonne)", RAW_SQL)
 def ingest_preview_profile(spark, d):
-    return _raw(spark, d).agg(F.count("*").alias("n_lignes"), F.countDistinct("client").alias("clients"), F.count_if(F.col("montant").isNull()).alias("montants_nuls"), F.min("jour").alias("premier"), F.max("jour").alias("dernier"))
+    """What the preview of the raw rows proposes for each field of sales, with their number."""
+    rows = _raw(spark, d).withColumns({c: F.col(c).try_cast("double") for c in ("qte", "prix", "montant")})
+    got = files.preview(rows)
+    said = spark.createDataFrame(list(got["mapping_suggere"]["transactions"].items()), "champ string, colonne string")
+    profile = rows.agg(F.countDistinct("client").alias("clients"), F.count_if(F.col("montant").isNull()).alias("montants_nuls"))
+    return said.withColumn("n_lignes", F.lit(got["n_lignes"]).cast("long")).crossJoin(F.broadcast(profile))  # one row
 
 
 # --- SQL from outside ---

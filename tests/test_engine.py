@@ -229,3 +229,15 @@ def test_import_report_counts_customers(spark):
     clients = spark.createDataFrame([("cree",), ("complete",), ("inchange",), ("cree",)], "etat string")
     got = cleaning.import_report(prepared, kept, clients).first()
     assert (got["lues"], got["rejetees"], got["doublons"], got["clients_crees"], got["clients_completes"]) == (3, 1, 1, 2, 1) and len(got["avertissements"]) == 3
+
+
+def test_naive_errors_equal_numpy(spark):
+    y = np.random.default_rng(8).gamma(2, 50, 97) + 30 * (np.arange(97) % 7 == 5)
+    test = max(3, int(97 * 0.2))
+    train, last = y[:-test], y[-test:]
+    scale = np.mean(np.abs(train[7:] - train[:-7]))
+    guesses = {"moyenne": np.full(test, train.mean()), "semaine_precedente": y[97 - test - 7 : 97 - 7], "semaine_repetee": np.resize(train[-7:], test)}
+    got = {r["modele"]: r for r in series.naive_errors(daily(spark, y)).collect()}
+    for name, p in guesses.items():
+        gap = np.abs(last - p)
+        assert np.allclose([got[name]["rmse"], got[name]["mae"], got[name]["mase"]], [np.sqrt(np.mean(gap**2)), gap.mean(), gap.mean() / scale], atol=1e-4)
