@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from comptoir.functions.text import client_code, invoice_number, product_code, without_prefix
+from comptoir.sources.accounts import ACTUAL, ORGANISATIONS, AccountMap
 
 
 def current_products(products: DataFrame, key: str = "ProductAlternateKey", version: str = "ProductKey") -> DataFrame:
@@ -15,7 +18,7 @@ def current_products(products: DataFrame, key: str = "ProductAlternateKey", vers
 
 def star_sales(sales: DataFrame, customers: DataFrame, places: DataFrame, products: DataFrame) -> DataFrame:
     """Sales lines with customer, country and product; left joins, so that no line is lost."""
-    where = customers.join(places, "GeographyKey", "left").select("CustomerKey", F.concat_ws(" ", "FirstName", "LastName").alias("Nom Client"), F.col("EmailAddress").alias("Email"), F.col("EnglishCountryRegionName").alias("Pays"), without_prefix(F.col("CustomerAlternateKey")).alias("Code Client"))
+    where = customers.join(places, "GeographyKey", "left").select("CustomerKey", F.concat_ws(" ", "FirstName", "LastName").alias("Nom Client"), F.col("EmailAddress").alias("Email"), F.col("EnglishCountryRegionName").alias("Pays"), F.concat(F.lit("CLI-"), without_prefix(F.col("CustomerAlternateKey")).try_cast("int").cast("string")).alias("Code Client"))
     what = products.select("ProductKey", F.col("ProductAlternateKey").alias("Code Produit"), F.col("EnglishProductName").alias("Description"))
     rows = sales.join(where, "CustomerKey", "left").join(what, "ProductKey", "left")
     return rows.select(F.substring("OrderDate", 1, 10).alias("Date Vente"), "Code Client", "Nom Client", "Email", "Pays", F.col("SalesOrderNumber").alias("Numero Facture"), "Code Produit", "Description", F.col("OrderQuantity").try_cast("int").alias("Quantite"), F.col("UnitPrice").try_cast("double").alias("Prix Unitaire"))
@@ -34,9 +37,10 @@ def star_stock(inventory: DataFrame, products: DataFrame, sales: DataFrame, day:
     return rows.select(F.col("ProductAlternateKey").alias("Code Produit"), F.col("EnglishProductName").alias("Nom Produit"), F.greatest(F.col("UnitsBalance"), F.lit(0)).alias("Quantite Disponible"), alert.alias("Seuil Alerte"), F.greatest(F.coalesce(F.col("SafetyStockLevel").try_cast("int"), F.lit(20)), alert).alias("Seuil Max"), F.col("StandardCost").try_cast("double").alias("Cout Unitaire"))
 
 
-def star_cash(finance: DataFrame, accounts: DataFrame, organisations: list[str], scenario: str = "1") -> DataFrame:
-    """Cash by day and category. accounts: (AccountKey, categorie, sens) with sens +1 or -1; other accounts, organisations and scenarios are left out."""
-    rows = finance.where((F.col("ScenarioKey") == scenario) & F.col("OrganizationKey").isin(organisations)).join(F.broadcast(accounts), "AccountKey")  # a chart of accounts: some hundred rows
+def star_cash(finance: DataFrame, accounts: AccountMap | None = None, organisations: list[str] = ORGANISATIONS, scenario: str = ACTUAL) -> DataFrame:
+    """Cash by day and category, by an account map (the usual one if None); other accounts, organisations and scenarios are left out. Receipts are positive, payments negative, whatever their sign in the ledger's account."""
+    known = (accounts or AccountMap.of()).frame(finance.sparkSession)
+    rows = finance.where((F.col("ScenarioKey") == scenario) & F.col("OrganizationKey").isin(organisations)).join(F.broadcast(known), "AccountKey")  # a thousand rows at most
     total = F.round(F.sum(F.col("Amount").try_cast("double") * F.col("sens")), 2)
     return rows.groupBy(F.to_date(F.substring("Date", 1, 10)).alias("Date Mouvement"), F.col("categorie").alias("Categorie")).agg(total.alias("Montant")).where("Montant != 0")
 
@@ -53,11 +57,21 @@ def order_stock(rows: DataFrame) -> DataFrame:
     return rows.select(product_code(F.col("stock_item_id").try_cast("int")).alias("Code Produit"), F.col("stock_item_name").alias("Nom Produit"), F.greatest(F.col("quantity_on_hand").try_cast("int"), F.lit(0)).alias("Quantite Disponible"), alert.alias("Seuil Alerte"), F.greatest(F.col("target_stock_level").try_cast("int"), alert).alias("Seuil Max"), F.col("last_cost_price").try_cast("double").alias("Cout Unitaire"), F.col("lead_time_days").try_cast("int").alias("Delai Livraison"))
 
 
+# What a transaction's type says, in order: words of it, its category, and whether cash comes in.
+ORDER_CASH = [("refund", "Remboursements clients", -1), ("payment", "Encaissements clients", 1)]
+SUPPLIER_CASH = [("refund", "Remboursements fournisseurs", 1), ("payment", "Paiements fournisseurs", -1)]
+
+
 def order_cash(receipts: DataFrame, payments: DataFrame) -> DataFrame:
-    """Cash by day and category from customer and supplier transactions (transaction_date, transaction_type, amount): receipts positive, payments negative; only rows of payments count."""
-    a = receipts.where(F.lower("transaction_type").like("%payment%")).select(F.to_date("transaction_date").alias("d"), F.lit("Encaissements clients").alias("c"), F.abs(F.col("amount").try_cast("double")).alias("v"))
-    b = payments.where(F.lower("transaction_type").like("%payment%")).select(F.to_date("transaction_date").alias("d"), F.lit("Paiements fournisseurs").alias("c"), -F.abs(F.col("amount").try_cast("double")).alias("v"))
-    return a.unionByName(b).groupBy(F.col("d").alias("Date Mouvement"), F.col("c").alias("Categorie")).agg(F.round(F.sum("v"), 2).alias("Montant")).where("Montant != 0")
+    """Cash by day and category from customer and supplier transactions (transaction_date, transaction_type, amount): receipts positive, payments and refunds to customers negative; invoices do not move cash."""
+
+    def moved(rows: DataFrame, kinds: list[tuple[str, str, int]]) -> DataFrame:
+        said = F.lower("transaction_type")
+        pick = lambda at: reduce(lambda c, k: c.when(said.contains(k[0]), F.lit(k[at])), kinds, F.when(F.lit(False), F.lit(kinds[0][at])))
+        return rows.select(F.to_date("transaction_date").alias("d"), pick(1).alias("c"), (pick(2) * F.abs(F.col("amount").try_cast("double"))).alias("v")).where("c IS NOT NULL")
+
+    both = moved(receipts, ORDER_CASH).unionByName(moved(payments, SUPPLIER_CASH))
+    return both.groupBy(F.col("d").alias("Date Mouvement"), F.col("c").alias("Categorie")).agg(F.round(F.sum("v"), 2).alias("Montant")).where("Montant != 0")
 
 
 def simulated_stock(sales: DataFrame) -> DataFrame:

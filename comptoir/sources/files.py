@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from comptoir.operators.cleaning import timestamp
+from comptoir.sources import records
 
 EXTENSIONS, ENCODINGS, SEPARATORS, HEAD, PREVIEW = (".csv", ".xlsx", ".xls"), ("utf-8", "latin-1", "cp1252"), (",", ";", "\t"), 1 << 16, 10
 
@@ -69,6 +70,23 @@ def sniff(head: bytes) -> tuple[str, str]:
     raise UnsupportedFile("the separator is none of comma, semicolon and tab")
 
 
+def file_head(spark: SparkSession, path: str, most: int = HEAD) -> bytes:
+    """The first bytes of a file, or of the first file of a folder or pattern, read through the file system of its path."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = list(system.globStatus(where) or [])
+    if not found:
+        raise FileNotFoundError(path)
+    first = sorted((x for f in found for x in (system.listStatus(f.getPath()) if f.isDirectory() else [f]) if x.isFile() and not x.getPath().getName().startswith(("_", "."))), key=lambda x: x.getPath().toString())
+    if not first:
+        return b""
+    stream = system.open(first[0].getPath())
+    try:
+        return bytes(stream.readNBytes(most))
+    finally:
+        stream.close()
+
+
 def _clean_header(df: DataFrame) -> DataFrame:
     if not df.columns:
         raise EmptyDataset("no columns")
@@ -81,7 +99,7 @@ def with_ordinal(df: DataFrame) -> DataFrame:
 
 
 def read_any(spark: SparkSession, path: str, infer: bool = True) -> DataFrame:
-    """A CSV or spreadsheet as a DataFrame. The head of a CSV is read through Spark, so that any store works; its rows are read in parallel."""
+    """A CSV or spreadsheet as a DataFrame. Only the first bytes of a CSV are read to tell its encoding and separator, from any store; its rows are read in parallel, line ends inside quotes or not."""
     name = path.lower()
     if name.endswith((".xlsx", ".xls")):
         try:
@@ -92,12 +110,22 @@ def read_any(spark: SparkSession, path: str, infer: bool = True) -> DataFrame:
             raise UnsupportedFile(f"cannot read {path}: {error}") from error
     if not name.endswith(".csv"):
         raise UnsupportedFile(f"{path}: one of {EXTENSIONS} is needed")
-    head = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, HEAD).alias("head")).first()["head"]
+    head = file_head(spark, path)
     if not head.strip():
         raise EmptyDataset(f"{path} is empty")
-    encoding, separator = sniff(bytes(head))
+    encoding, separator = sniff(head)
     java = {"utf-8": "UTF-8", "latin-1": "ISO-8859-1", "cp1252": "windows-1252"}[encoding]
-    return _clean_header(spark.read.options(sep=separator, encoding=java, header=True, inferSchema=infer, quote='"', escape='"', multiLine=True, ignoreLeadingWhiteSpace=True).csv(path))
+    options = {"sep": separator, "encoding": java, "header": True, "inferSchema": infer, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": True}
+    lines = records.lines_of(spark, path)
+    counts = records.quote_counts(lines)
+    if not any(r["odd"] for r in counts):  # no line ends inside quotes: any line end ends a record
+        return _clean_header(spark.read.options(**options).csv(path))
+    whole = records.records(lines, counts).orderBy("file", "block", "line").select(F.rtrim(F.decode("value", java), F.lit("\r")).alias("value")).where("value != ''")
+    reader = spark._jsparkSession.read()
+    for k, v in options.items():
+        reader = reader.option(k, str(v).lower() if isinstance(v, bool) else v)
+    strings = getattr(whole._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())
+    return _clean_header(DataFrame(reader.csv(strings), spark))
 
 
 def read_dump(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
