@@ -1,8 +1,10 @@
 """K-Means and full-covariance mixtures for many group counts and starts at once.
 
-Every candidate (k, start) takes part in the same passes: a task sums the moments of its rows for all
-candidates, Spark adds the tasks' sums up, and the driver moves the centres, a few hundred numbers. So a
-sweep costs as many Spark jobs as its slowest candidate has rounds, at any number of candidates.
+One pass sums all rows up in the cells of a grid, as fine as a bounded number of cells allows: their
+weights, sums and products. On these cells every candidate (k, start) is fitted to its end, each in a task. The best starts of
+each k then go through exact rounds over all rows, which begin where they nearly rest: a task sums
+the moments of its rows for all candidates, Spark adds the tasks' sums up, and the driver moves the centres,
+a few hundred numbers. So a sweep costs a bounded number of Spark jobs at any number of candidates and rows.
 """
 
 from __future__ import annotations
@@ -18,8 +20,10 @@ from pyspark.sql import functions as F
 
 from comptoir.session import cut
 
-#: Rows that starting centres are drawn from, those of least hash; rounds at most; rows worth a task; added to a covariance's diagonal; gain of mean log-likelihood that ends a mixture.
-SEEDING, KMEANS_ROUNDS, MIXTURE_ROUNDS, ROWS_A_TASK, RIDGE, GAIN = 4096, 300, 100, 50_000, 1e-6, 1e-3
+#: Cells of the summary at most, and halvings of the rows' span down to the finest; rounds on the cells at most, of K-Means and of mixtures; exact rounds at most; starts of each k that come to those.
+CELLS, FINEST, KMEANS_ROUNDS, MIXTURE_ROUNDS, EXACT, STARTS_KEPT = 1 << 14, 14, 300, 100, 10, 2
+#: Rows worth a task; added to a covariance's diagonal; gain of mean log-likelihood that ends a mixture.
+ROWS_A_TASK, RIDGE, GAIN = 50_000, 1e-6, 1e-3
 
 
 @dataclass
@@ -56,17 +60,121 @@ def _totals(points: DataFrame, axes: list[str], moments: Callable[[np.ndarray],
     return out
 
 
-def _first_centres(sample: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
-    """k rows of the sample, each drawn by its squared distance to those before."""
-    got = [sample[rng.integers(len(sample))]]
-    for _ in range(k - 1):
-        far = np.min([((sample - c) ** 2).sum(1) for c in got], axis=0)
-        got.append(sample[rng.choice(len(sample), p=far / far.sum()) if far.sum() > 0 else rng.integers(len(sample))])
-    return np.array(got)
+@dataclass
+class Summary:
+    """Cells of rows: how many each has (m), their means (m, d) and sums of products (m, d, d)."""
+
+    weights: np.ndarray
+    means: np.ndarray
+    products: np.ndarray
+
+    def first_centres(self, k: int, rng: np.random.Generator) -> np.ndarray:
+        """k cells' means, each drawn by weight and squared distance to those before."""
+        draw = lambda p: self.means[rng.choice(len(p), p=p / p.sum())]
+        got = [draw(self.weights)]
+        for _ in range(k - 1):
+            far = self.weights * np.min([((self.means - c) ** 2).sum(1) for c in got], axis=0)
+            got.append(draw(far if far.sum() > 0 else self.weights))
+        return np.array(got)
+
+    def lloyd(self, mid: np.ndarray) -> tuple[np.ndarray, float]:
+        """Centres at rest, and their cost without what lies within cells."""
+        for _ in range(KMEANS_ROUNDS):
+            away = ((self.means[:, None] - mid[None]) ** 2).sum(2)
+            near = away.argmin(1)
+            cost = float((self.weights * away[np.arange(len(near)), near]).sum())
+            n = np.bincount(near, self.weights, len(mid))
+            sums = np.stack([np.bincount(near, self.weights * c, len(mid)) for c in self.means.T], axis=1)
+            moved = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], mid)
+            if np.abs(moved - mid).max() <= 1e-9:
+                break
+            mid = moved
+        return mid, cost
+
+    def mixture(self, mid: np.ndarray) -> tuple[Blobs, float]:
+        """A mixture from the groups of K-Means centres on, and its log-likelihood at the cells' means."""
+        n, d = self.weights.sum(), self.means.shape[1]
+        flat, blobs, told = self.products.reshape(len(self.weights), -1), Blobs(mid), -np.inf
+        shares = np.eye(len(mid))[((self.means[:, None] - mid[None]) ** 2).sum(2).argmin(1)]
+        for _ in range(MIXTURE_ROUNDS):
+            own = shares * self.weights[:, None]
+            blobs = _fitted(np.column_stack([own.sum(0), own.T @ self.means, shares.T @ flat, np.zeros(len(mid))]), blobs, n, d)
+            each = _density(self.means, blobs)
+            top = each.max(1, keepdims=True)
+            level = top[:, 0] + np.log(np.exp(each - top).sum(1))
+            before, told = told, float((self.weights * level).sum())
+            if abs(told - before) < GAIN * n:
+                break
+            shares = np.exp(each - level[:, None])
+        return blobs, told
+
+
+def _coarser(cells: np.ndarray, sums: np.ndarray, by: int) -> tuple[np.ndarray, np.ndarray]:
+    """Cells halved `by` times less, with the sums of those that become one."""
+    cells, at = np.unique(cells >> by, axis=0, return_inverse=True)
+    out = np.zeros((len(cells), sums.shape[1]))
+    np.add.at(out, at.ravel(), sums)
+    return cells, out
+
+
+def summary(points: DataFrame, axes: list[str], most: int = CELLS) -> Summary:
+    """All rows in `most` cells at most: a pass in which each task coarsens its cells to that number, and sums of these; `most` rows reach the driver."""
+    d = len(axes)
+    ends = points.agg(*[f(c).alias(f"{n}_{c}") for c in axes for n, f in (("low", F.min), ("high", F.max))]).first()
+    low = np.array([ends[f"low_{c}"] for c in axes], float)
+    span = max(max(ends[f"high_{c}"] - ends[f"low_{c}"] for c in axes), 1e-300)
+    at, names = [f"c{i}" for i in range(d)], [f"v{i}" for i in range(1 + d + d * d)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        level, cells, sums = FINEST, np.zeros((0, d), np.int64), np.zeros((0, len(names)))
+        for pdf in batches:
+            x = pdf[axes].to_numpy(float)
+            fresh = np.minimum((x - low) / span * (1 << FINEST), (1 << FINEST) - 1).astype(np.int64) >> (FINEST - level)
+            own = np.column_stack([np.ones(len(x)), x, (x[:, :, None] * x[:, None, :]).reshape(len(x), -1)])
+            cells, sums = _coarser(np.concatenate([cells, fresh]), np.concatenate([sums, own]), 0)
+            while len(cells) > most and level:
+                level, (cells, sums) = level - 1, _coarser(cells, sums, 1)
+        if len(cells):
+            yield pd.DataFrame(cells, columns=at).assign(level=level).join(pd.DataFrame(sums, columns=names))
+
+    parts = cut(points.mapInPandas(run, ", ".join([*(f"{c} long" for c in at), "level long", *(f"{c} double" for c in names)])))
+    level = parts.agg(F.min("level")).first()[0]
+    sizes = parts.select("level", *at, F.explode(F.sequence(F.lit(0), F.lit(level))).alias("to"))
+    coarse = [F.call_function("shiftright", c, (F.col("level") - F.col("to")).cast("int")) for c in map(F.col, at)]
+    sizes = sizes.groupBy("to").agg(F.countDistinct(*coarse).alias("n"))
+    fits = [r["to"] for r in sizes.where(F.col("n") <= most).collect()]  # FINEST + 1 rows at most
+    to = max(fits, default=0)
+    cells = parts.groupBy(*[F.call_function("shiftright", F.col(c), (F.col("level") - to).cast("int")).alias(c) for c in at]).agg(*[F.sum(c).alias(c) for c in names]).orderBy(*at).toPandas()[names].to_numpy()
+    return Summary(cells[:, 0], cells[:, 1 : d + 1] / cells[:, :1], cells[:, d + 1 :].reshape(-1, d, d))
+
+
+def _fitted_on(points: DataFrame, made: Summary, ks: list[int], starts: int, seed: int, mixture: bool) -> list[Blobs]:
+    """The best STARTS_KEPT candidates of each k, fitted on the summary, each candidate in a task."""
+    d = made.means.shape[1]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for k, s in zip(pdf["k"].tolist(), pdf["s"].tolist(), strict=True):
+                mid, value = made.lloyd(made.first_centres(k, np.random.default_rng([seed, k, s])))
+                blobs = Blobs(mid, np.zeros((k, d, d)), np.zeros(k))
+                if mixture:
+                    blobs, told = made.mixture(mid)
+                    value = -told
+                yield pd.DataFrame({"k": [k], "s": [s], "value": [value], "numbers": [np.concatenate([blobs.centres.ravel(), blobs.covariances.ravel(), blobs.shares])]})
+
+    spark = points.sparkSession
+    tried = spark.createDataFrame([(k, s) for k in ks for s in range(starts)], "k int, s int").repartition(min(len(ks) * starts, 4 * spark.sparkContext.defaultParallelism))
+    told = tried.mapInPandas(run, "k int, s int, value double, numbers array<double>").collect()  # some hundred numbers of each candidate
+    out = []
+    for k in ks:
+        for r in sorted((r for r in told if r["k"] == k), key=lambda r: (r["value"], r["s"]))[:STARTS_KEPT]:
+            x = np.array(r["numbers"])
+            out.append(Blobs(x[: k * d].reshape(k, d), *((x[k * d : k * d + k * d * d].reshape(k, d, d), x[-k:]) if mixture else ())))
+    return out
 
 
-def _lloyd(points: DataFrame, axes: list[str], found: list[Blobs], rounds: int = KMEANS_ROUNDS) -> list[float]:
-    """Moves the centres of all candidates until they rest; their costs. A centre that loses all its rows stays where it is."""
+def _lloyd(points: DataFrame, axes: list[str], found: list[Blobs], rounds: int = EXACT) -> list[float]:
+    """Moves the centres of all candidates until they rest, or for `rounds`; their costs. A centre that loses all its rows stays where it is."""
     d, costs, live = len(axes), [0.0] * len(found), list(range(len(found)))
     for _ in range(rounds):
         centres = [found[c].centres for c in live]
@@ -114,11 +222,6 @@ def _weighted(x: np.ndarray, shares: np.ndarray, told: np.ndarray) -> np.ndarray
     return np.column_stack([shares.sum(0), shares.T @ x, shares.T @ products, level])
 
 
-def _hard(x: np.ndarray, b: Blobs) -> np.ndarray:
-    near = ((b.centres**2).sum(1) - 2 * x @ b.centres.T).argmin(1)
-    return _weighted(x, np.eye(len(b.centres))[near], np.zeros(len(x)))
-
-
 def _soft(x: np.ndarray, b: Blobs) -> np.ndarray:
     each = _density(x, b)
     top = each.max(1, keepdims=True)
@@ -137,36 +240,30 @@ def _fitted(own: np.ndarray, before: Blobs, n: int, d: int) -> Blobs:
     return Blobs(mid, cov, weight / n)
 
 
-def _expectation(points: DataFrame, axes: list[str], found: list[Blobs], n: int) -> list[float]:
-    """Fits a mixture to each candidate, from its centres' rows on, until its mean log-likelihood rests; the log-likelihoods."""
-    d, told, live, step = len(axes), [-np.inf] * len(found), list(range(len(found))), _hard
-    for _ in range(MIXTURE_ROUNDS + 1):
+def _expectation(points: DataFrame, axes: list[str], found: list[Blobs], n: int, rounds: int = EXACT) -> list[float]:
+    """Fits the mixtures until their mean log-likelihood rests, or for `rounds`; the log-likelihoods."""
+    d, told, live = len(axes), [-np.inf] * len(found), list(range(len(found)))
+    for i in range(rounds + 1):
         blobs = [found[c] for c in live]
 
-        def moments(x: np.ndarray, blobs=blobs, step=step) -> np.ndarray:
-            return np.concatenate([step(x, b) for b in blobs])
+        def moments(x: np.ndarray, blobs=blobs) -> np.ndarray:
+            return np.concatenate([_soft(x, b) for b in blobs])
 
         total, at, moving = _totals(points, axes, moments, d * d + d + 2), 0, []
         for c, b in zip(live, blobs, strict=True):
             own = total[at : at + len(b.centres)]
             at += len(b.centres)
-            if step is _soft:
-                gain, told[c] = own[:, -1].sum() - told[c], float(own[:, -1].sum())
-                if abs(gain) < GAIN * n:  # told is that of the components as they are
-                    continue
+            gain, told[c] = own[:, -1].sum() - told[c], float(own[:, -1].sum())
+            if abs(gain) < GAIN * n or i == rounds:  # told is that of the components as they are
+                continue
             found[c] = _fitted(own, b, n, d)
             moving.append(c)
-        live, step = moving, _soft
+        live = moving
         if not live:
             break
     return told
 
 
-def _started(points: DataFrame, axes: list[str], ks: list[int], starts: int, seed: int) -> list[Blobs]:
-    sample = points.orderBy(F.xxhash64(*axes), *axes).limit(SEEDING).toPandas()[axes].to_numpy(float)  # a bounded draw
-    return [Blobs(_first_centres(sample, k, np.random.default_rng([seed, k, s]))) for k in ks for s in range(starts)]
-
-
 def _nearest(values: list[Column], best: Callable[[Column], Column]) -> Column:
     each = F.array(*values)
     return (F.array_position(each, best(each)) - 1).cast("int")
@@ -189,10 +286,10 @@ def kmeans_sweep(rows: DataFrame, ks: list[int], starts: int, seed: int, axes: l
     points, n = _points(rows, axes)
     if not n or not ks:
         return {}
-    found, out = _started(points, axes, ks, starts, seed), {}
+    found, out = _fitted_on(points, summary(points, axes), ks, starts, seed, mixture=False), {}
     costs = _lloyd(points, axes, found)
-    for i, k in enumerate(ks):
-        best = min(range(i * starts, (i + 1) * starts), key=lambda c: costs[c])
+    for k in ks:
+        best = min((c for c, b in enumerate(found) if len(b.centres) == k), key=lambda c: costs[c])
         out[k] = rows.withColumn("cluster_id", _nearest([_distance(mid, axes) for mid in found[best].centres], F.array_min)), costs[best]
     return out
 
@@ -202,11 +299,11 @@ def mixture_sweep(rows: DataFrame, ks: list[int], starts: int, seed: int, axes:
     points, n = _points(rows, axes)
     if not n or not ks:
         return {}
-    found, out, d = _started(points, axes, ks, starts, seed), {}, len(axes)
-    _lloyd(points, axes, found)
+    d, out = len(axes), {}
+    found = _fitted_on(points, summary(points, axes), ks, starts, seed, mixture=True)
     told = _expectation(points, axes, found, n)
-    for i, k in enumerate(ks):
-        best = max(range(i * starts, (i + 1) * starts), key=lambda c: told[c])
+    for k in ks:
+        best = max((c for c, b in enumerate(found) if len(b.centres) == k), key=lambda c: told[c])
         free = k - 1 + k * d + k * d * (d + 1) // 2
         out[k] = rows.withColumn("cluster_id", _nearest([_log_share(found[best], j, axes) for j in range(k)], F.array_max)), -2 * told[best] + free * log(n)
     return out

@@ -58,3 +58,33 @@ def test_sweeps_of_equal_points_and_of_none(spark):
     assert sweeps.kmeans_sweep(same, [2], 2, 42, AXES)[2][1] < 1e-12
     assert {r["cluster_id"] for r in sweeps.mixture_sweep(same, [2], 1, 42, AXES)[2][0].collect()} <= {0, 1}
     assert sweeps.kmeans_sweep(same.limit(0), [2], 2, 42, AXES) == {} == sweeps.mixture_sweep(same.limit(0), [2], 2, 42, AXES)
+
+
+def test_summary_keeps_all_moments_in_few_cells(spark):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=(4000, 3)), rng.normal(size=(1000, 3)) * 0.01 + 5, [[40.0, 0, 0]]])
+    for most in (1, 50, 1 << 14):
+        got = sweeps.summary(frame(spark, x).select(*AXES), AXES, most)
+        assert len(got.weights) <= most and got.weights.sum() == len(x)
+        assert np.allclose(got.weights @ got.means, x.sum(0)) and np.allclose(got.products.sum(0), x.T @ x)
+
+
+def test_few_exact_rounds_cost_no_more_than_many(spark, monkeypatch):
+    # a summary of few cells, so that exact rounds have work to do; the rounds are counted
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(size=(700, 3)) * s + m for s, m in ((1, 0), (0.4, [4, 1, 0]), (2, [0, 7, 3]), (0.6, [5, 5, 5]))])
+
+    def lloyd(mid):
+        for _ in range(500):
+            own = ((x[:, None] - mid) ** 2).sum(2).argmin(1)
+            mid = np.array([x[own == g].mean(0) if (own == g).any() else mid[g] for g in range(len(mid))])
+        return ((x[:, None] - mid) ** 2).sum(2).min(1).sum()
+
+    best = {k: min(lloyd(x[rng.choice(len(x), k, replace=False)]) for _ in range(10)) for k in (2, 4, 6)}
+    whole, seen = sweeps._totals, []
+    monkeypatch.setattr(sweeps, "CELLS", 400)
+    monkeypatch.setattr(sweeps, "_totals", lambda *a: seen.append(1) or whole(*a))
+    monkeypatch.setattr(sweeps.summary, "__defaults__", (400,))
+    got = sweeps.kmeans_sweep(frame(spark, x), [2, 4, 6], 10, 42, AXES)
+    assert len(seen) <= sweeps.EXACT
+    assert all(got[k][1] <= 1.01 * best[k] for k in best)
