@@ -238,4 +238,5 @@ def digests(docs: DataFrame, path: str = BYTE_BPE, doc_id: str = "doc_id", text:
 
 
 def op6_bpe(spark, sf_dir: str) -> DataFrame:
+    """Rows (doc_id, n_tokens, ids_sha256, decoded_sha256), one for each row of documents; null and empty texts have no ids."""
     return digests(table(spark, sf_dir, "documents"))

@@ -180,4 +180,5 @@ def edited_likeness(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 
 def op4_imatch(spark, sf_dir: str) -> DataFrame:
+    """Rows (doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next), one for each row of documents; a null text is an empty one, and equal texts have equal fingerprints."""
     return edited_likeness(table(spark, sf_dir, "documents")).withColumn("edited_sha256", F.sha2("edited", 256)).drop("edited")

@@ -212,4 +212,5 @@ def near_vectors(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "embe
 
 
 def op10_lattice(spark, sf_dir: str) -> DataFrame:
+    """Rows (vec_id, n_links, component_id, kept), one for each row of embeddings, as near_vectors states."""
     return near_vectors(table(spark, sf_dir, "embeddings"))

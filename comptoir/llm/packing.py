@@ -65,4 +65,5 @@ def sequences(pieces: DataFrame, window: int = WINDOW, pad_id: int = 0) -> DataF
 
 
 def op5_packing(spark, sf_dir: str) -> DataFrame:
+    """Rows as PIECE without the ids: every piece of every row of documents; null and empty texts are one piece of the end id."""
     return pack(table(spark, sf_dir, "documents")).drop("ids")

@@ -108,14 +108,14 @@ def _around(clean: Column, x: Column) -> tuple[Column, Column]:
 
 
 def proposals(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with _clean (the text, null as empty), _base (valid base spans, by kind and start) and _wide (what generators find where no base span is)."""
+    """docs with _clean (the text, null as empty), _base (valid base spans, by kind and start) and _wide (what generators find beyond base spans: proposals may overlap them and one another, but none lies within one)."""
     has = lambda c: F.contains("_clean", F.lit(c))
     rows = docs.withColumn("_clean", F.translate(F.coalesce(F.col(text), F.lit("")), MARK, PLAIN))
     base, wide = {"email": has("@"), "phone": has("+")}, {"email": has("@") | F.col("_clean").rlike(SPELLED), "ip": has(":")}
     rows = rows.withColumns({f"_b{k}": _marked(F.col("_clean"), BASE[k], base.get(k)) for k in KINDS} | {f"_w{k}": _marked(F.col("_clean"), WIDE[k], wide.get(k)) for k in KINDS})
     rows = rows.withColumns({f"_{c}": F.concat(*[_spans(F.col(f"_{c}{k}"), i) for i, k in enumerate(KINDS)]) for c in "bw"}).drop(*[f"_{c}{k}" for c in "bw" for k in KINDS])
     rows = rows.withColumn("_base", F.filter("_b", _valid))
-    fresh = lambda x: ~F.exists("_base", lambda b: (b["start"] < x["end"]) & (b["end"] > x["start"]))
+    fresh = lambda x: ~F.exists("_base", lambda b: (b["start"] <= x["start"]) & (b["end"] >= x["end"]))
     return rows.withColumn("_wide", F.filter("_w", fresh)).drop("_b", "_w")
 
 
@@ -274,7 +274,7 @@ def _boxed(docs: DataFrame, text: str) -> DataFrame:
 def detect(docs: DataFrame, detector: Detector, text: str = "text") -> DataFrame:
     """docs with base and spans: arrays of (kind, start, end) by kind as in KINDS, then start; columns of docs with these names are replaced.
 
-    Null texts are empty and have none. Added spans may overlap one another, but no base span. Repeated rows stay.
+    Null texts are empty and have none. Added spans may overlap one another and base spans, but lie within none of those. Repeated rows stay.
     """
     kept = [c for c in docs.columns if c not in ("base", "spans")]
     return _found(_boxed(docs, text), detector, "_text").select(*[F.col("_row")[c].alias(c) for c in kept], F.col("_base").alias("base"), F.col("_spans").alias("spans"))
@@ -312,6 +312,7 @@ def count_of(spans: str, kind: int) -> Column:
 
 
 def op3_pii(spark, sf_dir: str) -> DataFrame:
+    """Rows (doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) of all documents; a null text is an empty one, repeated rows stay."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rows = detect(docs, fit_detector(docs))
     counts = [count_of("base", i).alias(f"n_{k}") for i, k in enumerate(KINDS)]

@@ -201,6 +201,7 @@ def kept_by(model: Model | None) -> Column:
 
 
 def op2_quality(spark, sf_dir: str) -> DataFrame:
+    """Rows (doc_id, expected_grade, tail_probability, top_probability, kept), one for each row of documents, graded on its whole text (null: empty); without labels all are kept and the grades are null."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit(docs, graded(table(spark, sf_dir, "labels")))
     return graded_by(docs, model).select("doc_id", "expected_grade", "tail_probability", "top_probability", kept_by(model).alias("kept"))

@@ -376,5 +376,6 @@ def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
+    """Rows (doc_id, fingerprint, component_id), one for each row of documents; null, empty and blank texts have fingerprint zero, as simhash_components states."""
     got = simhash_components(table(spark, sf_dir, "documents"))
     return got.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

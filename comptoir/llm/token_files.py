@@ -217,4 +217,5 @@ def read_token_files(files: DataFrame, with_ids: bool = True) -> DataFrame:
 
 
 def op9_token_files(spark, sf_dir: str) -> DataFrame:
+    """Rows (doc_id, start, n_tokens, ids_crc32) as read back from the written files, in ascending doc_id order (null first, repeated rows each)."""
     return read_token_files(write_token_files(table(spark, sf_dir, "documents")), with_ids=False)

@@ -3,8 +3,9 @@
 Unigram Viterbi splits concatenated names into words; multinomial naive Bayes scores the words of
 host and path. Words and their exact counts come from all URLs; those of a least share of all words are kept, so
 that their table has a bound, and shares, not counts, weigh, so that splits do not depend on the input's size.
-URLs whose host holds a seed word are the unwanted class for fitting; seeds themselves are masked there,
-so the model learns the words that go with them and finds names that hold none. Listed rules go before
+URLs whose host holds a seed word are the unwanted class for fitting. All seeds count as one word, whose weight is
+learnt like any other's, and the words that go with them have weights of their own, so that the model finds names that hold none.
+A fifth of the hosts is held out, and the score from which a URL is blocked is chosen on them. Listed rules go before
 the model: a rule fits its host and all subdomains where the path starts with the rule's.
 """
 
@@ -27,8 +28,10 @@ from comptoir.llm.shared import table, written
 
 #: Words of this share of all (1 in so many) or more are kept, which bounds their number; the share that a seed word has at least, and a word never seen before its letters; letters of the longest word.
 KEPT, SEED, UNSEEN, LONGEST = 1 << 19, 20_000, 1 << 20, 24
-#: Bits of the naive Bayes table; smoothing; uses from which a word has a weight; log odds beyond the prior that a seed word gives.
-TERMS, SMOOTH, USES, SURE = 18, 0.5, 3, 2.0
+#: Bits of the naive Bayes table; smoothing; uses from which a word has a weight; hosts of which one is held out; steps of a score's histogram.
+TERMS, SMOOTH, USES, FOLDS, STEPS = 18, 0.5, 3, 5, 10
+#: What every seed word counts as.
+MARK = "\x00"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words that mark a name as unwanted when the model is fitted; the model learns the words that go with them.
 SEEDS = (
@@ -112,17 +115,17 @@ class Segmenter:
 
 @dataclass
 class UrlModel:
-    """shares: of words; weights: log-likelihood ratio by slot; prior: log odds of the unwanted class; seeds: words that mark it."""
+    """shares: of words; weights: log-likelihood ratio by slot; prior: log odds of the unwanted class; seeds: words that mark it; cut: the score above which a URL is blocked."""
 
     shares: dict[str, float]
     weights: np.ndarray
     prior: float
     seeds: frozenset[str]
+    cut: float = 0.0
 
     def score(self, words: list[str]) -> float:
-        """Log odds of the unwanted class: the weights of words, and for a seed word what outweighs the prior."""
-        own = sum(self.weights[slot(w, TERMS)] for w in words if w not in self.seeds)
-        return self.prior + float(own) + (SURE - self.prior) * (not self.seeds.isdisjoint(words))
+        """Log odds of the unwanted class: the prior and the weights of all words."""
+        return self.prior + float(sum(self.weights[slot(MARK if w in self.seeds else w, TERMS)] for w in words))
 
 
 def _parts(urls: DataFrame, url: str) -> DataFrame:
@@ -144,41 +147,73 @@ def word_shares(urls: DataFrame, url: str = "url", seeds: list[str] = SEEDS) ->
     return shares | {w: max(shares.get(w, 0.0), 1 / SEED) for w in seeds}
 
 
+def _naive_bayes(terms: np.ndarray, each: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights by slot and the prior, of counts by class."""
+    uses = terms.sum(axis=0)
+    rates = np.log(terms + SMOOTH) - np.log(terms.sum(axis=1, keepdims=True) + SMOOTH * ((uses > 0).sum() + 1))
+    weights = np.where(uses >= USES, rates[1] - rates[0], 0.0)  # a word hardly seen says nothing
+    return weights, float(np.log(each[1] + 1) - np.log(each[0] + 1))
+
+
+def best_cut(told: list[tuple[float, int, int]]) -> float:
+    """The score above which most unwanted and fewest wanted of the rows (score, kind, n) lie, as shares of each kind; of equally good ones that nearest to 0, and 0 if a kind is missing."""
+    total = [sum(n for _, kind, n in told if kind == k) for k in (0, 1)]
+    if not all(total):
+        return 0.0
+    marks = sorted({0.0, *(s for s, _, _ in told)})
+    gain = lambda c: sum(n / total[1] if kind else -n / total[0] for s, kind, n in told if s > c)
+    return min(marks, key=lambda c: (-round(gain(c), 12), abs(c)))
+
+
 def fit(urls: DataFrame, url: str = "url", seeds: list[str] = SEEDS) -> UrlModel:
-    """A model from all URLs: a URL with a seed word among the segmented words of its host counts as unwanted, all others as wanted; the seeds' own counts are left out. Null URLs have no words; an empty table gives a model that knows the seeds alone. 2 ** (TERMS + 1) counts reach the driver at most."""
+    """A model from all URLs: one with a seed word among the segmented words of its host counts as unwanted, all others as wanted.
+
+    Four fifths of the hosts give weights by which the rest is scored, and the cut is chosen on those; the
+    model's own weights are then those of all. Null URLs have no words; an empty table gives a model that allows all. 2 ** (TERMS + 2) counts
+    and a histogram reach the driver at most.
+    """
     shares, unwanted = word_shares(urls, url, seeds), frozenset(seeds)
     shared = urls.sparkSession.sparkContext.broadcast(shares)  # KEPT words at most
+    rows = _parts(urls, url).withColumn("fold", (F.pmod(F.xxhash64("host"), F.lit(FOLDS)) == 0).cast("int"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cut, terms, each = Segmenter(shared.value), np.zeros((2, 1 << TERMS), np.int64), np.zeros(2, np.int64)
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cut, terms, each = Segmenter(shared.value), np.zeros((4, 1 << TERMS), np.int64), np.zeros(4, np.int64)
         for pdf in batches:
-            for host, path in zip(pdf["host"], pdf["path"], strict=True):
+            for host, path, fold in zip(pdf["host"], pdf["path"], pdf["fold"], strict=True):
                 words = cut.of(host, path)
-                kind = int(not unwanted.isdisjoint(words))
+                kind = 2 * fold + int(not unwanted.isdisjoint(words))
                 each[kind] += 1
                 for w in words:
-                    if w not in unwanted:
-                        terms[kind, slot(w, TERMS)] += 1
+                    terms[kind, slot(MARK if w in unwanted else w, TERMS)] += 1
         kind, at = np.nonzero(terms)
-        rows = pd.DataFrame({"kind": kind, "slot": at, "n": terms[kind, at]})
-        yield pd.concat([rows, pd.DataFrame({"kind": [0, 1], "slot": -1, "n": each})])
+        found = pd.DataFrame({"kind": kind, "slot": at, "n": terms[kind, at]})
+        yield pd.concat([found, pd.DataFrame({"kind": range(4), "slot": -1, "n": each})])
 
-    terms, each = np.zeros((2, 1 << TERMS)), np.zeros(2)
-    for kind, at, n in _parts(urls, url).mapInPandas(run, "kind int, slot long, n long").groupBy("kind", "slot").agg(F.sum("n")).collect():
+    terms, each = np.zeros((4, 1 << TERMS)), np.zeros(4)
+    for kind, at, n in rows.mapInPandas(counted, "kind int, slot long, n long").groupBy("kind", "slot").agg(F.sum("n")).collect():
         if at < 0:
             each[kind] = n
         else:
             terms[kind, at] = n
-    uses = terms.sum(axis=0)
-    rates = np.log(terms + SMOOTH) - np.log(terms.sum(axis=1, keepdims=True) + SMOOTH * ((uses > 0).sum() + 1))
-    weights = np.where(uses >= USES, rates[1] - rates[0], 0.0)  # a word hardly seen says nothing
-    return UrlModel(shares, weights, float(np.log(each[1] + 1) - np.log(each[0] + 1)), unwanted)
+    tried = urls.sparkSession.sparkContext.broadcast(UrlModel(shares, *_naive_bayes(terms[:2], each[:2]), unwanted))
+
+    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cut, told = Segmenter(shared.value), Counter()
+        for pdf in batches:
+            for host, path in zip(pdf["host"], pdf["path"], strict=True):
+                words = cut.of(host, path)
+                told[round(STEPS * tried.value.score(words)), int(not unwanted.isdisjoint(words))] += 1
+        yield pd.DataFrame([(*k, n) for k, n in told.items()], columns=["step", "kind", "n"]).astype({"step": np.int64, "kind": np.int64, "n": np.int64})
+
+    told = rows.where("fold = 1").mapInPandas(scored, "step long, kind int, n long").groupBy("step", "kind").agg(F.sum("n")).collect()
+    cut = best_cut([(step / STEPS, kind, n) for step, kind, n in told])
+    return UrlModel(shares, *_naive_bayes(terms[:2] + terms[2:], each[:2] + each[2:]), unwanted, cut)
 
 
 def judged(urls: DataFrame, model: UrlModel, url: str = "url", rules: list[tuple[str, str]] = RULES) -> DataFrame:
     """urls with host, path, words (segmented), score (log odds of unwanted), rule and verdict ("allow" or "block").
 
-    The longest fitting rule decides, else the model: above 0 is blocked. Null URLs and such without "://"
+    The longest fitting rule decides, else the model: a score above its cut is blocked. Null URLs and such without "://"
     have an empty host and path. Repeated rows stay; columns of urls with these names are replaced.
     """
     made = ["host", "path", "words", "score", "rule", "verdict"]
@@ -196,10 +231,11 @@ def judged(urls: DataFrame, model: UrlModel, url: str = "url", rules: list[tuple
 
     rows = rows.withColumn("_got", scored("host", "path")).select("*", "_got.words", "_got.score").drop("_got")
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    own = F.when(F.col("score") > 0, "block").otherwise("allow")
+    own = F.when(F.col("score") > model.cut, "block").otherwise("allow")
     return rows.select("*", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"))
 
 
 def op8_urls(spark, sf_dir: str) -> DataFrame:
+    """Rows (page_id, host, path, rule, verdict, score) of all pages, judged by the rules and by a model of the same pages. Null and malformed URLs have empty parts; repeated rows stay."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return judged(pages, fit(pages)).select("page_id", "host", "path", "rule", "verdict", "score")

@@ -342,13 +342,14 @@ def test_base_spans_of_hard_texts(spark):
 
 
 def test_pii_model_finds_what_no_base_rule_holds(spark):
-    wanted = ["write to karl.huber [at] web [dot] de today", "e-mail: zoë.müller@büro.de", "server 2001:db8a:85f3:0c3d:1319:8a2e:0370:7344 is up", "card 4012.8888.8888.1881 was paid", "call 030 555 12 34 today"]
+    wanted = ["write to karl.huber [at] web [dot] de today", "e-mail: zoë.müller@büro.de", "server 2001:db8a:85f3:0c3d:1319:8a2e:0370:7344 is up", "card 4012.8888.8888.1881 was paid", "call 030 555 12 34 today", "mail zoë.müller@mail.example.org soon"]
     left = ["on 12/10/2020 at noon", "it took 12:34:56:07 in all", "version 2020-11-03 12 of it", "us@home each", "row 4012.8888.8888.1882 of it"]
     docs = spark.createDataFrame([(i, t, "own", [1], "x", 7) for i, t in enumerate([*wanted, *left, None, ""])], "doc_id long, text string, spans string, base array<int>, _row string, n_chars int")
     model = pii.fit_detector(docs)
     rows = {r["doc_id"]: r for r in pii.redact(docs, model, chars="n_chars").collect()}
     changed = {i for i, t in enumerate([*wanted, *left, None, ""]) if rows[i]["text"] != t}
     assert changed == set(range(len(wanted))), {i: rows[i]["text"] for i in rows}
+    assert rows[5]["text"] == "mail [EMAIL] soon"  # the base pattern alone sees its end
     assert all((r["spans"], r["base"], r["_row"]) == ("own", [1], "x") for r in rows.values())
     assert all(r["n_chars"] == (len(r["text"]) if i in changed else 7) for i, r in rows.items())
     assert pii.redact(docs.limit(0), pii.fit_detector(docs.limit(0))).columns == docs.columns
@@ -417,7 +418,40 @@ def test_urls_equal_brute_force():
     model = urls.UrlModel(shares, draw.normal(size=1 << urls.TERMS), -3.0, frozenset({"casino"}))
     words = cut.of("casinowin7.org", "/no/win")
     assert words == ["casino", "win", "0", "org", "/no", "/win"]
-    assert abs(model.score(words) - (urls.SURE + sum(model.weights[urls.slot(w, urls.TERMS)] for w in words[1:]))) < 1e-9
+    assert abs(model.score(words) - (-3.0 + sum(model.weights[urls.slot(w, urls.TERMS)] for w in [urls.MARK, *words[1:]]))) < 1e-9
+
+
+def test_urls_cut_is_the_best_on_held_out_rows():
+    draw = np.random.default_rng(7)
+    told = [(round(float(x), 1), int(k), int(n)) for x, k, n in zip(draw.normal(size=60) + np.repeat([0, 2], 30), np.repeat([0, 1], 30), draw.integers(1, 9, 60))]
+    rate = lambda c: sum(n for s, k, n in told if k and s > c) / sum(n for _, k, n in told if k) - sum(n for s, k, n in told if not k and s > c) / sum(n for _, k, n in told if not k)
+    assert rate(urls.best_cut(told)) >= max(rate(c / 20) for c in range(-100, 100)) - 1e-9
+    assert urls.best_cut([(-4.0, 0, 9), (3.0, 1, 2)]) == 0.0 == urls.best_cut([(-4.0, 0, 9)]) and urls.best_cut([(1.0, 0, 9), (3.0, 1, 2)]) == 1.0
+
+
+def test_the_url_query_counts_by_its_own_fit(spark):
+    # weights of the whole table by hand: the query's scores are those of naive Bayes, and the cut parts held-out hosts
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    model = urls.fit(pages)
+    cut, terms, each = urls.Segmenter(model.shares), {0: {}, 1: {}}, [0, 0]
+    parts = [(r["host"], r["path"]) for r in urls._parts(pages, "url").collect()]
+    for host, path in parts:
+        words = cut.of(host, path)
+        kind = int(bool(model.seeds & set(words)))
+        each[kind] += 1
+        for w in words:
+            w = urls.MARK if w in model.seeds else w
+            terms[kind][w] = terms[kind].get(w, 0) + 1
+    known = set(terms[0]) | set(terms[1])
+    total = [sum(terms[k].values()) + urls.SMOOTH * (len(known) + 1) for k in (0, 1)]
+    for w in known:
+        n = [terms[k].get(w, 0) for k in (0, 1)]
+        want = np.log((n[1] + urls.SMOOTH) / total[1]) - np.log((n[0] + urls.SMOOTH) / total[0]) if sum(n) >= urls.USES else 0.0
+        assert np.isclose(model.weights[urls.slot(w, urls.TERMS)], want), w
+    assert each[1] and np.isclose(model.prior, np.log((each[1] + 1) / (each[0] + 1)))
+    got = urls.judged(pages, model).where("rule IS NULL").select("words", "verdict").collect()
+    seeded = [r["verdict"] for r in got if model.seeds & set(r["words"])]
+    assert seeded.count("block") >= 0.9 * len(seeded)
 
 
 def test_lattice_equals_brute_force_on_planted_vectors(spark):
