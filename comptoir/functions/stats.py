@@ -112,6 +112,31 @@ def quintile(df: DataFrame, column: str, out: str, inverted: bool = False, sourc
     return df.join(scores, df[column].eqNullSafe(scores["_v"])).drop("_v")
 
 
+def quintiles(df: DataFrame, columns: dict[str, tuple[str, bool]]) -> DataFrame:
+    """As quintile for several columns of numbers without nulls at once: {column: (out, inverted)}. All columns' values are counted, binned and ranked in the same jobs; bins' bounds and totals reach the driver."""
+    names, bins = list(columns), max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col(n).cast("double").alias("v")) for i, n in enumerate(names)])).alias("x")
+    counts = cut(df.select(each).groupBy("x.c", "x.v").agg(F.count("*").alias("n")))
+    bounds = {r["c"]: sorted(set(r["b"] or [])) for r in counts.groupBy("c").agg(F.percentile_approx("v", [i / bins for i in range(1, bins)], ACCURACY).alias("b")).collect()}
+    own = lambda make, otherwise: reduce(lambda w, i: w.when(F.col("c") == i, make(i)), range(len(names)), F.when(F.lit(False), otherwise))
+    counts = counts.withColumn("bin", own(lambda i: F.size(F.filter(_array(bounds.get(i, [])), lambda b: b < F.col("v"))), F.lit(0)))
+    totals = {(r["c"], r["bin"]): (r["n"], r["values"]) for r in counts.groupBy("c", "bin").agg(F.sum("n").alias("n"), F.count("*").alias("values")).collect()}  # a row for each column and bin
+    ahead, whole, values = {}, {}, {}
+    for i in range(len(names)):
+        sums = [totals.get((i, b), (0, 0)) for b in range(len(bounds.get(i, [])) + 1)]
+        ahead[i] = [sum(n for n, _ in sums[:b]) for b in range(len(sums))]
+        whole[i], values[i] = sum(n for n, _ in sums), sum(k for _, k in sums)
+    up = F.sum("n").over(W.partitionBy("c", "bin").orderBy("v").rowsBetween(W.unboundedPreceding, 0)) + own(lambda i: F.element_at(F.array(*[F.lit(a).cast("long") for a in ahead[i]]), F.col("bin") + 1), F.lit(0).cast("long"))
+    share = (F.col("up") - (F.col("n") - 1) / 2) / own(lambda i: F.lit(float(whole[i] or 1)), F.lit(1.0))
+    score = F.greatest(F.lit(1), F.least(F.lit(5), F.ceil(share * 5))).cast("int")
+    turned = own(lambda i: F.lit(3) if values[i] <= 1 else F.lit(6) - score if columns[names[i]][1] else score, F.lit(3)).cast("int")
+    scores = cut(counts.withColumn("up", up).select("c", "v", turned.alias("score")))
+    for i, n in enumerate(names):
+        one = scores.where(F.col("c") == i).select(F.col("v").alias("_v"), F.col("score").alias(columns[n][0]))
+        df = df.join(one, F.col(n).cast("double") == F.col("_v")).drop("_v")
+    return df
+
+
 def standardised(df: DataFrame, columns: list[str], prefix: str = "z_") -> DataFrame:
     """df with log1p and z-score (population deviation; 1 if that is 0) of each column."""
     logs = {f"_l_{c}": F.log1p(F.col(c).cast("double")) for c in columns}

@@ -77,6 +77,10 @@ def is_return(quantity: Column, price: Column, invoice: Column | None) -> Column
     return by_sign if invoice is None else by_sign | F.coalesce(F.upper(F.trim(invoice.cast("string"))).rlike(RETURN_INVOICE), F.lit(False))
 
 
+#: What makes two lines of sales the same.
+SALE_KEYS = ["code_client_externe", "date_transaction", "p", "q", "code_produit", "numero_facture"]
+
+
 def keep_one(rows: DataFrame, keys: list[str], last: bool = False) -> DataFrame:
     """One row for each value of the keys: the first by ordinal, or the last. An aggregate of structs, so that a key repeated in a third of all rows is reduced before the shuffle."""
     others = [c for c in rows.columns if c not in keys]
@@ -101,8 +105,7 @@ def prepared_sales(raw: DataFrame, m: SalesMapping) -> DataFrame:
 
 def clean_sales(prepared: DataFrame) -> DataFrame:
     """Accepted rows without exact duplicates; the quantity truncated, the price in cents."""
-    keys = ["code_client_externe", "date_transaction", "p", "q", "code_produit", "numero_facture"]
-    rows = keep_one(prepared.where("NOT rejet"), keys)
+    rows = keep_one(prepared.where("NOT rejet"), SALE_KEYS)
     return rows.withColumns({"quantite": F.col("q").cast("int"), "prix_unitaire": F.col("p").cast("decimal(12,2)")}).drop("q", "p", "rejet", "repli")
 
 
@@ -113,6 +116,16 @@ def quality(prepared: DataFrame, kept: DataFrame) -> DataFrame:
     return a.crossJoin(b).withColumn("doublons", F.col("lues") - F.col("rejetees") - F.col("importees"))  # one row each
 
 
+def quality_of(prepared: DataFrame) -> DataFrame:
+    """As quality, of clean_sales(prepared), in one pass: rows are reduced to one for each duplicate key before they are counted."""
+    kept = lambda c: F.when(~F.col("rejet"), F.col(c)).alias(c)
+    each = prepared.select("rejet", "repli", "est_retour", "ordinal", *map(kept, SALE_KEYS)).groupBy("rejet", *SALE_KEYS)
+    each = each.agg(F.count("*").alias("n"), F.count_if(F.col("repli") & ~F.col("rejet")).alias("r"), F.min_by("est_retour", "ordinal").alias("back"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    got = each.agg(zero(F.sum("n")).alias("lues"), zero(F.sum(F.when(F.col("rejet"), F.col("n")))).alias("rejetees"), zero(F.sum("r")).alias("replis"), F.count_if(~F.col("rejet")).alias("importees"), F.count_if(~F.col("rejet") & F.col("back")).alias("retours"))
+    return got.withColumn("doublons", F.col("lues") - F.col("rejetees") - F.col("importees"))
+
+
 def import_report(prepared: DataFrame, kept: DataFrame, clients: DataFrame) -> DataFrame:
     """One row: quality() with the customers that enriched_clients made or completed, and what to look at (avertissements)."""
     both = quality(prepared, kept).crossJoin(clients.agg(F.count_if(F.col("etat") == "cree").alias("clients_crees"), F.count_if(F.col("etat") == "complete").alias("clients_completes")))  # one row each

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from comptoir import schemas as S
-from comptoir.functions.stats import quintile, standardised, winsorised
+from comptoir.functions.stats import quintiles, standardised, winsorised
 from comptoir.operators.indicators import sold
 from comptoir.session import cut
 
@@ -30,10 +30,7 @@ def rfm(sales: DataFrame, days: int = S.WINDOW_DAYS) -> DataFrame:
 
 def scored(base: DataFrame) -> DataFrame:
     """base with score_r, score_f and score_m, 1 to 5."""
-    base = cut(base)  # read nine times
-    rows = quintile(base, "recence_jours", "score_r", inverted=True)
-    rows = quintile(rows, "frequence_achats", "score_f", source=base)
-    return cut(quintile(rows, "montant_total", "score_m", source=base))
+    return cut(quintiles(cut(base), {"recence_jours": ("score_r", True), "frequence_achats": ("score_f", False), "montant_total": ("score_m", False)}))
 
 
 def matrix(base: DataFrame, percentile: float = S.WINSOR_PERCENTILE) -> tuple[DataFrame, float | None]:

@@ -700,8 +700,7 @@ def dedup_transactions(spark, d):
 
 @raw_query("SELECT *, lues - rejetees - importees AS doublons FROM (SELECT (SELECT count(*) FROM prep) AS lues, (SELECT count(*) FROM prep WHERE rejet) AS rejetees, (SELECT count(*) FROM kept) AS importees, (SELECT count(*) FROM kept WHERE est_retour) AS retours, CAST(0 AS BIGINT) AS replis) t", RAW_SQL, PREPARED)
 def import_quality_report(spark, d):
-    rows = cleaning.prepared_sales(_raw(spark, d), MAPPING)
-    return cleaning.quality(rows, cleaning.clean_sales(rows))
+    return cleaning.quality_of(cleaning.prepared_sales(_raw(spark, d), MAPPING))
 
 
 @raw_query("""SELECT coalesce(k.c, n.c) AS code_client_externe, coalesce(k.nom, n.nom) AS nom, CASE WHEN k.c IS NULL THEN 'cree' WHEN k.nom IS NULL AND n.nom IS NOT NULL THEN 'complete' ELSE 'inchange' END AS etat FROM known k FULL JOIN (SELECT c, arg_min(nom, ordinal) FILTER (WHERE nom IS NOT NULL) AS nom FROM prep GROUP BY c) n ON k.c = n.c""", RAW_SQL, PREPARED,

@@ -4,6 +4,7 @@ from datetime import date
 
 import numpy as np
 import pytest
+from comptoir.functions import stats
 from comptoir.functions.stats import quantiles, quintile, winsor_cap
 from comptoir.operators import cashflow, cleaning, clusters, forecast, indicators, segments, series
 from comptoir.plans import readings, readonly_sql, segmentation, tools
@@ -241,3 +242,23 @@ def test_naive_errors_equal_numpy(spark):
     for name, p in guesses.items():
         gap = np.abs(last - p)
         assert np.allclose([got[name]["rmse"], got[name]["mae"], got[name]["mase"]], [np.sqrt(np.mean(gap**2)), gap.mean(), gap.mean() / scale], atol=1e-4)
+
+
+def test_quintiles_of_several_columns_equal_those_of_one(spark):
+    draw = np.random.default_rng(9)
+    rows = [(i, int(draw.integers(5)), float(draw.normal()), 7) for i in range(500)]
+    df = spark.createDataFrame(rows, "i int, a int, b double, c int")
+    got = {r["i"]: (r["x"], r["y"], r["z"]) for r in stats.quintiles(df, {"a": ("x", True), "b": ("y", False), "c": ("z", False)}).collect()}
+    one = df
+    for c, out, turned in (("a", "x", True), ("b", "y", False), ("c", "z", False)):
+        one = stats.quintile(one, c, out, turned)
+    assert got == {r["i"]: (r["x"], r["y"], r["z"]) for r in one.collect()} and {z for _, _, z in got.values()} == {3}
+    assert stats.quintiles(df.limit(0), {"a": ("x", False)}).count() == 0
+
+
+def test_quality_in_one_pass_equals_that_of_two(spark):
+    rows = [(1, "a", 1.0, False, False, True), (2, "a", 1.0, False, True, False), (3, "b", 2.0, True, True, True), (4, "c", None, False, True, True), (5, "c", None, False, False, False)]
+    prepared = spark.createDataFrame(rows, "ordinal int, code_client_externe string, p double, rejet boolean, repli boolean, est_retour boolean").selectExpr("*", "DATE '2024-01-01' AS date_transaction", "1D AS q", "'x' AS code_produit", "CAST(NULL AS STRING) AS numero_facture")
+    want = cleaning.quality(prepared, cleaning.clean_sales(prepared)).first().asDict()
+    assert cleaning.quality_of(prepared).first().asDict() == want and want["doublons"] == 2 and want["retours"] == 2
+    assert cleaning.quality_of(prepared.limit(0)).first()["lues"] == 0
