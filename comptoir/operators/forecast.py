@@ -21,6 +21,9 @@ from comptoir.operators.series import holidays
 Z80 = 1.2815515655446004
 POINTS = "serie string, modele string, statut string, message string, i int, jour date, valeur double, borne_basse double, borne_haute double, rmse double, mae double, moyenne_validation double"
 
+#: Days ahead up to which boosted trees need no warning.
+TREES_DAYS = 14
+
 
 def split_sizes(n: int) -> tuple[int, int]:
     if n <= S.TEST_MIN:
@@ -208,6 +211,11 @@ def forecasts(series: DataFrame, horizon: int = 30, models: tuple[str, ...] = ("
     return each.groupBy("serie", "modele").applyInPandas(run, POINTS)
 
 
+def warnings(models: tuple[str, ...], horizon: int) -> list[str]:
+    """What to bear in mind: boosted trees feed on their own forecasts, so that their errors add up beyond two weeks."""
+    return [f"Arbres : au-delà de {TREES_DAYS} jours, les erreurs se cumulent."] if "arbres" in models and horizon > TREES_DAYS else []
+
+
 def best_model(points: DataFrame) -> DataFrame:
     """For each series the model of least validation RMSE, the spread of the models' totals and whether they diverge."""
     each = points.where("statut != 'erreur'").groupBy("serie", "modele").agg(F.max("rmse").alias("rmse"), F.sum("valeur").alias("total"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from comptoir import schemas as S
 from comptoir.operators import clusters, segments
 from comptoir.session import cut
+from comptoir.sources.stores import Store
 
 ALGORITHMS = ("kmeans", "gmm", "dbscan")
 NAMES = {"kmeans": "K-Means", "gmm": "Mélange gaussien", "dbscan": "DBSCAN"}
@@ -126,7 +127,7 @@ class Result:
         """The run's row for the history table; nested values as JSON."""
         f = next((x for x in self.fits if x.algorithme == self.algorithm), Fit(self.algorithm or ""))
         counts = {r["segment_rfm"]: r["count"] for r in self.clients.groupBy("segment_rfm").count().collect()}  # six segments
-        row = self.clients.agg(F.count_if("cluster_id IS NOT NULL").alias("n_clients"), F.count_if("cluster_id IS NULL").alias("n_clients_hors_fenetre"))
+        row = self.clients.agg(F.count_if(F.col("cluster_id").isNotNull()).alias("n_clients"), F.count_if(F.col("cluster_id").isNull()).alias("n_clients_hors_fenetre"))
         said = {"algorithme": self.algorithm, "fenetre_jours": days, "k_choisi": f.k, "eps_choisi": f.eps, "silhouette": f.silhouette, "davies_bouldin": f.davies_bouldin, "calinski_harabasz": f.calinski_harabasz, "repartition_segments": json.dumps(counts, ensure_ascii=False), "diagnostics": json.dumps(f.diagnostics), "avertissements": json.dumps(f.warnings, ensure_ascii=False)}
         kinds = dict(c.split() for c in S.HISTORY.split(", "))
         return row.select(F.current_timestamp().cast("timestamp_ntz").alias("date_execution"), "*", *[F.lit(v).cast(kinds[k]).alias(k) for k, v in said.items()])
@@ -162,5 +163,15 @@ def run(sales: DataFrame, algorithm: str = "auto", days: int = S.WINDOW_DAYS, pe
     return Result(clients, chosen, fits, table, cap, said)
 
 
+def stored(store: Store, sales: DataFrame, dry_run: bool = False, days: int = S.WINDOW_DAYS, **options) -> tuple[Result, DataFrame]:
+    """run, its customers written as the table clients_segmentes and its row added to historique_segmentation; the run and that row. dry_run: nothing is written."""
+    got = run(sales, days=days, **options)
+    row = cut(got.history(sales.sparkSession, days))
+    if not dry_run:
+        store.replace("clients_segmentes", got.clients)
+        store.append("historique_segmentation", row)
+    return got, row
+
+
 def as_records(fits: list[Fit]) -> list[dict]:
     return [{k: v for k, v in asdict(f).items() if k != "labels"} if f.labels is None else {k: getattr(f, k) for k in vars(f) if k != "labels"} for f in fits]

@@ -61,7 +61,7 @@ def sales_forecast(desk: Desk, params: dict) -> dict:
         return {"disponible": False, "message": "Historique trop court."}
     mine = points.where(F.col("modele") == best["meilleur_modele"])
     weeks = [r.asDict() for r in series.weekly(mine).orderBy("semaine").collect()]  # 13 weeks at most
-    return {"disponible": True, "modele": best["meilleur_modele"], "horizon_jours": horizon, "total_prevu": round(sum(w["ventes_prevues"] for w in weeks), 2), "par_semaine": weeks, "divergent": best["divergent"]}
+    return {"disponible": True, "modele": best["meilleur_modele"], "horizon_jours": horizon, "total_prevu": round(sum(w["ventes_prevues"] for w in weeks), 2), "par_semaine": weeks, "divergent": best["divergent"], "avertissements": forecast.warnings((best["meilleur_modele"],), horizon)}
 
 
 def _cash(desk: Desk, horizon: int, critical: float, delta: float = 0.0) -> dict:
