@@ -251,8 +251,8 @@ def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
 #: Near-duplicate stage: shingles of five words; radius of its tables; recall at the similarity asked for; chance neighbours of a document in a table at most; lanes carried with each record; bytes of shingle sets in a task; documents of a family that all its tasks see.
 STAGE_WORDS, STAGE_RADIUS, RECALL, CHANCE, CHECKED, TASK_BYTES, PIVOTS = 5, 2, 0.99, 64, 2, 1 << 24, 64
-#: Records in a group of the stage, which holds smaller ones.
-STAGE_GROUP = 1 << 20
+#: Records in a group of the stage, which holds smaller ones; sketches of a family's part that meet those of another.
+STAGE_GROUP, SKETCHES = 1 << 20, 4096
 
 
 def shingle_set(text: str | None, words: int = STAGE_WORDS, seed: int = 42) -> np.ndarray:
@@ -310,14 +310,47 @@ def _compared(rows: DataFrame, tasks: list[str], similarity: float) -> DataFrame
     return rows.groupBy(*tasks).applyInPandas(run, "a long, b long")
 
 
+def apart(pdf: pd.DataFrame, most: int, block: int = 512) -> pd.DataFrame:
+    """Nodes of rows (node, label, spot, s0..) whose sketch lies within `most` bits of one with another label in another spot (in the same one, if there is one alone); blocks of rows at a time."""
+    nodes, labels, parts = pdf["node"].to_numpy(), pdf["label"].to_numpy(), pdf["spot"].to_numpy()
+    lanes = pdf[[c for c in pdf.columns if c[0] == "s" and c[1:].isdigit()]].to_numpy(np.int64).view(np.uint64)
+    both = len(np.unique(parts)) > 1
+    near = np.zeros(len(nodes), bool)
+    for i in range(0, len(nodes), block):
+        away = np.zeros((min(block, len(nodes) - i), len(nodes)), np.uint16)
+        for lane in lanes.T:
+            away += np.bitwise_count(lane[i : i + block, None] ^ lane[None])
+        fits = (away <= most) & (labels[i : i + block, None] != labels[None])
+        if both:
+            fits &= parts[i : i + block, None] != parts[None]
+        near[i : i + block] |= fits.any(axis=1)
+    return pd.DataFrame({"node": nodes[near]})
+
+
+def _met(member: DataFrame) -> DataFrame:
+    """Members (family, label, weight, ...) of families dealt into p parts of the largest label and q of the rest, once for each pair (i, j) of parts in which one is of the rest; families of one label alone are left out. weight: as a share of a task."""
+    weight = member.groupBy("family", "label").agg(F.sum("weight").alias("weight"))
+    main = weight.groupBy("family").agg(F.max_by("label", F.struct("weight", "label")).alias("main"), F.max("weight").alias("most"), F.sum("weight").alias("all"))
+    main = main.select("family", "main", F.ceil("most").cast("int").alias("p"), F.ceil(F.col("all") - F.col("most")).cast("int").alias("q")).where("q > 0")
+    member = member.join(main, "family")
+    spot = F.when(F.col("label") == F.col("main"), F.pmod(F.xxhash64("node"), "p")).otherwise(F.col("p") + F.pmod(F.xxhash64("node"), "q")).cast("int")
+    member = member.withColumn("spot", spot)
+    # parts from p on hold the rest; they meet all parts, those before p never meet each other
+    met = F.sequence(F.when(F.col("spot") < F.col("p"), F.col("p")).otherwise(F.lit(0)), F.col("p") + F.col("q") - 1)
+    pairs = F.transform(met, lambda j: F.struct(F.least("spot", j).alias("i"), F.greatest("spot", j).alias("j")))
+    return member.withColumn("pair", F.explode(pairs)).drop("weight", "main", "p", "q")
+
+
 def near_links(sets: DataFrame, texts: DataFrame, families: DataFrame, similarity: float = 0.8, task: int = TASK_BYTES) -> DataFrame:
     """Links (a, b) whose components are those of all pairs of one family at this exact Jaccard similarity or more.
 
-    sets: (node, row, size); texts: (row, text, s0..); families: (node, family). A family of more than
-    `task` bytes is dealt into parts that meet some of its documents each; then all of it but its largest
-    component meets the whole family, in pairs of parts, so that every pair not joined by then is compared.
+    sets: (node, row, size, s0..); texts: (row, text, s0..); families: (node, family). A family of more than
+    `task` bytes is dealt into parts that meet some of its documents each. Then all of it but its largest
+    component meets the whole family, in pairs of parts: first the sketches alone, which tell the documents
+    that may be like one not joined with them by then, and of those the texts, so that every such pair is compared.
     """
-    member = checkpointed(sets.select("node", "row", (2 * F.col("size") + 64).alias("bytes")).join(families, "node"))
+    names = [c for c in sets.columns if c[0] == "s" and c[1:].isdigit()]
+    member = checkpointed(sets.select("node", "row", (2 * F.col("size") + 64).alias("bytes"), *names).join(families, "node"))
     large = F.ceil(F.sum("bytes") / F.lit(task)).cast("int")
     sizes = member.groupBy("family").agg(large.alias("parts"), F.count("*").alias("n"))
     dealt = member.join(sizes, "family")
@@ -330,17 +363,12 @@ def near_links(sets: DataFrame, texts: DataFrame, families: DataFrame, similarit
         return links
     known = connected_components(links)
     member = member.join(hot, "family").join(known, "node", "left").withColumn("label", F.coalesce("component", "node"))
-    weight = member.groupBy("family", "label").agg(F.sum("bytes").alias("bytes"))
-    main = weight.groupBy("family").agg(F.max_by("label", F.struct("bytes", "label")).alias("main"), F.max("bytes").alias("most"), F.sum("bytes").alias("all"))
-    main = main.select("family", "main", F.ceil(F.col("most") / F.lit(task)).cast("int").alias("p"), F.ceil((F.col("all") - F.col("most")) / F.lit(task)).cast("int").alias("q")).where("q > 0")
-    member = member.join(main, "family")
-    spot = F.when(F.col("label") == F.col("main"), F.pmod(F.xxhash64("node"), "p")).otherwise(F.col("p") + F.pmod(F.xxhash64("node"), "q")).cast("int")
-    member = member.withColumn("spot", spot)
-    # parts from p on hold the rest; they meet all parts, those before p never meet each other
-    met = F.sequence(F.when(F.col("spot") < F.col("p"), F.col("p")).otherwise(F.lit(0)), F.col("p") + F.col("q") - 1)
-    pairs = F.transform(met, lambda j: F.struct(F.least("spot", j).alias("i"), F.greatest("spot", j).alias("j")))
-    member = member.select("node", "row", "family", "label", F.explode(pairs).alias("pair")).select("node", "row", "family", "label", "pair.i", "pair.j")
-    return links.unionByName(_compared(member.join(texts, "row"), ["family", "i", "j"], similarity))
+    member = checkpointed(member)
+    most = at_most(64 * len(names), similarity)
+    sketches = _met(member.select("node", "family", "label", F.lit(1 / SKETCHES).alias("weight"), *names)).select("node", "family", "label", "spot", *names, "pair.i", "pair.j")
+    open_ = checkpointed(sketches.groupBy("family", "i", "j").applyInPandas(lambda pdf: apart(pdf, most), "node long").distinct())
+    left = _met(member.join(open_, "node").select("node", "row", "family", "label", (F.col("bytes") / F.lit(task)).alias("weight")))
+    return links.unionByName(_compared(left.select("node", "row", "family", "label", "pair.i", "pair.j").join(texts, "row"), ["family", "i", "j"], similarity))
 
 
 def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = 0.8, task: int = TASK_BYTES, recall: float = RECALL, group: int = STAGE_GROUP) -> DataFrame:
@@ -368,7 +396,7 @@ def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     checked = min(lanes, CHECKED)
     near = ball_links(first.select("node", *[f"at.{c}" for c in names]), checked, tables, bits, STAGE_RADIUS, at_most(64 * checked, similarity), group, 0)
     families = connected_components(near).withColumnRenamed("component", "family")
-    members = connected_components(near_links(first.select("node", "at.row", "at.size"), prints.select("row", "text", *names), families, similarity, task))
+    members = connected_components(near_links(first.select("node", "at.row", "at.size", *[f"at.{c}" for c in names]), prints.select("row", "text", *names), families, similarity, task))
     lowest = members.join(first.select("node", "first"), "node").groupBy("component").agg(F.min("first").alias("lowest"))
     lowest = members.join(lowest, "component").select("node", "lowest")
     whole = first.join(lowest, "node", "left").select("node", "n", F.coalesce("lowest", "first").alias("first"))
