@@ -16,6 +16,7 @@ from math import acos, ceil, comb, log, pi, sqrt
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -281,11 +282,12 @@ def table_plan(n: int, similarity: float, radius: int = STAGE_RADIUS, recall: fl
 
 
 def alike(pdf: pd.DataFrame, similarity: float) -> pd.DataFrame:
-    """Links (a, b) that join the rows (node, label, text, s0..) of this exact Jaccard similarity or more; pairs that links or equal labels join already, or whose sketches lie too far apart, are not compared."""
+    """Links (a, b) that join the rows (node, label, packed, s0..; packed is the text, compressed) of this exact Jaccard similarity or more; pairs that links or equal labels join already, or whose sketches lie too far apart, are not compared."""
     pdf = pdf.sort_values("node", ignore_index=True)
     nodes, lanes = pdf["node"].to_numpy(), pdf[[c for c in pdf.columns if c[0] == "s" and c[1:].isdigit()]].to_numpy(np.int64).view(np.uint64)
     most = at_most(64 * lanes.shape[1], similarity)
-    sets = [shingle_set(t) for t in pdf["text"]]
+    open_ = zstandard.ZstdDecompressor().decompress
+    sets = [shingle_set(open_(bytes(t)).decode("utf-8", "surrogatepass")) for t in pdf["packed"]]
     sizes, labels = np.array([len(x) for x in sets]), np.unique(pdf["label"].to_numpy(), return_inverse=True)[1]
     a, b = [], []
     for i in range(len(nodes) - 1):
@@ -344,7 +346,7 @@ def _met(member: DataFrame) -> DataFrame:
 def near_links(sets: DataFrame, texts: DataFrame, families: DataFrame, similarity: float = 0.8, task: int = TASK_BYTES) -> DataFrame:
     """Links (a, b) whose components are those of all pairs of one family at this exact Jaccard similarity or more.
 
-    sets: (node, row, size, s0..); texts: (row, text, s0..); families: (node, family). A family of more than
+    sets: (node, row, size, s0..); texts: (row, packed, s0..); families: (node, family). A family of more than
     `task` bytes is dealt into parts that meet some of its documents each. Then all of it but its largest
     component meets the whole family, in pairs of parts: first the sketches alone, which tell the documents
     that may be like one not joined with them by then, and of those the texts, so that every such pair is compared.
@@ -383,20 +385,20 @@ def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     lanes = max(2, -(-tables * bits // 64))
     names = [f"s{i}" for i in range(lanes)]
 
-    def sketched(texts: list[str | None]) -> list[np.ndarray]:
-        sets = [shingle_set(t) for t in texts]
+    def sketched(texts: list[str | None]) -> list:
+        sets, raw, squeeze = [shingle_set(t) for t in texts], [(t or "").encode("utf-8", "surrogatepass") for t in texts], zstandard.ZstdCompressor().compress
         nodes = np.array([xxhash.xxh64_intdigest(x.astype("<u8").tobytes()) for x in sets], np.uint64).view(np.int64)
         got = np.array([sketch([x], lanes).view(np.int64) for x in sets], np.int64).reshape(-1, lanes)
-        return [nodes, *np.ascontiguousarray(got.T)]
+        return [list(map(len, raw)), list(map(squeeze, raw)), nodes, *np.ascontiguousarray(got.T)]
 
     ids = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("row"))
-    prints = written(appended(ids, "text", {c: "long" for c in ["node", *names]}, lambda: sketched), "shingles")
-    at = F.struct("row", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"), *names)
+    prints = written(appended(ids, "text", {"size": "long", "packed": "binary"} | {c: "long" for c in ["node", *names]}, lambda: sketched, drop=True), "shingles")
+    at = F.struct("row", "size", *names)
     first = checkpointed(prints.groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"), F.min_by(at, "row").alias("at")))
     checked = min(lanes, CHECKED)
     near = ball_links(first.select("node", *[f"at.{c}" for c in names]), checked, tables, bits, STAGE_RADIUS, at_most(64 * checked, similarity), group, 0)
     families = connected_components(near).withColumnRenamed("component", "family")
-    members = connected_components(near_links(first.select("node", "at.row", "at.size", *[f"at.{c}" for c in names]), prints.select("row", "text", *names), families, similarity, task))
+    members = connected_components(near_links(first.select("node", "at.row", "at.size", *[f"at.{c}" for c in names]), prints.select("row", "packed", *names), families, similarity, task))
     lowest = members.join(first.select("node", "first"), "node").groupBy("component").agg(F.min("first").alias("lowest"))
     lowest = members.join(lowest, "component").select("node", "lowest")
     whole = first.join(lowest, "node", "left").select("node", "n", F.coalesce("lowest", "first").alias("first"))
