@@ -136,14 +136,14 @@ def test_order_of_rows_does_not_matter(spark):
     assert len(found) == 1
 
 
-def test_dbscan_without_a_usable_candidate_takes_the_elbow(spark):
+def test_dbscan_without_a_usable_candidate_takes_the_elbow(spark, monkeypatch):
     draw = np.random.default_rng(1)
     one = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(draw.normal(size=(60, 3)) * 0.01)], "client_id int, z_r double, z_f double, z_m double")
+    monkeypatch.setattr(clusters, "eps_candidates", lambda curve: [1e-7])  # every point is noise
     got = segmentation.fit(one, "dbscan")
-    if got.silhouette is None:
-        assert got.warnings == ["silhouette non calculable : coude retenu"] and got.eps == clusters.elbow(clusters.knn_distances(one)).first()["epsilon"]
-    else:
-        assert got.n_groupes >= 2
+    assert [d["silhouette"] for d in got.diagnostics] == [None]
+    assert got.warnings == ["silhouette non calculable : coude retenu"] and got.eps == clusters.elbow(clusters.knn_distances(one)).first()["epsilon"]
+    assert got.labels.count() == 60 and got.n_groupes >= 1
     with pytest.raises(ValueError):
         segmentation.fit(one, "autre")
 
