@@ -96,6 +96,18 @@ def test_ranges_of_times_and_reals(spark):
     assert joins.range_join(x, x, ("a", "b"), ("a", "b")).count() == 4
 
 
+def test_lines_after_large_orders_meet_days_not_lines(spark, tmp_path):
+    # a hundred thousand lines of one day, and 300 orders of that day in the top hundredth
+    orders = spark.range(30_000).select(F.col("id").alias("o_orderkey"), F.lit("2024-01-01").cast("timestamp").alias("o_orderdate"), F.col("id").cast("double").alias("o_totalprice"))
+    lines = spark.range(100_000).select(F.col("id").alias("l_orderkey"), F.lit("2024-01-01").cast("timestamp").alias("l_shipdate"), F.lit(2.0).alias("l_quantity"))
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    df = queries.QUERIES["range_lines_after_large_orders"](spark, str(tmp_path))
+    got = df.collect()
+    assert len(got) == 300 and {(r["lignes"], r["unites"]) for r in got} == {(100_000, 200_000.0)} and min(r["o_orderkey"] for r in got) == 29_700
+    assert "l_quantity" not in plan(df)  # lines are summed up by day before orders meet them
+
+
 @pytest.mark.parametrize("name", ["asof_last_price", "range_lines_after_large_orders", "range_launches_that_overlap"])
 def test_queries_hold_no_nested_loop(spark, name):
     df = queries.QUERIES[name](spark, SF)
