@@ -1,7 +1,8 @@
 """Joins that are not by equality alone: the last row before a time, and overlapping intervals.
 
 Both are made of equi-joins, windows of bounded length and aggregations, so that no plan holds a nested
-loop, and no key, time or interval that holds many rows is one task's work.
+loop, and no key, time or interval that holds many rows is one task's work. Where only totals of pairs are
+asked, no pair is made: overlapping days are counted by what begins and ends on each.
 """
 
 from __future__ import annotations
@@ -98,3 +99,36 @@ def range_join(left: DataFrame, right: DataFrame, left_ends: tuple[str, str], ri
         return pairs.select(*[F.col(f"l.`{c}`") for c in left.columns], *told)
     got = pairs.select(F.col("l._id").alias("_id"), *told)
     return left.join(got, "_id", "left").drop("_id")
+
+
+def overlap_totals(rows: DataFrame, ends: tuple[str, str], on: list[str], same: str, pairs: str = "paires", days: str = "jours") -> DataFrame:
+    """For each `on`, how many pairs of rows with different `same` have overlapping intervals of dates, ends included, and how many days they share in all; keys without such a pair are left out.
+
+    Two intervals share a stretch of days, so a pair counts one day more than it counts of two days on end: of n rows that
+    hold a day n (n - 1) / 2 pairs share it, and of m rows that hold the day before as well m (m - 1) / 2 share both.
+    Pairs of rows of the same `same` are taken off in the same way. Rows with null keys or ends, or that end before they start, count nothing.
+    """
+    a, b = as_number(rows, ends[0]).alias("a"), as_number(rows, ends[1]).alias("b")
+    spans = rows.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(on)], F.col(same).alias("own"), a, b).where("a <= b").dropna()
+    keys = [f"k{i}" for i in range(len(on))]
+    found = _shared(spans, keys)
+    often = spans.groupBy(*keys, "own").agg(F.count("*").alias("n")).where("n > 1")
+    within = _shared(spans.join(often.drop("n"), [*keys, "own"], "left_semi"), [*keys, "own"])
+    off = within.select(*keys, (-F.col("pairs")).alias("pairs"), (-F.col("days")).alias("days"))
+    got = found.unionByName(off).groupBy(*keys).agg(F.sum("pairs").alias("pairs"), F.sum("days").alias("days")).where("pairs > 0")
+    return got.select(*[F.col(k).alias(c) for k, c in zip(keys, on, strict=True)], F.col("pairs").alias(pairs), F.col("days").alias(days))
+
+
+def _shared(spans: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows (keys, pairs, days) of spans (keys, a, b): all pairs of rows with a day in common, and those days.
+
+    What is sorted for a key has a row for each day on which a span begins or has ended; between two of them nothing changes.
+    """
+    begun = spans.groupBy(*keys, F.col("a").alias("d")).agg(F.count("*").alias("more"))
+    ended = spans.groupBy(*keys, (F.col("b") + 1).alias("d")).agg(F.count("*").alias("less"))
+    turns = begun.withColumn("less", F.lit(0).cast("long")).unionByName(ended.withColumn("more", F.lit(0).cast("long"))).groupBy(*keys, "d").agg(F.sum("more").alias("more"), F.sum("less").alias("less"))
+    own = W.partitionBy(*keys).orderBy("d")
+    turns = turns.withColumns({"n": F.sum(F.col("more") - F.col("less")).over(own), "until": F.lead("d").over(own)}).withColumn("kept", F.col("n") - F.col("more"))
+    two = lambda n: F.shiftright(n * (n - 1), 1)
+    held = F.coalesce(F.col("until") - F.col("d"), F.lit(0))  # days that n rows hold
+    return turns.groupBy(*keys).agg(F.sum(F.when(F.col("more") > 0, two(F.col("n")) - two(F.col("kept")))).alias("pairs"), F.sum(two(F.col("n")) * held).alias("days"))

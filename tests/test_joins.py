@@ -96,6 +96,24 @@ def test_ranges_of_times_and_reals(spark):
     assert joins.range_join(x, x, ("a", "b"), ("a", "b")).count() == 4
 
 
+def test_overlap_totals_equal_brute_force(spark):
+    draw, first = random.Random(4), date(2024, 1, 1)
+    rows = [(draw.choice(["a", "b"]), draw.randrange(60), first + timedelta(a := draw.randrange(300)), first + timedelta(a + draw.choice([0, 1, 5, 90, -3]))) for _ in range(150)]
+    rows += [("a", 1, None, first), ("a", None, first, first), (None, 2, first, first), ("alone", 3, first, first), ("alone", 3, first, first)]
+    want = {}
+    for i, (k, x, a, b) in enumerate(rows):
+        for kk, y, c, d in rows[:i]:
+            if k == kk and None not in (k, x, y, a, b, c, d) and x != y and a <= b and c <= d and a <= d and c <= b:
+                n, days = want.get(k, (0, 0))
+                want[k] = n + 1, days + (min(b, d) - max(a, c)).days + 1
+    got = joins.overlap_totals(spark.createDataFrame(rows, "k string, x int, a date, b date").repartition(3), ("a", "b"), ["k"], "x")
+    assert {r["k"]: (r["paires"], r["jours"]) for r in got.collect()} == want
+    # 200,000 spans of one key that all overlap: 2 * 10^10 pairs
+    n = 200_000
+    many = spark.range(n).select(F.lit(1).alias("k"), "id", F.lit(first).alias("a"), F.lit(first + timedelta(2)).alias("b"))
+    assert joins.overlap_totals(many, ("a", "b"), ["k"], "id").collect() == [(1, n * (n - 1) // 2, 3 * n * (n - 1) // 2)]
+
+
 def test_lines_after_large_orders_meet_days_not_lines(spark, tmp_path):
     # a hundred thousand lines of one day, and 300 orders of that day in the top hundredth
     orders = spark.range(30_000).select(F.col("id").alias("o_orderkey"), F.lit("2024-01-01").cast("timestamp").alias("o_orderdate"), F.col("id").cast("double").alias("o_totalprice"))
