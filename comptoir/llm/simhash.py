@@ -250,10 +250,12 @@ def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     return _told(prints, whole, "fp").select("doc_id", "fp", "component_id")
 
 
-#: Near-duplicate stage: shingles of five words; radius of its tables; recall at the similarity asked for; chance neighbours of a document in a table at most; lanes carried with each record; bytes of shingle sets in a task; documents of a family that all its tasks see.
-STAGE_WORDS, STAGE_RADIUS, RECALL, CHANCE, CHECKED, TASK_BYTES, PIVOTS = 5, 2, 0.99, 64, 2, 1 << 24, 64
+#: Near-duplicate stage: shingles of five words; radius of its tables; recall at the similarity asked for; chance neighbours of a document in a table at most; bytes of shingle sets in a task; documents of a family that all its tasks see.
+STAGE_WORDS, STAGE_RADIUS, RECALL, CHANCE, TASK_BYTES, PIVOTS = 5, 2, 0.99, 64, 1 << 24, 64
 #: Records in a group of the stage, which holds smaller ones; sketches of a family's part that meet those of another.
 STAGE_GROUP, SKETCHES = 1 << 20, 4096
+#: Partitions of its comparisons at most.
+MOST_PARTS = 1 << 13
 
 
 def shingle_set(text: str | None, words: int = STAGE_WORDS, seed: int = 42) -> np.ndarray:
@@ -281,6 +283,20 @@ def table_plan(n: int, similarity: float, radius: int = STAGE_RADIUS, recall: fl
     return max(1, ceil(log(1 - recall) / log(1 - meets))), bits
 
 
+def _likeness(sets: list[np.ndarray], sizes: np.ndarray, i: int, js: np.ndarray) -> np.ndarray:
+    """The Jaccard similarities of set i and each of sets js, in blocks of about BLOCK hashes; 1 for two empty sets."""
+    out, at, ends = np.ones(len(js)), 0, np.cumsum(sizes[js])
+    while at < len(js) and sizes[i]:
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BLOCK, side="right")))
+        block, n = np.concatenate([sets[j] for j in js[at:to]]), sizes[js[at:to]]
+        found = sets[i][np.minimum(np.searchsorted(sets[i], block), sizes[i] - 1)] == block
+        total = np.concatenate(([0], np.cumsum(found)))
+        both = total[np.cumsum(n)] - total[np.cumsum(n) - n]
+        out[at:to] = both / (sizes[i] + n - both)
+        at = to
+    return out
+
+
 def alike(pdf: pd.DataFrame, similarity: float) -> pd.DataFrame:
     """Links (a, b) that join the rows (node, label, packed, s0..; packed is the text, compressed) of this exact Jaccard similarity or more; pairs that links or equal labels join already, or whose sketches lie too far apart, are not compared."""
     pdf = pdf.sort_values("node", ignore_index=True)
@@ -294,22 +310,25 @@ def alike(pdf: pd.DataFrame, similarity: float) -> pd.DataFrame:
         js = np.flatnonzero(labels[i + 1 :] != labels[i]) + i + 1
         js = js[np.minimum(sizes[js], sizes[i]) >= similarity * np.maximum(sizes[js], sizes[i]) - 1e-9]
         js = js[np.bitwise_count(lanes[js] ^ lanes[i]).sum(axis=1, dtype=np.int64) <= most]
-        joined = set()
-        for j in js.tolist():
-            if labels[j] not in joined:
-                both = np.intersect1d(sets[i], sets[j], assume_unique=True).size
-                if both >= similarity * (sizes[i] + sizes[j] - both) - 1e-9:
-                    a.append(nodes[i])
-                    b.append(nodes[j])
-                    joined.add(labels[j])
+        fits = js[_likeness(sets, sizes, i, js) >= similarity - 1e-9]
+        joined = {}
+        for j in fits.tolist():
+            joined.setdefault(labels[j], nodes[j])
+        a += [nodes[i]] * len(joined)
+        b += joined.values()
         if joined:
             labels[np.isin(labels, list(joined))] = labels[i]
     return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
 
-def _compared(rows: DataFrame, tasks: list[str], similarity: float) -> DataFrame:
+def _parts(rows: DataFrame, wanted: float) -> int:
+    """Partitions for work that grows faster than its bytes: Spark would put small ones together by their bytes alone."""
+    return int(min(MOST_PARTS, max(wanted, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
+
+
+def _compared(rows: DataFrame, tasks: list[str], similarity: float, wanted: float) -> DataFrame:
     run = lambda pdf: alike(pdf, similarity)
-    return rows.groupBy(*tasks).applyInPandas(run, "a long, b long")
+    return rows.repartition(_parts(rows, wanted), *tasks).groupBy(*tasks).applyInPandas(run, "a long, b long")
 
 
 def apart(pdf: pd.DataFrame, most: int, block: int = 512) -> pd.DataFrame:
@@ -359,18 +378,21 @@ def near_links(sets: DataFrame, texts: DataFrame, families: DataFrame, similarit
     own = F.pmod(F.xxhash64("node"), "parts").cast("int")
     pivot = (F.col("parts") > 1) & (F.pmod(F.xxhash64("node", F.lit(1)), "n") < PIVOTS)
     dealt = dealt.select("node", "row", "family", F.explode(F.when(pivot, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(own))).alias("part"))
-    links = checkpointed(_compared(dealt.withColumn("label", F.col("node")).join(texts, "row"), ["family", "part"], similarity))
+    total = member.agg(F.sum("bytes")).first()[0] or 0
+    links = checkpointed(_compared(dealt.withColumn("label", F.col("node")).join(texts, "row"), ["family", "part"], similarity, 4 * total / task))
     hot = checkpointed(sizes.where("parts > 1").select("family"))
     if hot.isEmpty():
         return links
     known = connected_components(links)
     member = member.join(hot, "family").join(known, "node", "left").withColumn("label", F.coalesce("component", "node"))
     member = checkpointed(member)
-    most = at_most(64 * len(names), similarity)
+    most, blocks = at_most(64 * len(names), similarity), member.count() / SKETCHES
     sketches = _met(member.select("node", "family", "label", F.lit(1 / SKETCHES).alias("weight"), *names)).select("node", "family", "label", "spot", *names, "pair.i", "pair.j")
+    sketches = sketches.repartition(_parts(sketches, blocks**2), "family", "i", "j")
     open_ = checkpointed(sketches.groupBy("family", "i", "j").applyInPandas(lambda pdf: apart(pdf, most), "node long").distinct())
-    left = _met(member.join(open_, "node").select("node", "row", "family", "label", (F.col("bytes") / F.lit(task)).alias("weight")))
-    return links.unionByName(_compared(left.select("node", "row", "family", "label", "pair.i", "pair.j").join(texts, "row"), ["family", "i", "j"], similarity))
+    left = checkpointed(member.join(open_, "node").select("node", "row", "family", "label", (F.col("bytes") / F.lit(task)).alias("weight")))
+    shares = left.agg(F.sum("weight")).first()[0] or 0
+    return links.unionByName(_compared(_met(left).select("node", "row", "family", "label", "pair.i", "pair.j").join(texts, "row"), ["family", "i", "j"], similarity, (shares + 1) ** 2))
 
 
 def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = 0.8, task: int = TASK_BYTES, recall: float = RECALL, group: int = STAGE_GROUP) -> DataFrame:
@@ -381,7 +403,7 @@ def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     similarity meets with probability `recall`, more above. Blank texts are copies of one another; repeated
     rows and null ids stay as rows, and a null id names no group unless all its ids are null. Other columns are dropped.
     """
-    tables, bits = table_plan(max(2, docs.count()), similarity)
+    tables, bits = table_plan(max(2, docs.count()), similarity, recall=recall)
     lanes = max(2, -(-tables * bits // 64))
     names = [f"s{i}" for i in range(lanes)]
 
@@ -395,8 +417,8 @@ def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     prints = written(appended(ids, "text", {"size": "long", "packed": "binary"} | {c: "long" for c in ["node", *names]}, lambda: sketched, drop=True), "shingles")
     at = F.struct("row", "size", *names)
     first = checkpointed(prints.groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"), F.min_by(at, "row").alias("at")))
-    checked = min(lanes, CHECKED)
-    near = ball_links(first.select("node", *[f"at.{c}" for c in names]), checked, tables, bits, STAGE_RADIUS, at_most(64 * checked, similarity), group, 0)
+    # all lanes decide what links a family: with few of them unlike documents chain to one that grows faster than the table
+    near = ball_links(first.select("node", *[f"at.{c}" for c in names]), lanes, tables, bits, STAGE_RADIUS, at_most(64 * lanes, similarity), group, 0)
     families = connected_components(near).withColumnRenamed("component", "family")
     members = connected_components(near_links(first.select("node", "at.row", "at.size", *[f"at.{c}" for c in names]), prints.select("row", "packed", *names), families, similarity, task))
     lowest = members.join(first.select("node", "first"), "node").groupBy("component").agg(F.min("first").alias("lowest"))

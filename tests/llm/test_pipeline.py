@@ -61,3 +61,19 @@ def test_empty_documents_go_through_all_stages(spark, docs):
     for name, stage in corpus_pipeline.STAGES:
         none = stage(spark, none, SF)
         assert none.count() == 0, name
+
+
+def test_unlike_documents_that_share_a_sixth_make_no_large_family(spark, monkeypatch):
+    # any two share a sixth of their shingles, far below 0.8; families within two lanes of sketches held nearly all of them
+    common = " ".join(f"mot{i}" for i in range(60))
+    docs = spark.createDataFrame([(i, common + " " + " ".join(f"d{i}x{j}" for j in range(130))) for i in range(300)] + [(300, common + " " + " ".join(f"d0x{j}" for j in range(129)))], "doc_id long, text string")
+    sizes, links = [], simhash.near_links
+
+    def seen(sets, texts, families, *more):
+        sizes.extend(r["count"] for r in families.groupBy("family").count().collect())
+        return links(sets, texts, families, *more)
+
+    monkeypatch.setattr(simhash, "near_links", seen)
+    got = {r["doc_id"]: r["first"] for r in simhash.near_duplicate_groups(docs, recall=1 - 1e-12).collect()}
+    assert got == {i: i % 300 for i in range(301)}
+    assert max(sizes) <= 30
