@@ -83,3 +83,14 @@ def test_the_sweep_of_the_given_customers(spark):
     for e, got in zip(radii, clusters.dbscan_sweep(base, radii), strict=True):
         rows = {r["client_id"]: r["cluster_id"] for r in got.collect()}
         assert [rows[i] for i in x["client_id"]] == brute_dbscan(x[clusters.AXES].to_numpy(), e, 5).tolist()
+
+
+def test_kth_neighbours_need_two_rounds(spark, monkeypatch):
+    # three places so near one another that a tiny cell holds them, and the next ones far away
+    draw = np.random.default_rng(8)
+    x = np.repeat(draw.uniform(0, 9, (60, 3)), 3, axis=0) + draw.uniform(0, 1e-5, (180, 3))
+    rounds, met = [], density._met
+    monkeypatch.setattr(density, "_met", lambda *a: rounds.append(1) or met(*a))
+    got = {r["client_id"]: r["distance"] for r in clusters.knn_distances(points_frame(spark, x), 5).collect()}
+    gap = np.sort(np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)), axis=1)[:, 5]
+    assert np.allclose([got[i] for i in range(len(x))], gap) and len(rounds) <= 2
