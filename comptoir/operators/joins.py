@@ -7,6 +7,8 @@ asked, no pair is made: overlapping days are counted by what begins and ends on
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,6 +19,8 @@ from comptoir.session import cut
 
 #: Levels of interval length, each of twice the last one's.
 LEVELS = 40
+#: A key with more than one in so many rows is dealt on; items that the sketch of keys tracks.
+BUSY, TRACKED = 1024, 16_384
 
 
 def as_number(df: DataFrame, column: str) -> Column:
@@ -29,39 +33,68 @@ def as_number(df: DataFrame, column: str) -> Column:
     return c.cast("double")
 
 
-def asof_join(left: DataFrame, right: DataFrame, on: list[str], left_time: str, right_time: str, ties: tuple[str, ...] = (), within: float | None = None, strict: bool = False, forward: bool = False, inner: bool = False, prefix: str = "derniere_") -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, on: list[str], left_time: str, right_time: str, ties: tuple[str, ...] = (), within: float | None = None, strict: bool = False, forward: bool = False, inner: bool = False, prefix: str = "derniere_", busy: int = 10_000) -> DataFrame:
     """left with the columns of the last row of right of the same keys at or before its time, named with prefix (nulls if there is none; left out if inner).
 
     strict: before, not at; forward: the first at or after; within: at most so far off, in days of dates,
     microseconds of times, units of numbers. Of rows of right with the same keys and time the greatest by `ties`, then
     by its other columns, counts. Null keys and times match nothing; repeated rows of left stay.
 
-    The two sides' times, each once for each key, are sorted in blocks of time, and the last row seen is carried
-    forward within a block; what a key brings into a block is one row for each of its blocks. So a key with
-    many times is many tasks' work, and one with many rows at one time is reduced before that.
+    Rows of both sides meet in one shuffle by key and are sorted by time, the last row of right carried forward. Keys that hold
+    more than a thousandth of all rows, and more than `busy`, are found by a sketch and dealt on by `_asof_of_busy_keys`.
     """
     sign = -1 if forward else 1
     keys = [f"_k{i}" for i in range(len(on))]
-    named = lambda df, time: [F.col(c).alias(k) for c, k in zip(on, keys, strict=True)] + [(sign * as_number(df, time)).alias("_t")]
     taken = [c for c in right.columns if c not in on]
-    known = right.select(*named(right, right_time), F.struct(*[F.col(c) for c in [*ties, *[c for c in taken if c not in ties]]]).alias("_r")).dropna(subset=[*keys, "_t"])
-    known = known.groupBy(*keys, "_t").agg(F.max("_r").alias("_r"))
-    asked = left.select(*named(left, left_time)).dropna(subset=[*keys, "_t"]).distinct()
+    order = [*ties, *[c for c in taken if c not in ties]]
+    named = lambda df, time: [F.col(c).alias(k) for c, k in zip(on, keys, strict=True)] + [(sign * as_number(df, time)).alias("_t")]
+    known = right.select(*named(right, right_time), F.struct(*[F.col(c) for c in order]).alias("_r")).dropna(subset=[*keys, "_t"])
+    asked = left.select(*named(left, left_time), F.struct(*[F.col(f"`{c}`") for c in left.columns]).alias("_l"))
+    kinds = known.select(*keys, "_t").unionByName(asked.select(*keys, "_t")).schema  # a key has one type, so one hash
+    known, asked = (df.withColumns({k: F.col(k).cast(kinds[k].dataType) for k in [*keys, "_t"]}) for df in (known, asked))
+    whole = reduce(lambda x, y: x & y, [F.col(k).isNotNull() for k in [*keys, "_t"]])
+    unknown, asked = asked.where(~whole).withColumn("_x", F.lit(None)), asked.where(whole)
+    own = F.xxhash64(*keys)
+    hot = _busy(known.select(own.alias("h")).unionByName(asked.select(own.alias("h"))), busy)
+    few = ~own.isin(hot) if hot else F.lit(True)
     kind = known.select(F.struct("_t", "_r").alias("x")).schema["x"].dataType
     side = F.lit(0 if strict else 2)  # at equal times a known row comes before those asked unless strict
-    both = known.select(*keys, "_t", F.lit(1).alias("_side"), F.struct("_t", "_r").alias("_x")).unionByName(asked.select(*keys, "_t", side.alias("_side"), F.lit(None).cast(kind).alias("_x")))
+    both = known.where(few).select(*keys, "_t", F.lit(1).alias("_side"), F.struct("_t", "_r").alias("_x"), F.lit(None).cast(asked.schema["_l"].dataType).alias("_l"))
+    both = both.unionByName(asked.where(few).select(*keys, "_t", side.alias("_side"), F.lit(None).cast(kind).alias("_x"), "_l"))
+    seen = F.last("_x", ignorenulls=True).over(W.partitionBy(*keys).orderBy("_t", "_side", "_x").rowsBetween(W.unboundedPreceding, 0))
+    found = both.withColumn("_x", seen).where("_side != 1").select("_t", "_l", "_x")
+    if hot:
+        found = found.unionByName(_asof_of_busy_keys(known.where(~few), asked.where(~few), keys, side).select("_t", "_l", "_x"))
+    if within is not None:
+        found = found.withColumn("_x", F.when(F.col("_t") - F.col("_x._t") <= within, F.col("_x")))
+    found = found.where("_x IS NOT NULL") if inner else found.unionByName(unknown.select("_t", "_l", F.col("_x").cast(kind).alias("_x")))
+    return found.select(*[F.col(f"_l.`{c}`").alias(c) for c in left.columns], *[F.col(f"_x._r.`{c}`").alias(f"{prefix}{c}") for c in taken])
+
+
+def _busy(hashes: DataFrame, least: int) -> list[int]:
+    """The hashes (h) that hold more than `least` rows and a share of one in BUSY or more, by a sketch: at most BUSY of them. A sketch's error only deals a key otherwise."""
+    got = hashes.agg(F.count("*").alias("n"), F.expr(f"approx_top_k(h, {BUSY}, {TRACKED})").alias("top")).first()
+    return [x["item"] for x in got["top"] or [] if x["count"] > max(least, got["n"] / BUSY)]
+
+
+def _asof_of_busy_keys(known: DataFrame, asked: DataFrame, keys: list[str], side: Column) -> DataFrame:
+    """asked with _x, the last row of known (keys, _t, _r) or null.
+
+    The two sides' times, each once for each key, are sorted in blocks of time, and the last row seen is carried
+    forward within a block; what a key brings into a block is one row for each of its blocks. So a key with
+    many times is many tasks' work, and one with many rows at one time is reduced before that.
+    """
+    kind = known.select(F.struct("_t", "_r").alias("x")).schema["x"].dataType
+    known = known.groupBy(*keys, "_t").agg(F.max("_r").alias("_r"))
+    times = asked.select(*keys, "_t").distinct()
+    both = known.select(*keys, "_t", F.lit(1).alias("_side"), F.struct("_t", "_r").alias("_x")).unionByName(times.select(*keys, "_t", side.alias("_side"), F.lit(None).cast(kind).alias("_x")))
     both = cut(binned(cut(both), "_t"))
     seen = F.last("_x", ignorenulls=True).over(W.partitionBy(*keys, "_bin").orderBy("_t", "_side").rowsBetween(W.unboundedPreceding, 0))
     brought = both.where("_side = 1").groupBy(*keys, "_bin").agg(F.max_by("_x", "_t").alias("_x"))
     blocks = both.where("_side != 1").select(*keys, "_bin").distinct().join(brought, [*keys, "_bin"], "full")
     ahead = blocks.withColumn("_ahead", F.last("_x", ignorenulls=True).over(W.partitionBy(*keys).orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)))  # a row for each block of a key
     found = both.withColumn("_seen", seen).where("_side != 1").select(*keys, "_bin", "_t", "_seen").join(ahead.select(*keys, "_bin", "_ahead"), [*keys, "_bin"], "left")
-    found = found.select(*keys, "_t", F.coalesce("_seen", "_ahead").alias("_x")).where("_x IS NOT NULL")
-    if within is not None:
-        found = found.where(F.col("_t") - F.col("_x._t") <= within)
-    rows = left.withColumns({k: F.col(c) for c, k in zip(on, keys, strict=True)} | {"_t": sign * as_number(left, left_time)})
-    met = rows.join(found, [*keys, "_t"], "inner" if inner else "left")
-    return met.select(*left.columns, *[F.col(f"_x._r.`{c}`").alias(f"{prefix}{c}") for c in taken])
+    return asked.join(found.select(*keys, "_t", F.coalesce("_seen", "_ahead").alias("_x")), [*keys, "_t"])
 
 
 def range_join(left: DataFrame, right: DataFrame, left_ends: tuple[str, str], right_ends: tuple[str, str], on: list[str] = (), outer: bool = False, prefix: str = "r_") -> DataFrame:

@@ -150,3 +150,23 @@ def test_sketches_of_days_unite(spark, tmp_path):
         assert abs(told - exact) <= max(1, exact * sketches.error_bound())
     assert {r["g"] for r in sketches.distinct_between(kept, by=("g",)).collect()} == {"a", "b"}
     assert sketches.distinct_between(kept.limit(0)).first()["distincts"] == 0
+
+
+@pytest.mark.parametrize("strict, within, inner", [(False, None, False), (True, 5, True)])
+def test_asof_of_busy_keys_and_others(spark, strict, within, inner):
+    left, right = sides(2, 400, ["a"] * 6 + ["b", "c"], [*range(0, 200, 3), 7, 7, 7, 7])
+    l, r = spark.createDataFrame(left, "k string, t int, i int"), spark.createDataFrame(right, "k string, t int, v int")
+    wanted = [x for x in brute_asof(left, right, strict, within=within) if x[4] is not None or not inner]
+    for busy in (0, 300, 10_000):  # all keys, some, none dealt on
+        got = joins.asof_join(l, r, ["k"], "t", "t", ties=("v",), strict=strict, within=within, inner=inner, busy=busy)
+        assert sorted([tuple(x) for x in got.select("k", "t", "i", "derniere_t", "derniere_v").collect()], key=str) == wanted
+
+
+def test_asof_sends_rows_of_many_keys_once(spark):
+    # keys of a few rows each: one shuffle of both sides, no join back
+    left = spark.range(2000).selectExpr("id % 200 AS k", "CAST(id AS INT) AS t", "id AS i")
+    right = spark.range(2000).selectExpr("id % 200 AS k", "CAST(id AS INT) AS t", "id AS v")
+    got = joins.asof_join(left, right, ["k"], "t", "t", ties=("v",))
+    assert got.where("derniere_v = i").count() == 2000
+    said = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in said and said.count("Exchange") == 1
