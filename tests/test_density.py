@@ -94,3 +94,17 @@ def test_kth_neighbours_need_two_rounds(spark, monkeypatch):
     got = {r["client_id"]: r["distance"] for r in clusters.knn_distances(points_frame(spark, x), 5).collect()}
     gap = np.sort(np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)), axis=1)[:, 5]
     assert np.allclose([got[i] for i in range(len(x))], gap) and len(rounds) <= 2
+
+
+def test_measures_make_labels_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for pdf in batches:
+            seen.add(len(pdf))
+            yield pdf
+
+    x = np.random.default_rng(9).normal(size=(300, 3)) + np.arange(300)[:, None] % 3 * 9
+    df = points_frame(spark, x).withColumn("cluster_id", clusters.F.pmod("client_id", clusters.F.lit(3)))
+    got = clusters.measures(df.mapInPandas(counted, df.schema))
+    assert seen.value == 300 and got["silhouette"] > 0.7 and got["davies_bouldin"] < 0.5 and got["calinski_harabasz"] > 1000
