@@ -108,3 +108,25 @@ def test_measures_make_labels_once(spark):
     df = points_frame(spark, x).withColumn("cluster_id", clusters.F.pmod("client_id", clusters.F.lit(3)))
     got = clusters.measures(df.mapInPandas(counted, df.schema))
     assert seen.value == 300 and got["silhouette"] > 0.7 and got["davies_bouldin"] < 0.5 and got["calinski_harabasz"] > 1000
+
+
+def test_davies_bouldin_of_many_clusters_meets_few_pairs(spark, monkeypatch):
+    # 4,000 clusters of unlike width, a few very wide, some with equal centres, some of equal points; most are small
+    draw = np.random.default_rng(11)
+    mid, width = draw.uniform(0, 9, (4000, 3)), draw.exponential(0.02, 4000) + 0.001
+    width[:8], width[8:40], mid[41] = draw.uniform(0.5, 3, 8), 0, mid[40]
+    x = np.concatenate([mid + width[:, None], mid - width[:, None]])
+    df = points_frame(spark, x).withColumn("cluster_id", clusters.F.pmod("client_id", clusters.F.lit(4000)))
+    mid, width = (x[:4000] + x[4000:]) / 2, np.sqrt(((x[:4000] - x[4000:]) ** 2).sum(1)) / 2
+    gap = np.sqrt(((mid[:, None] - mid) ** 2).sum(-1))
+    gap[gap == 0] = np.inf
+    seen, met = [], clusters._met
+    monkeypatch.setattr(clusters, "_met", lambda *a: seen.append(met(*a)) or seen[-1])
+    got = clusters.davies_bouldin(df).first()["davies_bouldin"]
+    assert got == pytest.approx(((width[:, None] + width) / gap).max(1).mean(), rel=1e-9)
+    assert len(seen) == 1 and seen[0].count() < 100 * 4000
+
+
+def test_davies_bouldin_of_many_clusters_without_width(spark):
+    df = points_frame(spark, np.random.default_rng(12).uniform(0, 9, (1500, 3))).withColumn("cluster_id", clusters.F.col("client_id"))
+    assert clusters.davies_bouldin(df).first()["davies_bouldin"] == 0
