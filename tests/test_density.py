@@ -130,3 +130,34 @@ def test_davies_bouldin_of_many_clusters_meets_few_pairs(spark, monkeypatch):
 def test_davies_bouldin_of_many_clusters_without_width(spark):
     df = points_frame(spark, np.random.default_rng(12).uniform(0, 9, (1500, 3))).withColumn("cluster_id", clusters.F.col("client_id"))
     assert clusters.davies_bouldin(df).first()["davies_bouldin"] == 0
+
+
+@pytest.mark.parametrize("block", [0, 12, 300])
+def test_dbscan_of_crowds_in_blocks_of_any_size(spark, monkeypatch, block):
+    # 0: every radius is crowded and meets by joins; 12: many blocks for the small radius, none for the others; 300: all in blocks
+    x, radii = crowds(5, 150), [0.08, 0.2, 0.5]
+    df, met, seen, sizes, shifts = points_frame(spark, x).repartition(3), density._met, [], [], density._shifts
+    monkeypatch.setattr(density, "BLOCK", block)
+    monkeypatch.setattr(density, "_met", lambda *a: seen.append(1) or met(*a))
+    monkeypatch.setattr(density, "_shifts", lambda *a: sizes.append(shifts(*a)) or sizes[-1])
+    for key in ("client_id", "CAST(client_id + 1000 AS STRING)"):
+        for e, got in zip(radii, density.dbscan_sweep(df.withColumn("client_id", clusters.F.expr(key)), radii, 5), strict=True):
+            rows = {int(r["client_id"]) % 1000: r["cluster_id"] for r in got.collect()}
+            assert [rows[i] for i in range(len(x))] == brute_dbscan(x, e, 5).tolist(), (key, e)
+        if key != "client_id" or block != 300:
+            break
+    assert bool(seen) == (None in sizes[0].values()) == (block < 300)
+
+
+def test_few_links_leave_their_block(spark):
+    # a filled cube is one cluster, whose inner cells name the smallest of their block and need no search for components
+    x = np.random.default_rng(13).uniform(0, 40, (20_000, 3))
+    seen, made = [], density.cell_links
+    density.cell_links = lambda *a: seen.append(made(*a)) or seen[0]
+    try:
+        got = density.dbscan_sweep(points_frame(spark, x), [2.5], 5)[0]
+        assert got.where("cluster_id = 0").count() > 19_000
+    finally:
+        density.cell_links = made
+    cells = len(np.unique(np.floor(x / (2.5 / 3**0.5)), axis=0))
+    assert seen[0].count() < 1.5 * cells
