@@ -161,3 +161,22 @@ def test_few_links_leave_their_block(spark):
         density.cell_links = made
     cells = len(np.unique(np.floor(x / (2.5 / 3**0.5)), axis=0))
     assert seen[0].count() < 1.5 * cells
+
+
+def test_a_sweep_makes_the_labels_of_all_radii_together(spark):
+    # a candidate's rows are read from what is made already: no join is left in its plan
+    x = crowds(7, 100)
+    for got in density.dbscan_sweep(points_frame(spark, x), [0.1, 0.3], 5):
+        assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString() and got.columns == ["client_id", *clusters.AXES, "cluster_id"]
+
+
+def test_measures_of_rows_in_one_table_of_clusters(spark, monkeypatch):
+    x = np.random.default_rng(14).normal(size=(240, 3)) + np.arange(240)[:, None] % 4 * 7
+    df = points_frame(spark, x).withColumn("cluster_id", clusters.F.pmod("client_id", clusters.F.lit(4)))
+    alone = {"silhouette": clusters.silhouette, "davies_bouldin": clusters.davies_bouldin, "calinski_harabasz": clusters.calinski_harabasz}
+    want = {n: f(df).first()[0] for n, f in alone.items()}
+    seen, spreads = [], clusters._spreads
+    monkeypatch.setattr(clusters, "_spreads", lambda *a: seen.append(1) or spreads(*a))
+    got = clusters.measures(df)
+    assert len(seen) == 1 and got == pytest.approx(want, rel=1e-9)
+    assert set(clusters.measures(df.where("cluster_id = 0")).values()) == set(clusters.measures(df.limit(0)).values()) == {None}
